@@ -58,12 +58,12 @@ def with_bucket(df: DataFrame, col: str, bounds: list[float], out: str = "_bk")
 def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
                    weights: dict[str, Column | str] | None = None, descending: bool = False,
                    n_buckets: int | None = None, prefix: str = "cum_",
-                   total_prefix: str = "tot_") -> DataFrame:
+                   total_prefix: str = "tot_", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sum of each weight along ``order_col`` inside each ``by`` group,
     plus the group total: adds ``cum_<w>`` and ``tot_<w>``.
 
     ``order_col`` must be unique within a group (rows are pre-aggregated by value where
-    it is not) and non-null.
+    it is not) and non-null; ``tiebreak`` columns order rows with equal keys.
     """
     by = list(by)
     weights = weights or {"rows": F.lit(1)}
@@ -86,7 +86,7 @@ def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
     )
     joined = base.join(offs, on=[*by, "_bk"], how="inner")
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    inside = Window.partitionBy(*by, "_bk").orderBy(oc).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_bk").orderBy(oc, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     out = joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_w_{n}").over(inside)).alias(f"{prefix}{n}") for n in wcols],
@@ -97,10 +97,10 @@ def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
 
 def with_position(df: DataFrame, order_col: str = "seq", by: Sequence[str] = ("battery_id",),
                   pos_col: str = "pos", count_col: str = "n_rows",
-                  n_buckets: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Exact 0-based position of each row in its group (ordered by ``order_col``) and the
     group size. Equivalent to ``row_number() - 1`` and ``count(*)`` over the group."""
-    r = running_totals(df, order_col, by, {"rows": F.lit(1)}, n_buckets=n_buckets)
+    r = running_totals(df, order_col, by, {"rows": F.lit(1)}, n_buckets=n_buckets, tiebreak=tiebreak)
     return r.withColumn(pos_col, (F.col("cum_rows") - 1).cast("long")) \
         .withColumn(count_col, F.col("tot_rows").cast("long")).drop("cum_rows", "tot_rows")
 
