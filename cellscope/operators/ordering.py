@@ -143,27 +143,42 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     long = df.select(*by, kv).select(*by, "kv.feature", "kv.value").where(F.col("value").isNotNull())
     counts = long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
     cum = running_totals(counts, "value", [*by, "feature"], {"c": "c"}, n_buckets=n_buckets)
-    totals = counts.groupBy(*by, "feature").agg(F.sum("c").alias("n"))
-    parr = F.array(*[F.lit(float(q)) for q in probs])
-    h = (F.col("n") - 1) * F.col("p")
-    targets = totals.select(*by, "feature", "n", F.explode(parr).alias("p")) \
-        .select(*by, "feature", "p", F.floor(h).alias("t_lo"), F.ceil(h).alias("t_hi"),
-                (h - F.floor(h)).alias("frac"))
-    if not by:
-        targets = F.broadcast(targets)  # features x probs rows: bounded by the call
-    start = F.col("cum_c") - F.col("c")
-    end = F.col("cum_c") - 1
-    hit_lo = (F.col("t_lo") >= start) & (F.col("t_lo") <= end)
-    hit_hi = (F.col("t_hi") >= start) & (F.col("t_hi") <= end)
-    j = cum.alias("c").join(targets.alias("t"), on=[*by, "feature"]).where(hit_lo | hit_hi)
-    g = j.groupBy(*by, "feature", "p").agg(
-        F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
-        F.max(F.when(hit_hi, F.col("value"))).alias("v_hi"),
-        F.first("frac").alias("frac"))
+    # each distinct value covers positions [cum - c, cum - 1]; emit it for every target
+    # position (floor / ceil of (n-1) p) it covers, then combine per (group, p)
+    start, end = F.col("cum_c") - F.col("c"), F.col("cum_c") - 1
+    hits = []
+    for q in probs:
+        h = (F.col("tot_c") - 1) * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        hit_lo = (lo >= start) & (lo <= end)
+        hit_hi = (hi >= start) & (hi <= end)
+        hits.append(F.when(hit_lo | hit_hi, F.struct(
+            F.lit(float(q)).alias("p"), F.when(hit_lo, F.col("value")).alias("v_lo"),
+            F.when(hit_hi, F.col("value")).alias("v_hi"), (h - lo).alias("frac"))))
+    picked = cum.select(*by, "feature", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    g = picked.groupBy(*by, "feature", F.col("h.p").alias("p")).agg(
+        F.max("h.v_lo").alias("v_lo"), F.max("h.v_hi").alias("v_hi"), F.max("h.frac").alias("frac"))
     return g.select(*by, "feature", "p",
                     (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
 
 
+def materialize_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Replace a small result (fitted parameters, metric tables) by a local relation so later
+    plans do not carry its lineage. Refuses anything over ``max_rows`` rows."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"materialize_small: more than {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's checkpoint dir (a shared folder
+    on a cluster); survives executor loss, unlike a local checkpoint."""
+    from cellscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def wide_params(long: DataFrame, key_col: str, value_col: str, keys: Sequence[str],
                 suffix: str = "") -> DataFrame:
     """Pivot a small (key, value) parameter table into one row, one column per key."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscope.operators import clean, features
-from cellscope.operators.ordering import DEFAULT_CHUNK_ROWS
+from cellscope.operators.ordering import DEFAULT_CHUNK_ROWS, checkpointed, materialize_small
 from cellscope.sources.telemetry import RAW_FEATURES, TARGETS
 
 META = ["battery_id", "seq", "pos", "n_rows", "split", "split_pos", "split_rows"]
@@ -48,13 +48,14 @@ def engineer(df: DataFrame, baseline: DataFrame, chunk_rows: int = DEFAULT_CHUNK
 def prep_fit(split_df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> PrepParams:
     """Fit on the train rows of a chrono-split frame: IR baseline, medians, then mean/std of
     the imputed values (engineering runs on the train slice alone)."""
-    baseline = features.ir_baseline(split_df)
+    baseline = materialize_small(features.ir_baseline(split_df))
     train = split_df.where(F.col("split") == "train")
-    eng = engineer(train, baseline, chunk_rows)
+    # the engineered train slice feeds two passes (medians, then moments): cut its lineage once
+    eng = checkpointed(engineer(train, baseline, chunk_rows))
     cols = engineered_columns(eng)
-    med = clean.impute_fit(eng, cols)
+    med = materialize_small(clean.impute_fit(eng, cols))
     imputed = clean.impute_apply(eng, med, cols)
-    stats = clean.scale_fit(imputed, cols)
+    stats = materialize_small(clean.scale_fit(imputed, cols))
     return PrepParams(baseline, med, stats, cols)
 
 
