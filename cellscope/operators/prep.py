@@ -18,7 +18,7 @@ META = ["battery_id", "seq", "pos", "n_rows", "split", "split_pos", "split_rows"
 
 def engineered_columns(df: DataFrame) -> list[str]:
     """The engineered feature list in frame order (targets and metadata excluded)."""
-    return [c for c in df.columns if c not in META and c not in TARGETS]
+    return [c for c in df.columns if c not in META and c not in TARGETS and not c.startswith("y_")]
 
 
 @dataclass
@@ -39,9 +39,10 @@ class PrepParams:
                    spark.read.parquet(f"{path}/stats"), list(columns))
 
 
-def engineer(df: DataFrame, baseline: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def engineer(df: DataFrame, baseline: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+             passthrough: Sequence[str] = ()) -> DataFrame:
     raw = [c for c in RAW_FEATURES if c in df.columns]
-    keep = [c for c in META if c in df.columns] + raw + [c for c in TARGETS if c in df.columns]
+    keep = [c for c in META if c in df.columns] + raw + [c for c in TARGETS if c in df.columns] + list(passthrough)
     return features.engineer_all(df.select(*keep), baseline, chunk_rows=chunk_rows)
 
 
@@ -61,11 +62,13 @@ def prep_fit(split_df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> PrepP
 
 def prep_transform(df: DataFrame, params: PrepParams, selected: Sequence[str],
                    keys: Sequence[str] = ("battery_id", "seq"),
-                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int = DEFAULT_CHUNK_ROWS, passthrough: Sequence[str] = ()) -> DataFrame:
     """Engineer with the train baseline, impute and scale all engineered features with the
-    train parameters, then keep ``keys`` + ``selected`` (+ targets present)."""
-    eng = engineer(df, params.baseline, chunk_rows)
+    train parameters, then keep ``keys`` + ``selected`` (+ targets present + passthrough)."""
+    if "split" not in df.columns:  # a batch to score is one frame
+        df = df.withColumn("split", F.lit("batch"))
+    eng = engineer(df, params.baseline, chunk_rows, passthrough)
     imp = clean.impute_apply(eng, params.medians, params.columns)
     sc = clean.scale_apply(imp, params.stats, params.columns)
-    extra = [c for c in TARGETS + ["split"] if c in sc.columns]
+    extra = [c for c in TARGETS + ["split", "split_pos", "split_rows"] + list(passthrough) if c in sc.columns]
     return sc.select(*keys, *selected, *extra)
