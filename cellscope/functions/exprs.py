@@ -41,7 +41,8 @@ def soc_bin(x: str | Column, lo: str | Column, hi: str | Column, k: int) -> Colu
     the minimum falls in bin 0; NULL when lo == hi."""
     width = F.try_divide(col(hi) - col(lo), F.lit(float(k)))
     raw = F.ceil(F.try_divide(col(x) - col(lo), F.nullif(width, F.lit(0.0)))) - 1
-    return F.greatest(F.lit(0), raw.cast("int"))
+    # greatest() skips NULLs, so keep the NULL of a zero-width range explicitly
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0), raw.cast("int")))
 
 
 def adjusted_skew(skew_pop: str | Column, n: str | Column) -> Column:
