@@ -11,6 +11,7 @@ from cellscope.operators import prep, score, splits, train
 from cellscope.operators.features import ENGINEERED
 from cellscope.operators.ordering import checkpointed
 from cellscope.operators.project import SELECTED_FEATURES, exclude_target
+from cellscope.plans.feature_queries import PREP_FIT_CTE
 from cellscope.plans.registry import register
 from cellscope.session import scratch_path
 from cellscope.sources import files
@@ -182,13 +183,13 @@ def q_model_io(spark, sf_dir):
     return back.transform(va).select(*KEYS, F.col("prediction").alias("pred_internal_resistance"))
 
 
-@register("params_io")
+@register("params_io", PREP_FIT_CTE + "\nselect * from params", doubles=["median", "mean", "std"])
 def q_params_io(spark, sf_dir):
     params, _ = prepared(spark, sf_dir)
     path = scratch_path(spark, "prep-params")
     params.save(path)
     back = prep.PrepParams.load(spark, path, params.columns)
-    return back.medians.join(back.stats, "feature")
+    return back.medians.join(back.stats, "feature").select("feature", "median", "mean", "std")
 
 
 @register("sink_csv")
