@@ -7,9 +7,9 @@ one battery (or the whole table, read as one sequence) holds a third of the rows
 ``running_totals`` instead:
 
 1. takes ``K`` approximate quantile bounds of the order key over the whole input
-   (one pass, a list of ``K-1`` numbers) and buckets every row with ``Bucketizer``
-   (binary search, JVM side); every bucket then holds about ``n/K`` rows whatever
-   the group sizes are;
+   (a one-row ``percentile_approx`` aggregate in the same plan, broadcast) and buckets
+   every row by binary search over them (JVM side); every bucket then holds about
+   ``n/K`` rows whatever the group sizes are;
 2. sums the weights per ``(group, bucket)`` (partial aggregation) and turns those
    sums into per-bucket offsets with a window over that small table;
 3. adds each row's running sum inside its ``(group, bucket)`` partition.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +30,15 @@ DEFAULT_CHUNK_ROWS = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
+    """Bucket count: a power of two near twice the shuffle partitions (capped)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(2 * n, 100_000))
+    k = max(4, min(2 * n, 65_536))
+    return 1 << (k - 1).bit_length()
 
 
 def quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    """K-1 approximate quantile bounds of ``col`` (sorted, unique). One pass over ``df``."""
+    """K-1 approximate quantile bounds of ``col`` (sorted, unique), as a driver-side list.
+    One pass over ``df``; used where a literal list is wanted (e.g. partitioned output)."""
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -44,15 +46,27 @@ def quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     return sorted({float(b) for b in bounds})
 
 
-def with_bucket(df: DataFrame, col: str, bounds: list[float], out: str = "_bk") -> DataFrame:
-    """Bucket id = number of bounds <= col (0..len(bounds)), computed in the JVM."""
-    if not bounds:
+def with_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bk") -> DataFrame:
+    """Bucket id in [0, K-1] = number of approximate K-quantile bounds <= ``col``.
+
+    Lazy: the bounds are one ``percentile_approx`` aggregate in the same plan (one row,
+    broadcast), and the bucket is found by an unrolled binary search over that array
+    (log2 K levels of ``element_at``, JVM side). No job runs while the plan is built, and
+    shuffles upstream of ``df`` are reused by both branches."""
+    k = 1 << max(0, (n_buckets - 1).bit_length())  # power of two
+    if k <= 1:
         return df.withColumn(out, F.lit(0))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    tmp = f"{out}_in"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp) \
-        .withColumn(out, F.col(out).cast("int"))
+    probs = [i / k for i in range(1, k)]
+    bounds = df.where(F.col(col).isNotNull()).agg(
+        F.percentile_approx(F.col(col).cast("double"), probs, 4 * k).alias("_bounds"))
+    x = df.crossJoin(F.broadcast(bounds)).withColumn(out, F.lit(0))  # one row
+    v = F.col(col).cast("double")
+    step = k // 2
+    while step >= 1:
+        cand = F.col(out) + step  # 1-based index, at most k - 1 = len(bounds)
+        x = x.withColumn(out, F.when(F.element_at("_bounds", cand) <= v, cand).otherwise(F.col(out)))
+        step //= 2
+    return x.drop("_bounds")
 
 
 def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
@@ -69,12 +83,10 @@ def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
     weights = weights or {"rows": F.lit(1)}
     wcols = {name: (F.col(w) if isinstance(w, str) else w) for name, w in weights.items()}
     k = n_buckets or default_buckets(df)
-    bounds = quantile_bounds(df, order_col, k)
-    nb = len(bounds)
     base = df.select("*", *[c.cast("double").alias(f"_w_{n}") for n, c in wcols.items()])
-    base = with_bucket(base, order_col, bounds)
+    base = with_bucket(base, order_col, k)
     if descending:
-        base = base.withColumn("_bk", F.lit(nb) - F.col("_bk"))
+        base = base.withColumn("_bk", -F.col("_bk"))
     # per (group, bucket) sums -> offsets (small table: at most K rows per group)
     sums = base.groupBy(*by, "_bk").agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in wcols])
     before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,6 +60,25 @@ def prep_fit(split_df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> PrepP
     return PrepParams(baseline, med, stats, cols)
 
 
+def prep_fit_transform(split_df: DataFrame, selected: Sequence[str], keys: Sequence[str] = ("battery_id", "seq"),
+                       chunk_rows: int = DEFAULT_CHUNK_ROWS, passthrough: Sequence[str] = ()):
+    """Fit on train rows and transform every row of a chrono-split frame, engineering once.
+
+    Engineering is per (battery, split) with per-split fill medians and the train baseline,
+    so the train rows of the engineered whole frame equal the engineered train slice; the
+    engineered frame is checkpointed and feeds the medians, the moments and the output."""
+    baseline = materialize_small(features.ir_baseline(split_df))
+    eng = checkpointed(engineer(split_df, baseline, chunk_rows, passthrough))
+    cols = [c for c in engineered_columns(eng) if c not in passthrough]
+    train = eng.where(F.col("split") == "train")
+    med = materialize_small(clean.impute_fit(train, cols))
+    stats = materialize_small(clean.scale_fit(clean.impute_apply(train, med, cols), cols))
+    params = PrepParams(baseline, med, stats, cols)
+    sc = clean.scale_apply(clean.impute_apply(eng, med, cols), stats, cols)
+    extra = [c for c in TARGETS + ["split", "split_pos", "split_rows"] + list(passthrough) if c in sc.columns]
+    return params, sc.select(*keys, *selected, *extra)
+
+
 def prep_transform(df: DataFrame, params: PrepParams, selected: Sequence[str],
                    keys: Sequence[str] = ("battery_id", "seq"),
                    chunk_rows: int = DEFAULT_CHUNK_ROWS, passthrough: Sequence[str] = ()) -> DataFrame:

@@ -158,5 +158,6 @@ PREP_TRANSFORM_SQL = PREP_TRANSFORM_SQL.replace(
 
 @register("prep_transform", PREP_TRANSFORM_SQL, doubles=project.SELECTED_FEATURES)
 def q_prep_transform(spark, sf_dir):
-    s, p = _prep_params(spark, sf_dir)
-    return prep.prep_transform(s, p, project.SELECTED_FEATURES).select(*KEYS, *project.SELECTED_FEATURES)
+    s = split_frame(spark, sf_dir)
+    _, x = prep.prep_fit_transform(s, project.SELECTED_FEATURES)
+    return x.select(*KEYS, *project.SELECTED_FEATURES)

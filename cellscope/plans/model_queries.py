@@ -31,8 +31,7 @@ def prepared(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _CACHE:
         s = splits.chrono_split(telemetry(spark, sf_dir)).withColumn(Y, F.col("internal_resistance"))
-        params = prep.prep_fit(s)
-        x = prep.prep_transform(s, params, ALL_FEATURES, passthrough=[Y])
+        params, x = prep.prep_fit_transform(s, ALL_FEATURES, passthrough=[Y])
         cw = splits.class_weights(x.where(F.col("split") == "train"), "over_temp_flag")
         x = splits.with_weight(x, "over_temp_flag", cw, "w_temp")
         _CACHE[key] = (params, checkpointed(x))

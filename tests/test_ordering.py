@@ -44,8 +44,19 @@ def test_exact_quantiles_equal_pandas(spark):
         assert v == pytest.approx(pdf[f].quantile(p), rel=1e-12)
 
 
-def test_no_single_partition_exchange(spark):
+@pytest.mark.parametrize("by", [(), ("battery_id",)])
+def test_row_level_window_is_keyed_by_bucket(spark, by):
+    """The row-level window is fed by a hash exchange on (group..., bucket); the only
+    single-partition exchanges merge partial aggregates (K bounds) or the K-row bucket table."""
+    import re
     t = telemetry(spark, SF_SMALL)
-    plan = with_position(t, by=()).select("pos")._jdf.queryExecution().executedPlan().toString()
-    # only the small per-bucket table may be gathered; the row-level window is keyed by bucket
-    assert "SinglePartition" not in plan or plan.count("SinglePartition") == 1
+    df = with_position(t, by=by).select("seq", "pos")
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    key = r"Exchange hashpartitioning\(" + "".join(f"{c}#\\d+L, " for c in by) + r"_bk#\d+"
+    assert re.search(key, plan), plan
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = " ".join(lines[i + 1:i + 3])
+            assert "partial_" in below or "_s_rows" in below or "HashAggregate" in below, below
