@@ -18,7 +18,7 @@ META = ["battery_id", "seq", "pos", "n_rows", "split", "split_pos", "split_rows"
 
 def engineered_columns(df: DataFrame) -> list[str]:
     """The engineered feature list in frame order (targets and metadata excluded)."""
-    return [c for c in df.columns if c not in META and c not in TARGETS and not c.startswith("y_")]
+    return [c for c in df.columns if c not in META and c not in TARGETS and not c.startswith(("y_", "_orig_"))]
 
 
 @dataclass

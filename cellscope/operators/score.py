@@ -19,18 +19,19 @@ def predict_batch(df: DataFrame, params: prep.PrepParams, regressor: PipelineMod
                   reg_features, cls_features, threshold: float = 0.5, keys=("battery_id", "seq")) -> DataFrame:
     """Drop targets (IR is kept: features need it), transform with the train parameters, append
     ``pred_internal_resistance``, ``pred_over_temp_prob``, ``pred_over_temp_flag`` and the rule
-    ``pred_over_voltage_flag``."""
+    ``pred_over_voltage_flag``. The original columns ride along through the transform (no
+    join back to the input)."""
     base = df.drop(*[c for c in DROP_BEFORE_SCORING if c in df.columns])
+    orig = [c for c in base.columns if c not in keys]
+    carried = base.select("*", *[F.col(c).alias(f"_orig_{c}") for c in orig])
     feats = sorted(set(reg_features) | set(cls_features))
-    x = prep.prep_transform(base, params, feats, keys)
+    x = prep.prep_transform(carried, params, feats, keys, passthrough=[f"_orig_{c}" for c in orig])
     r = regressor.transform(x).withColumnRenamed("prediction", "pred_internal_resistance").drop("features")
     c = classifier.transform(r)
-    c = c.withColumn("pred_over_temp_prob", vector_to_array("probability")[1]) \
-        .drop("features", "rawPrediction", "probability", "prediction")
-    scored = c.select(*keys, "pred_internal_resistance", "pred_over_temp_prob",
-                      temp_flag("pred_over_temp_prob", threshold).alias("pred_over_temp_flag"))
-    raw = base.select(*keys, *[c for c in base.columns if c not in keys])
-    return raw.join(scored, list(keys)).withColumn("pred_over_voltage_flag", over_voltage())
+    c = c.withColumn("pred_over_temp_prob", vector_to_array("probability")[1])
+    out = c.select(*keys, *[F.col(f"_orig_{o}").alias(o) for o in orig], "pred_internal_resistance",
+                   "pred_over_temp_prob", temp_flag("pred_over_temp_prob", threshold).alias("pred_over_temp_flag"))
+    return out.withColumn("pred_over_voltage_flag", over_voltage())
 
 
 def score_and_assess(scored: DataFrame, fleet: DataFrame) -> DataFrame:
