@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscope.operators.ordering import exact_quantiles, wide_params
+from cellscope.operators.ordering import attach_row, exact_quantiles, wide_params
 
 
 def long_table(row: DataFrame, cols: Sequence[str], names: Sequence[str], key: str = "feature") -> DataFrame:
@@ -57,8 +57,8 @@ def impute_apply(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> Data
     """Fill NULLs with the train medians (NaN was turned into NULL at the source)."""
     cols = list(cols)
     w = wide_params(medians, "feature", "median", cols, suffix="__median")
-    x = df.crossJoin(F.broadcast(w))
-    return x.select(*[F.coalesce(F.col(c), F.col(f"{c}__median")).alias(c) if c in cols else F.col(c)
+    x = attach_row(df, w, "_med")
+    return x.select(*[F.coalesce(F.col(c), F.col("_med")[f"{c}__median"]).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 
 
@@ -74,9 +74,9 @@ def scale_apply(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFra
     cols = list(cols)
     m = wide_params(stats, "feature", "mean", cols, suffix="__mean")
     s = wide_params(stats, "feature", "std", cols, suffix="__std")
-    x = df.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(s))
-    z = {c: (F.col(c) - F.col(f"{c}__mean")) / F.coalesce(F.nullif(F.col(f"{c}__std"), F.lit(0.0)), F.lit(1.0))
-         for c in cols}
+    x = attach_row(attach_row(df, m, "_mean"), s, "_std")
+    z = {c: (F.col(c) - F.col("_mean")[f"{c}__mean"]) /
+         F.coalesce(F.nullif(F.col("_std")[f"{c}__std"], F.lit(0.0)), F.lit(1.0)) for c in cols}
     return x.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 
 

@@ -147,8 +147,9 @@ def threshold_sweep(df: DataFrame, label: str = "label", prob: str = "prob",
     b = sum((F.when(F.col(prob) >= F.lit(t), 1).otherwise(0) for t in th), F.lit(0))
     counts = df.select(b.alias("b"), (F.col(label) == 1).alias("is_pos")).groupBy("b").agg(
         F.count_if("is_pos").alias("pos"), F.count_if(~F.col("is_pos")).alias("neg"))
-    grid = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(th)], "i int, threshold double")
-    j = grid.crossJoin(F.broadcast(counts))  # k x (k+1) rows at most
+    # every (bucket, counts) row is read once per threshold: at most k x (k+1) rows
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(th)]))
+    j = counts.select("*", grid.alias("g")).select("b", "pos", "neg", "g.i", "g.threshold")
     g = j.groupBy("i", "threshold").agg(
         F.sum(F.when(F.col("b") > F.col("i"), F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("b") > F.col("i"), F.col("neg")).otherwise(0)).alias("fp"),

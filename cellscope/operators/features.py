@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscope.operators.ordering import DEFAULT_CHUNK_ROWS, exact_quantiles, rolling_frame, with_position
+from cellscope.operators.ordering import (
+    DEFAULT_CHUNK_ROWS, attach_row, exact_quantiles, rolling_frame, with_position,
+)
 
 # Engineering constants of the reference.
 SOC_WINDOW = 10
@@ -33,7 +35,7 @@ def delta_ir(df: DataFrame, baseline: DataFrame, per: Sequence[str] = ()) -> Dat
     if per:
         x = df.join(baseline, on=list(per), how="left")
     else:
-        x = df.crossJoin(F.broadcast(baseline))  # one row
+        x = attach_row(df, baseline, "_base").withColumn("baseline_ir", F.col("_base.baseline_ir")).drop("_base")
     return x.withColumn("delta_internal_resistance", F.col("internal_resistance") - F.col("baseline_ir")) \
         .drop("baseline_ir")
 
@@ -55,8 +57,12 @@ def soc_range_rolling(df: DataFrame, window: int = SOC_WINDOW,
 
     r = rolling_frame(df, {"_soc_rng": rng}, window, pos_col, by, chunk_rows)
     med = exact_quantiles(r, ["_soc_rng"], [0.5], by=list(fill_by)).select(*fill_by, F.col("value").alias("_med"))
-    med = F.broadcast(med) if len(fill_by) <= 1 else med  # one row per split
-    out = r.join(med, on=list(fill_by), how="left") if fill_by else r.crossJoin(med)
+    if not fill_by:
+        out = attach_row(r, med, "_m").withColumn("_med", F.col("_m._med")).drop("_m")
+    elif list(fill_by) == ["split"]:
+        out = r.join(F.broadcast(med), on="split", how="left")  # train / val / test: three rows
+    else:
+        out = r.join(med, on=list(fill_by), how="left")
     out = out.withColumn("soc_range_rolling", F.coalesce("_soc_rng", "_med")).drop("_soc_rng", "_med")
     return out.drop("_rpos") if "_rpos" in out.columns else out
 

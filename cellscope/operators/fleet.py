@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cellscope.functions.exprs import (
     flag_health, health_status, ir_health, safe_div, weighted_health,
 )
-from cellscope.operators.ordering import running_totals, with_position
+from cellscope.operators.ordering import attach_row, running_totals, with_position
 
 FLEET_COLS = ["ir_mean", "ir_std", "ir_min", "ir_max", "temp_mean", "over_temp_rate",
               "over_voltage_rate", "avg_charging_efficiency", "total_rows", "n_batteries"]
@@ -73,16 +73,16 @@ def fleet_stats(df: DataFrame, ir_col: str = "internal_resistance") -> DataFrame
 
 
 def with_fleet(df: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Attach the one-row fleet table to every row (broadcast; one row by construction)."""
-    return df.crossJoin(F.broadcast(fleet.select(*[F.col(c).alias(f"_f_{c}") for c in fleet.columns])))
+    """Attach the one-row fleet table to every row (scalar subquery, computed once)."""
+    return attach_row(df, fleet, "_fleet")
 
 
 def _drop_fleet(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_f_")])
+    return df.drop("_fleet")
 
 
 def _f(c: str) -> Column:
-    return F.col(f"_f_{c}")
+    return F.col("_fleet")[c]
 
 
 def health(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",

@@ -46,6 +46,13 @@ def quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     return sorted({float(b) for b in bounds})
 
 
+def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Attach a one-row table (fitted parameters, fleet statistics, bounds) to every row as a
+    struct column through a scalar subquery: computed once, no join, and Spark fails the
+    query if the table ever holds more than one row (the size bound is enforced)."""
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns).alias(name)).scalar())
+
+
 def with_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bk") -> DataFrame:
     """Bucket id in [0, K-1] = number of approximate K-quantile bounds <= ``col``.
 
@@ -59,14 +66,14 @@ def with_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bk") -> Da
     probs = [i / k for i in range(1, k)]
     bounds = df.where(F.col(col).isNotNull()).agg(
         F.percentile_approx(F.col(col).cast("double"), probs, 4 * k).alias("_bounds"))
-    x = df.crossJoin(F.broadcast(bounds)).withColumn(out, F.lit(0))  # one row
+    x = attach_row(df, bounds, "_bq").withColumn(out, F.lit(0))
     v = F.col(col).cast("double")
     step = k // 2
     while step >= 1:
         cand = F.col(out) + step  # 1-based index, at most k - 1 = len(bounds)
-        x = x.withColumn(out, F.when(F.element_at("_bounds", cand) <= v, cand).otherwise(F.col(out)))
+        x = x.withColumn(out, F.when(F.element_at(F.col("_bq")["_bounds"], cand) <= v, cand).otherwise(F.col(out)))
         step //= 2
-    return x.drop("_bounds")
+    return x.drop("_bq")
 
 
 def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellscope.functions.exprs import adjusted_skew
 from cellscope.operators.clean import long_table
-from cellscope.operators.ordering import exact_quantiles, with_position
+from cellscope.operators.ordering import attach_row, exact_quantiles, with_position
 
 # Thresholds and pairs of the reference's analysis.
 DESCRIBE_PERCENTILES = [0.01, 0.25, 0.5, 0.75, 0.99]
@@ -71,12 +71,14 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over [min, max]: bins half-open, the last one closed; empty bins
     are reported with count 0."""
     mm = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
-    x = df.select(col).where(F.col(col).isNotNull()).crossJoin(F.broadcast(mm))  # one row
+    x = attach_row(df.select(col).where(F.col(col).isNotNull()), mm, "_mm") \
+        .select(col, F.col("_mm._lo").alias("_lo"), F.col("_mm._hi").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     b = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(col) - F.col("_lo"), width) * bins)).cast("int")
     counts = x.select(F.coalesce(b, F.lit(0)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(mm))
-    out = grid.join(counts, "bin", "left")
+    grid = attach_row(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")), mm, "_mm") \
+        .select("bin", F.col("_mm._lo").alias("_lo"), F.col("_mm._hi").alias("_hi"))
+    out = grid.join(counts, "bin", "left")  # bins rows on both sides
     return out.select("bin", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / bins).alias("bin_lo"),
                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("bin") + 1) / bins).alias("bin_hi"),
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.functions.exprs import soc_bin as soc_bin_expr
+from cellscope.operators.ordering import attach_row
 
 # The reference's bin counts and profiled columns.
 IR_BINS = 20
@@ -20,8 +21,8 @@ RANGE_COLS = ["SOC", "SOH", "terminal_voltage", "battery_current", "battery_temp
 def soc_bin(df: DataFrame, k: int = IR_BINS, col: str = "SOC", out: str = "soc_bin") -> DataFrame:
     """Adds the bin index of ``col`` (min/max from one aggregate, broadcast as one row)."""
     mm = df.agg(F.min(col).cast("double").alias("_smin"), F.max(col).cast("double").alias("_smax"))
-    x = df.crossJoin(F.broadcast(mm))
-    return x.withColumn(out, soc_bin_expr(col, "_smin", "_smax", k)).drop("_smin", "_smax")
+    x = attach_row(df, mm, "_mm")
+    return x.withColumn(out, soc_bin_expr(col, F.col("_mm._smin"), F.col("_mm._smax"), k)).drop("_mm")
 
 
 def ir_by_soc(df: DataFrame, k: int = IR_BINS) -> DataFrame:

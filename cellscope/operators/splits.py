@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscope.operators.ordering import with_position
+from cellscope.operators.ordering import attach_row, with_position
 
 # Split fractions and the rule-fallback floor of the reference.
 TRAIN_FRACTION = 0.70
@@ -87,7 +87,7 @@ def fold_audit_stratified(df: DataFrame, label_col: str, k: int = 5, fold_col: s
     c = df.groupBy(fold_col).agg(F.count_if(F.col(label_col) == 1).alias("t_pos"),
                                  F.count_if(F.col(label_col) == 0).alias("t_neg"))
     tot = c.agg(F.sum("t_pos").alias("a_pos"), F.sum("t_neg").alias("a_neg"))
-    x = c.crossJoin(F.broadcast(tot))  # one row
+    x = attach_row(c, tot, "_t").select("*", F.col("_t.a_pos").alias("a_pos"), F.col("_t.a_neg").alias("a_neg"))
     test = x.select(F.col(fold_col).alias("fold"), F.lit("test").alias("role"),
                     F.col("t_pos").alias("n_pos"), F.col("t_neg").alias("n_neg"))
     train = x.select(F.col(fold_col).alias("fold"), F.lit("train").alias("role"),
@@ -124,8 +124,8 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """Balanced class weights n / (2 n_c), one row per class."""
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     tot = df.agg(F.count(F.lit(1)).alias("n"))
-    return c.crossJoin(F.broadcast(tot)).select(
-        F.col(label_col).alias("label"), (F.col("n") / (2 * F.col("n_c"))).alias("weight"))
+    return attach_row(c, tot, "_t").select(
+        F.col(label_col).alias("label"), (F.col("_t.n") / (2 * F.col("n_c"))).alias("weight"))
 
 
 def scale_pos_weight(df: DataFrame, label_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellscope.operators import evaluate as ev
 from cellscope.operators import splits as sp
+from cellscope.operators.ordering import attach_row
 from cellscope.plans.registry import register
 from cellscope.plans.split_queries import SPLIT_CTE
 from cellscope.sources.telemetry import scores_view, telemetry
@@ -189,7 +190,8 @@ def candidates(spark, sf_dir):
     tr = s.where(F.col("split") == "train")
     bm = tr.groupBy("battery_id").agg(F.avg("internal_resistance").alias("bmean"))
     fm = tr.agg(F.avg("internal_resistance").alias("fmean"))
-    t = s.where(F.col("split") == "test").join(bm, "battery_id").crossJoin(F.broadcast(fm))
+    t = attach_row(s.where(F.col("split") == "test").join(bm, "battery_id"), fm, "_fm") \
+        .withColumn("fmean", F.col("_fm.fmean")).drop("_fm")
     t = t.withColumn("yhat_scores", F.col("internal_resistance") + ((F.col("seq") % 21) - 10) * F.lit(0.0001))
     y = F.col("internal_resistance").alias("y")
     parts = [t.select(F.lit(m).alias("model"), y, F.col(c).alias("yhat"))

@@ -9,7 +9,7 @@ from cellscope.operators import evaluate as ev
 from cellscope.operators import fleet as fl
 from cellscope.operators import prep, score, splits, train
 from cellscope.operators.features import ENGINEERED
-from cellscope.operators.ordering import checkpointed
+from cellscope.operators.ordering import attach_row, checkpointed
 from cellscope.operators.project import SELECTED_FEATURES, exclude_target
 from cellscope.plans.feature_queries import PREP_FIT_CTE
 from cellscope.plans.registry import register
@@ -50,7 +50,8 @@ def _reg_eval(model, val, name):
 
 def _cls_eval(pred, name, threshold=0.5):
     conf = ev.confusion(pred, label="over_temp_flag", prob="prob", threshold=threshold)
-    m = ev.cls_metrics(conf).crossJoin(ev.roc_auc(pred, label="over_temp_flag", score="prob").select("roc_auc"))
+    auc = ev.roc_auc(pred, label="over_temp_flag", score="prob").select("roc_auc")
+    m = attach_row(ev.cls_metrics(conf), auc, "_auc").withColumn("roc_auc", F.col("_auc.roc_auc")).drop("_auc")
     return m.select(F.lit(name).alias("model"), "*")
 
 
