@@ -1,3 +1,4 @@
-from cellscope.streaming.scoring import stream_assess, start_assessment
+from cellscope.streaming.rolling import stream_soc_range
+from cellscope.streaming.scoring import start_assessment, stream_assess
 
-__all__ = ["stream_assess", "start_assessment"]
+__all__ = ["stream_assess", "start_assessment", "stream_soc_range"]
