@@ -7,9 +7,9 @@ one battery (or the whole table, read as one sequence) holds a third of the rows
 ``running_totals`` instead:
 
 1. takes ``K`` approximate quantile bounds of the order key over the whole input
-   (a one-row ``percentile_approx`` aggregate in the same plan, broadcast) and buckets
-   every row by binary search over them (JVM side); every bucket then holds about
-   ``n/K`` rows whatever the group sizes are;
+   (one driver-side pass, embedded as a literal array so every evaluation agrees) and
+   buckets every row by binary search over them (JVM side); every bucket then holds
+   about ``n/K`` rows whatever the group sizes are;
 2. sums the weights per ``(group, bucket)`` (partial aggregation) and turns those
    sums into per-bucket offsets with a window over that small table;
 3. adds each row's running sum inside its ``(group, bucket)`` partition.
@@ -21,6 +21,7 @@ chunk into the next one (a halo), so a frame never needs more than one chunk.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,8 +38,8 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    """K-1 approximate quantile bounds of ``col`` (sorted, unique), as a driver-side list.
-    One pass over ``df``; used where a literal list is wanted (e.g. partitioned output)."""
+    """K-1 approximate quantile bounds of ``col`` (sorted, unique), as a driver-side list
+    (one pass over ``df``; at most K-1 numbers)."""
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -56,22 +57,25 @@ def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
 def with_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bk") -> DataFrame:
     """Bucket id in [0, K-1] = number of approximate K-quantile bounds <= ``col``.
 
-    Lazy: the bounds are one ``percentile_approx`` aggregate in the same plan (one row,
-    broadcast), and the bucket is found by an unrolled binary search over that array
-    (log2 K levels of ``element_at``, JVM side). No job runs while the plan is built, and
-    shuffles upstream of ``df`` are reused by both branches."""
+    The bounds are computed once on the driver (one ``approxQuantile`` pass, at most K-1
+    numbers) and embedded as a literal array, so every evaluation of the plan, including
+    recomputed tasks after an executor loss and both branches of ``running_totals``, assigns
+    the same bucket to a row. The bucket is found by an unrolled binary search over the array
+    (log2 K levels of ``element_at``, JVM side)."""
     k = 1 << max(0, (n_buckets - 1).bit_length())  # power of two
-    if k <= 1:
+    bounds = quantile_bounds(df, col, k)
+    if not bounds:
         return df.withColumn(out, F.lit(0))
-    probs = [i / k for i in range(1, k)]
-    bounds = df.where(F.col(col).isNotNull()).agg(
-        F.percentile_approx(F.col(col).cast("double"), probs, 4 * k).alias("_bounds"))
-    x = attach_row(df, bounds, "_bq").withColumn(out, F.lit(0))
+    m = len(bounds)
+    # one JSON string, constant-folded into a literal array by the optimizer (fast for 65k bounds)
+    arr = F.from_json(F.lit(json.dumps([float(b) for b in bounds])), "array<double>")
+    x = df.withColumn("_bq", arr).withColumn(out, F.lit(0))
     v = F.col(col).cast("double")
-    step = k // 2
+    step = 1 << (m.bit_length() - 1) if m > 0 else 0
     while step >= 1:
-        cand = F.col(out) + step  # 1-based index, at most k - 1 = len(bounds)
-        x = x.withColumn(out, F.when(F.element_at(F.col("_bq")["_bounds"], cand) <= v, cand).otherwise(F.col(out)))
+        cand = F.col(out) + step  # 1-based index into the bounds
+        hit = (cand <= m) & (F.try_element_at(F.col("_bq"), cand) <= v)
+        x = x.withColumn(out, F.when(hit, cand).otherwise(F.col(out)))
         step //= 2
     return x.drop("_bq")
 
@@ -94,7 +98,7 @@ def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
     base = with_bucket(base, order_col, k)
     if descending:
         base = base.withColumn("_bk", -F.col("_bk"))
-    # per (group, bucket) sums -> offsets (small table: at most K rows per group)
+    # per (group, bucket) sums (partial aggregation) -> offsets (small table: <= K rows per group)
     sums = base.groupBy(*by, "_bk").agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in wcols])
     before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
