@@ -54,10 +54,12 @@ IR_RATIO_TEXT = {
 }
 
 
-def fleet_stats(df: DataFrame, ir_col: str = "internal_resistance") -> DataFrame:
+def fleet_stats(df: DataFrame, ir_col: str = "internal_resistance", batteries: bool = True) -> DataFrame:
     """One-row fleet baseline: IR mean / sample std / min / max, mean temperature, flag
-    rates in %, mean charging efficiency, row count and distinct batteries."""
+    rates in %, mean charging efficiency, row count and (``batteries``) distinct batteries.
+    Per-reading scoring does not need the distinct count, which costs an extra expand."""
     n = F.count(F.lit(1))
+    nb = F.count_distinct("battery_id") if batteries else F.lit(None).cast("long")
     return df.agg(
         F.avg(ir_col).alias("ir_mean"),
         F.stddev_samp(ir_col).alias("ir_std"),
@@ -68,17 +70,18 @@ def fleet_stats(df: DataFrame, ir_col: str = "internal_resistance") -> DataFrame
         (F.sum("over_voltage_flag") / n * 100).alias("over_voltage_rate"),
         F.avg("charging_efficiency").alias("avg_charging_efficiency"),
         n.alias("total_rows"),
-        F.count_distinct("battery_id").alias("n_batteries"),
+        nb.alias("n_batteries"),
     )
 
 
 def with_fleet(df: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Attach the one-row fleet table to every row (scalar subquery, computed once)."""
-    return attach_row(df, fleet, "_fleet")
+    """Attach the one-row fleet table to every row (scalar subquery, computed once). A frame
+    that already carries it (``keep_fleet=True`` upstream) is used as is."""
+    return df if "_fleet" in df.columns else attach_row(df, fleet, "_fleet")
 
 
-def _drop_fleet(df: DataFrame) -> DataFrame:
-    return df.drop("_fleet")
+def _drop_fleet(df: DataFrame, keep: bool = False) -> DataFrame:
+    return df if keep else df.drop("_fleet")
 
 
 def _f(c: str) -> Column:
@@ -86,7 +89,8 @@ def _f(c: str) -> Column:
 
 
 def health(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
-           temp_flag_col: str = "over_temp_flag", volt_flag_col: str = "over_voltage_flag") -> DataFrame:
+           temp_flag_col: str = "over_temp_flag", volt_flag_col: str = "over_voltage_flag",
+           keep_fleet: bool = False) -> DataFrame:
     """Adds ``ir_health``, ``thermal_health``, ``voltage_health``, ``component_scores``
     (array of (name, score, weight)), ``health_score`` and ``status``."""
     x = with_fleet(df, fleet)
@@ -101,11 +105,12 @@ def health(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
     score = weighted_health(irh, th, vh)
     out = x.select("*", irh.alias("ir_health"), th.alias("thermal_health"), vh.alias("voltage_health"),
                    comps.alias("component_scores"), score.alias("health_score"))
-    return _drop_fleet(out.withColumn("status", health_status("health_score")))
+    return _drop_fleet(out.withColumn("status", health_status("health_score")), keep_fleet)
 
 
 def alerts(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
-           temp_flag_col: str = "over_temp_flag", volt_flag_col: str = "over_voltage_flag") -> DataFrame:
+           temp_flag_col: str = "over_temp_flag", volt_flag_col: str = "over_voltage_flag",
+           keep_fleet: bool = False) -> DataFrame:
     """Adds ``ir_pct_above_mean`` and ``alerts``: array<struct<type, severity, message,
     value, value_num>>. Thresholds are strict (``>``); ``value`` is the IR or ``ACTIVE``."""
     x = with_fleet(df, fleet)
@@ -127,7 +132,7 @@ def alerts(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
     v_alert = F.when(F.col(volt_flag_col) == 1, alert(ALERT_OVER_VOLTAGE, none, F.lit("ACTIVE")))
     out = x.select("*", pct.alias("ir_pct_above_mean"),
                    F.array_compact(F.array(ir_alert, t_alert, v_alert)).alias("alerts"))
-    return _drop_fleet(out)
+    return _drop_fleet(out, keep_fleet)
 
 
 def alert_table(df: DataFrame, keys: list[str] = ("battery_id", "seq")) -> DataFrame:
@@ -145,7 +150,7 @@ def _cycles(remaining: Column, rate: Column, factor: float = 1.0) -> Column:
 
 
 def rul_fleet(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
-              threshold: float = RUL_IR_THRESHOLD) -> DataFrame:
+              threshold: float = RUL_IR_THRESHOLD, keep_fleet: bool = False) -> DataFrame:
     """RUL with no history: degradation rate = fleet IR std / fleet row count."""
     x = with_fleet(df, fleet)
     remaining = F.greatest(F.lit(0.0), F.lit(threshold) - F.col(ir_col))
@@ -154,7 +159,7 @@ def rul_fleet(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistanc
                    F.lit("fleet").alias("rate_source"),
                    _cycles(remaining, rate).alias("cycles_remaining"),
                    _cycles(remaining, rate, RUL_CONSERVATIVE_FACTOR).alias("cycles_remaining_conservative"))
-    return _drop_fleet(out)
+    return _drop_fleet(out, keep_fleet)
 
 
 def rul_history(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
@@ -192,7 +197,7 @@ def rul_history(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resista
 
 
 def fleet_compare(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistance",
-                  eff_col: str = "charging_efficiency", prob_col: str = "prob") -> DataFrame:
+                  eff_col: str = "charging_efficiency", prob_col: str = "prob", keep_fleet: bool = False) -> DataFrame:
     """Position against the fleet: IR min-max position (the reference calls it percentile),
     BETTER/WORSE vs the mean, deviation in sigmas; efficiency as % of the fleet mean,
     ABOVE/BELOW_AVERAGE; over-temperature risk HIGH when prob*100 > fleet rate."""
@@ -209,7 +214,7 @@ def fleet_compare(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resis
         (prob * 100).alias("over_temp_prob_pct"),
         F.when(prob * 100 > _f("over_temp_rate"), "HIGH").otherwise("LOW").alias("risk_level"),
     )
-    return _drop_fleet(out)
+    return _drop_fleet(out, keep_fleet)
 
 
 def fleet_percentile(df: DataFrame, ir_col: str = "internal_resistance",

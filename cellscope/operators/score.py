@@ -39,8 +39,8 @@ def score_and_assess(scored: DataFrame, fleet: DataFrame) -> DataFrame:
     (fleet rate, as the assessment form does) -> recommendations."""
     kw = dict(ir_col="pred_internal_resistance", temp_flag_col="pred_over_temp_flag",
               volt_flag_col="pred_over_voltage_flag")
-    h = fl.health(scored, fleet, **kw)
-    a = fl.alerts(h, fleet, **kw)
-    c = fl.fleet_compare(a, fleet, ir_col="pred_internal_resistance", prob_col="pred_over_temp_prob")
+    h = fl.health(scored, fleet, keep_fleet=True, **kw)  # the fleet row is attached once
+    a = fl.alerts(h, fleet, keep_fleet=True, **kw)
+    c = fl.fleet_compare(a, fleet, ir_col="pred_internal_resistance", prob_col="pred_over_temp_prob", keep_fleet=True)
     r = fl.rul_fleet(c, fleet, ir_col="pred_internal_resistance")
     return fl.recommendations(r)

@@ -50,10 +50,10 @@ def readings(spark, sf_dir):
 def assessed(spark, sf_dir):
     """Readings with fleet-relative health (measured IR, over-temp flag, voltage rule)."""
     t = telemetry(spark, sf_dir)
-    fleet = fl.fleet_stats(t)
+    fleet = fl.fleet_stats(t, batteries=False)
     r = t.withColumn("pred_over_voltage_flag", over_voltage())
-    h = fl.health(r, fleet, volt_flag_col="pred_over_voltage_flag")
-    return fl.alerts(h, fleet, volt_flag_col="pred_over_voltage_flag"), fleet
+    h = fl.health(r, fleet, volt_flag_col="pred_over_voltage_flag", keep_fleet=True)
+    return fl.alerts(h, fleet, volt_flag_col="pred_over_voltage_flag", keep_fleet=True), fleet
 
 
 @register("over_voltage_rule", """select battery_id, seq, action_voltage, terminal_voltage,
@@ -84,7 +84,7 @@ select battery_id, seq, ir_health, thermal_health, voltage_health from hs""",
           doubles=["ir_health", "thermal_health", "voltage_health"])
 def q_health_components(spark, sf_dir):
     h, _ = assessed(spark, sf_dir)
-    return h.select(*KEYS, "ir_health", "thermal_health", "voltage_health")
+    return h.select(*KEYS, "ir_health", "thermal_health", "voltage_health")  # _fleet dropped by select
 
 
 @register("health_score", HEALTH_CTE + "\nselect battery_id, seq, health_score from hs",
@@ -178,7 +178,7 @@ from x"""
 @register("rul_fleet", RUL_FLEET_SQL, doubles=["ir_remaining"], special={"degradation_rate": 12})
 def q_rul_fleet(spark, sf_dir):
     t = telemetry(spark, sf_dir)
-    r = fl.rul_fleet(t, fl.fleet_stats(t))
+    r = fl.rul_fleet(t, fl.fleet_stats(t, batteries=False))
     return r.select(*KEYS, "ir_remaining", "degradation_rate", "cycles_remaining",
                     "cycles_remaining_conservative")
 
@@ -203,7 +203,7 @@ from s cross join f"""
 def q_fleet_compare(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     s = t.withColumn("prob", ((F.col("seq") * 37) % 1000) * F.lit(0.0007) + F.col("over_temp_flag") * F.lit(0.3))
-    c = fl.fleet_compare(s, fl.fleet_stats(t))
+    c = fl.fleet_compare(s, fl.fleet_stats(t, batteries=False))
     return c.select(*KEYS, "ir_position_pct", "ir_status", "ir_deviation_sigmas", "efficiency_pct_of_mean",
                     "efficiency_status", "over_temp_prob_pct", "risk_level")
 
@@ -245,10 +245,8 @@ select battery_id, seq, unnest(range(0, len(recs))) as rec_idx, unnest(recs) as
 
 @register("recommendations", RECS_SQL)
 def q_recommendations(spark, sf_dir):
-    t = telemetry(spark, sf_dir)
-    fleet = fl.fleet_stats(t)
-    h, _ = assessed(spark, sf_dir)
-    r = fl.rul_fleet(h, fleet)
+    h, fleet = assessed(spark, sf_dir)
+    r = fl.rul_fleet(h, fleet)  # reuses the attached fleet row
     rec = fl.recommendations(r)
     return rec.select(*KEYS, F.posexplode("recommendations").alias("rec_idx", "recommendation")) \
         .withColumn("rec_idx", F.col("rec_idx").cast("long"))

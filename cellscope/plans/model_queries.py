@@ -168,7 +168,7 @@ def q_predict_batch(spark, sf_dir):
 
 @register("score_and_assess")
 def q_score_and_assess(spark, sf_dir):
-    fleet = fl.fleet_stats(telemetry(spark, sf_dir))
+    fleet = fl.fleet_stats(telemetry(spark, sf_dir), batteries=False)
     a = score.score_and_assess(scored(spark, sf_dir), fleet)
     return a.select(*KEYS, "health_score", "status", F.size("alerts").alias("n_alerts"), "ir_status", "risk_level",
                     "cycles_remaining_conservative", F.size("recommendations").alias("n_recommendations"))

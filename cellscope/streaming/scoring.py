@@ -16,7 +16,7 @@ from cellscope.sources.telemetry import telemetry_from_events
 def stream_assess(stream_events: DataFrame, fleet: DataFrame) -> DataFrame:
     """Streaming events -> telemetry -> rule -> health / status / alerts (no state needed)."""
     t = telemetry_from_events(stream_events).withColumn("pred_over_voltage_flag", over_voltage())
-    h = fl.health(t, fleet, volt_flag_col="pred_over_voltage_flag")
+    h = fl.health(t, fleet, volt_flag_col="pred_over_voltage_flag", keep_fleet=True)
     a = fl.alerts(h, fleet, volt_flag_col="pred_over_voltage_flag")
     return a.select("battery_id", "seq", "health_score", "status", F.size("alerts").alias("n_alerts"))
 
