@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -149,8 +149,8 @@ def grid_search_reg(data: DataFrame, folds: DataFrame, features: Sequence[str],
             rmse = RegressionEvaluator(labelCol=label, metricName="rmse").evaluate(m.transform(te))
             rows.append((i, str(pt), int(f), float(rmse)))
     res = spark.createDataFrame(rows, "point int, params string, fold int, rmse double")
-    return res.withColumn("mean_rmse", F.avg("rmse").over(__import__("pyspark.sql", fromlist=["Window"])
-                                                        .Window.partitionBy("point")))
+    # res holds points x folds rows (driver-built): a window over it is bounded
+    return res.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("point")))
 
 
 def grid_search_cls(data: DataFrame, features: Sequence[str], label: str, grid: dict, fold_col: str = "fold",
@@ -207,7 +207,7 @@ def early_stop_curve(train: DataFrame, val: DataFrame, features: Sequence[str],
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """Importances of the last (tree) stage, ranked."""
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     imp = model.stages[-1].featureImportances.toArray()
     rows = sorted(((f, float(v)) for f, v in zip(features, imp)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)],
