@@ -9,7 +9,7 @@ from cellscope.operators import evaluate as ev
 from cellscope.operators import fleet as fl
 from cellscope.operators import prep, score, splits, train
 from cellscope.operators.features import ENGINEERED
-from cellscope.operators.ordering import attach_row
+from cellscope.operators.ordering import attach_row, checkpointed
 from cellscope.operators.project import SELECTED_FEATURES, exclude_target
 from cellscope.plans.feature_queries import PREP_FIT_CTE
 from cellscope.plans.registry import register
@@ -33,9 +33,9 @@ def prepared(spark, sf_dir):
         s = splits.chrono_split(telemetry(spark, sf_dir)).withColumn(Y, F.col("internal_resistance"))
         params, x = prep.prep_fit_transform(s, ALL_FEATURES, passthrough=[Y])
         cw = splits.class_weights(x.where(F.col("split") == "train"), "over_temp_flag")
-        # x reads the checkpointed engineered frame: its lineage is already short
+        # the fit loops make many passes: cut the lineage once more after imputation / scaling
         x = splits.with_weight(x, "over_temp_flag", cw, "w_temp")
-        _CACHE[key] = (params, x)
+        _CACHE[key] = (params, checkpointed(x))
     return _CACHE[key]
 
 
