@@ -33,7 +33,7 @@ def q_null_audit(spark, sf_dir):
     return clean.null_audit(telemetry_dirty(spark, sf_dir))
 
 
-@register("dup_count", """select sum(c) as n_rows, sum(c - 1) as n_duplicates from (
+@register("dup_count", """select cast(sum(c) as bigint) as n_rows, cast(sum(c - 1) as bigint) as n_duplicates from (
   select count(*) as c from telemetry_dirty group by """ + ", ".join(c for c in DIRTY_ALL if c != "seq") + ") g",
           views=("telemetry_dirty",))
 def q_dup_count(spark, sf_dir):

@@ -29,7 +29,7 @@ class Query:
     def sql(self) -> str | None:
         if self.body is None:
             return None
-        return rounded(with_views(self.body, self.views), self.digits)
+        return rounded(with_views(bigint_counts(self.body), self.views), self.digits)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return finalize(self.build(spark, sf_dir), self.digits)
@@ -38,6 +38,26 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``cast(... as bigint)``: DuckDB widens it to a 128-bit
+    integer, Spark returns bigint."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        inner = bigint_counts(sql[j + len(key):k])
+        out.append(sql[i:j] + "cast(count_if(" + inner + ") as bigint)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None, views=("telemetry",), doubles=(), digits=6,
              special: dict[str, int] | None = None):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""

@@ -37,7 +37,11 @@ def test_query_matches_oracle(spark, con, name):
     import __spark_entry__ as E
     df = E.queries()[name](spark, SF_SMALL)
     pdf = df.toPandas()
-    odf = con.execute(E.oracle_sql()[name]).fetchdf()
+    rel = con.sql(E.oracle_sql()[name])
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    spark_types = {f.name: names.get(f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    odf = rel.fetchdf()
     cols = sorted(pdf.columns)
     assert cols == sorted(odf.columns)
     a = sorted((tuple(_norm(r[c]) for c in cols) for _, r in pdf.iterrows()), key=repr)
