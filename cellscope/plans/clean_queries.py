@@ -110,7 +110,7 @@ def q_scale_check(spark, sf_dir):
 
 
 @register("log1p_target", """select battery_id, seq, ln(1 + internal_resistance) as log1p_internal_resistance
-from telemetry""", doubles=["log1p_internal_resistance"], digits=9)
+from telemetry""", doubles=["log1p_internal_resistance"])
 def q_log1p_target(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     return clean.log1p_target(t, "internal_resistance").select(*KEYS, "log1p_internal_resistance")

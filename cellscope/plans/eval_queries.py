@@ -35,8 +35,7 @@ def q_mae_pct_range(spark, sf_dir):
     return ev.mae_pct_range(scores(spark, sf_dir))
 
 
-@register("residuals", "select battery_id, seq, y - yhat as residual from scores", views=S, doubles=["residual"],
-          digits=9)
+@register("residuals", "select battery_id, seq, y - yhat as residual from scores", views=S, doubles=["residual"])
 def q_residuals(spark, sf_dir):
     return ev.residuals(scores(spark, sf_dir)).select(*KEYS, "residual")
 

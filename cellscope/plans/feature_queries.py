@@ -79,7 +79,7 @@ SQ = ["internal_resistance_sq", "thermal_stress_index_sq", "aging_indicator_sq"]
 
 @register("poly_sq", """select battery_id, seq, internal_resistance * internal_resistance as internal_resistance_sq,
   thermal_stress_index * thermal_stress_index as thermal_stress_index_sq,
-  aging_indicator * aging_indicator as aging_indicator_sq from telemetry""", doubles=SQ, digits=9)
+  aging_indicator * aging_indicator as aging_indicator_sq from telemetry""", doubles=SQ)
 def q_poly_sq(spark, sf_dir):
     return fe.poly_sq(telemetry(spark, sf_dir)).select(*KEYS, *SQ)
 

@@ -73,11 +73,11 @@ def register(name: str, sql: str | None = None, views=("telemetry",), doubles=()
 
 
 def finalize(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Round double columns (declared digits, else 6)."""
+    """Round double columns (declared digits, else 6); + 0.0 normalizes -0.0."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits.get(f.name, 6)).alias(f.name))
+            out.append((F.round(F.col(f.name), digits.get(f.name, 6)) + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

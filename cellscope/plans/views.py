@@ -66,5 +66,6 @@ def rounded(sql: str, cols: dict[str, int]) -> str:
     """Wrap ``sql`` so the listed double columns are rounded (digits per column)."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {d}) as {c}" for c, d in cols.items())
+    # + 0e0 turns a rounded -0.0 into 0.0 (DuckDB keeps the sign of tiny negatives)
+    rep = ", ".join(f"round({c}, {d}) + 0e0 as {c}" for c, d in cols.items())
     return f"select * replace ({rep}) from (\n{sql}\n) q"
