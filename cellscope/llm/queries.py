@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cellscope.llm import mixing, packing, pii, quality, secrets
+from cellscope.llm import langid, mixing, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
     "op3_packing": packing.op3,
     "op5_pii": pii.op5,
+    "op6_language_id": langid.op6,
     "op7_mixing": mixing.op7,
     "op8_quality_rules": quality.op8,
 }
