@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellscope.llm import langid, mixing, packing, pii, quality, secrets, toxicity
+from cellscope.llm import fingerprints, langid, mixing, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": langid.op6,
     "op7_mixing": mixing.op7,
     "op8_quality_rules": quality.op8,
+    "op9_fingerprints": fingerprints.op9,
     "op10_toxicity": toxicity.op10,
 }
 
