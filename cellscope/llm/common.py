@@ -48,3 +48,19 @@ def spans_text(spans: Column) -> Column:
 
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+BLOCK = 256
+
+
+def prefix_sums(sizes: Column) -> Column:
+    """Sum of all earlier values for each place of an array of longs, in two levels, so that
+    the work on n values is about n * BLOCK / 2 and not n * n / 2."""
+    def of(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")),
+                             lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+        return let(blocks, lambda parts: let(
+            F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda part, b: let(
+                total(F.slice(sums, F.lit(1), b)), lambda off: F.transform(
+                    part, lambda _, i: off + total(F.slice(part, F.lit(1), i))))))))
+    return F.when(F.size(sizes) > 0, let(sizes, of)).otherwise(F.array().cast("array<bigint>"))

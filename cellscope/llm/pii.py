@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellscope.llm.common import count_kind, let, spans_text, table
+from cellscope.llm.common import count_kind, let, prefix_sums, spans_text, table
 
 CONTEXT = 40       # code points on either side of a span whose words adjust its score
 MIN_SCORE = 0.6
@@ -91,26 +91,6 @@ KINDS = (
          lambda t: t.rlike(r"[0-9]{3}-[0-9]{4}"), lambda m: F.lit(True), PHONE_WORDS, 0.4),
 )
 
-BLOCK = 256
-
-
-def prefix_sums(sizes: Column) -> Column:
-    """Sum of all earlier values for each place of an array of longs, in two levels, so that
-    the work on n values is about n * BLOCK / 2 and not n * n / 2."""
-    def of(v):
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")),
-                             lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
-        return let(blocks, lambda parts: let(
-            F.transform(parts, _sum), lambda sums: F.flatten(F.transform(parts, lambda part, b: let(
-                _sum(F.slice(sums, F.lit(1), b)), lambda off: F.transform(
-                    part, lambda _, i: off + _sum(F.slice(part, F.lit(1), i))))))))
-    return F.when(F.size(sizes) > 0, let(sizes, of)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def proposals(text: Column, kind: Kind) -> Column:
     """All matches in a text: array of (start, end, match), by start."""
     pattern = F.lit(kind.pattern)

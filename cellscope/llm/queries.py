@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cellscope.llm import fingerprints, langid, mixing, packing, pii, quality, secrets, toxicity
+from cellscope.llm import chat, fingerprints, langid, mixing, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
+    "op2_chat_formatting": chat.op2,
     "op3_packing": packing.op3,
     "op5_pii": pii.op5,
     "op6_language_id": langid.op6,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat_formatting": chat.SQL,
     "op8_quality_rules": quality.SQL,
 }
