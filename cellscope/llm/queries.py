@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cellscope.llm import chat, fingerprints, langid, mixing, packing, pii, quality, secrets, toxicity
+from cellscope.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
     "op2_chat_formatting": chat.op2,
     "op3_packing": packing.op3,
+    "op4_ngram_jaccard": jaccard.op4,
     "op5_pii": pii.op5,
     "op6_language_id": langid.op6,
     "op7_mixing": mixing.op7,
