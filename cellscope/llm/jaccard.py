@@ -296,30 +296,55 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return connected(checkpointed(stars.unionByName(more))).select(F.col("v").alias("sig"), "component")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, n_shingles, component_id (the smallest id reachable)."""
+def placed_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sig) of every row, and (sig, component) of every class."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     members = checkpointed(rows.mapInArrow(_members, f"_id {kind}, n bigint, sig bigint"))
-    classes = checkpointed(members.where("sig is not null").groupBy("sig").agg(
-        F.min("_id").alias("least_id"), F.first("n").cast("int").alias("n")))
-    found = checkpointed(link_components(rows.select("_text"), classes.select("sig", "n")))
-    # the smallest id of each component, over its classes
-    named = found.join(classes, "sig").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of = classes.join(found, "sig", "left").join(named, "component", "left") \
-        .select("sig", F.coalesce("component_id", "least_id").alias("component_id"))
-    got = members.join(of, "sig", "left")
+    classes = checkpointed(members.where("sig is not null").groupBy("sig").agg(F.first("n").cast("int").alias("n")))
+    found = link_components(rows.select("_text"), classes)
+    return members, checkpointed(classes.join(found, "sig", "left").select("sig", F.coalesce("component", "sig").alias("component")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``id_col``, n_shingles, component_id (the smallest id reachable)."""
+    members, of = placed_rows(df, id_col, text_col)
+    least = members.groupBy("sig").agg(F.min("_id").alias("least"))
+    named = of.join(least, "sig").withColumnRenamed("least", "own")
+    smallest = named.groupBy("component").agg(F.min("own").alias("component_id"))
+    got = members.join(named.join(smallest, "component").select("sig", "component_id"), "sig", "left")
     return got.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("sig").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _tagged(text_at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, sets in _sets(batch, text_at):
+                sig = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.slice(row, end - row) for c in batch.columns], sig], [*names, "sig"])
+    return run
+
+
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay when one document of each component does: the one with the smallest id.
-    Of rows with one id that are near copies, one stays; rows without an id are told apart by
-    text only, and one row of each text stays."""
-    found = near_duplicates(df, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows that stay, with all their columns, when one row of each component does: the one
+    with the smallest id (NULL last), and of several texts with that id the one whose set has the
+    smallest number. Of rows without words one of each id stays."""
+    members, of = placed_rows(df, id_col, text_col)
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("sig").alias("sig"))
+    stays = members.join(of, "sig").groupBy("component").agg(F.min(order).alias("o")) \
+        .select(F.col("o.sig").alias("_sig"), F.col("o.id").alias("_id"))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain, at, key = df.toDF(*names), df.columns.index(text_col), names[df.columns.index(id_col)]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields], "sig bigint"])
+    rows = plain.mapInArrow(_tagged(at, names), schema)
+    # one key for the join and the removal of copies; rows without words spread by their id
+    place = lambda sig, own: F.xxhash64(F.coalesce(sig, F.xxhash64(own)), own)
+    rows = rows.withColumn("_place", place(F.col("sig"), F.col(key)))
+    stays = stays.withColumn("_at", place(F.col("_sig"), F.col("_id")))
+    kept = rows.join(stays, (F.col("_place") == F.col("_at")) & (F.col("sig") == F.col("_sig")) & F.col(key).eqNullSafe(F.col("_id")), "left") \
+        .where(F.col("sig").isNull() | F.col("_sig").isNotNull())
+    return kept.dropDuplicates(["_place", "sig", key]).select(*names).toDF(*df.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

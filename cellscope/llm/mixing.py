@@ -7,15 +7,15 @@ floor(r) certain copies of each document. The rest of the target is a sample wit
 replacement: documents are ranked by the odds of a random number over the odds of their
 inclusion, which are unequal (proportional to the square root of a document's size), and are
 taken in this order until the words are reached. The words still missing then are filled with
-the largest documents that fit, ``FILLS`` times. Only whole documents are taken.
+the largest document that fits, up to ``FILLS`` times. Only whole documents are taken.
 
-The random number is a digest of the id and the text, so reruns agree. Ranking never gathers a
+The random number is a digest of the id, source and text, so reruns agree. Ranking never gathers a
 source: ranks fall into ``BUCKETS`` buckets a source, their sums show where the sample ends, and
 only the bucket in which it ends is sorted.
 
-Edge cases: a NULL or empty text has size 0 and takes 0; rows with equal ids and texts have
-equal ranks and are taken in an order that makes no difference; a NULL source is a source of its
-own; an empty table gives an empty result; other columns are not read by ``mix``.
+Edge cases: a NULL or empty text has size 0 and takes 0; rows alike in id, source and text are
+sampled together, all or none; a NULL source is a source of its own; an empty table gives an
+empty result; other columns are not read by ``mix``.
 """
 
 from __future__ import annotations
@@ -28,16 +28,17 @@ from cellscope.llm.common import checkpointed, table, word_array
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 BUCKETS = 4096
-FILLS = 2
+FILLS = 6
+SALTS = 64     # parts that a source is dealt to in joins
 
 
-def ranked_sources(sizes: DataFrame) -> DataFrame:
+def ranked_sources(units: DataFrame) -> DataFrame:
     """(source, source_size, weight): one row a source. Sources are numbered in the order of a
     range partitioning, so that no task holds them all."""
-    per = checkpointed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    per = checkpointed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")))
     ordered = per.orderBy(F.col("source").asc_nulls_last())
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], WEIGHTS[x[1] % len(WEIGHTS)]))
-    return checkpointed(sizes.sparkSession.createDataFrame(numbered, "source string, source_size bigint, weight int"))
+    return checkpointed(units.sparkSession.createDataFrame(numbered, "source string, source_size bigint, weight int"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -57,99 +58,99 @@ def targets(sources: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(share), cap.cast("double")))
 
 
-def sizes_of(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size, u): the words of each document and its random number in (0, 1)."""
+def alike(id_col: Column, source: Column, text: Column) -> Column:
+    """A digest that rows share if they are alike in id, source and text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    return F.md5(F.concat_ws("|", part(id_col), part(source), F.coalesce(text, F.lit(""))))
+
+
+def units_of(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(key, id, source, size, rows): the words of each document and the rows that are alike."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
-    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                     F.size(word_array(text)).cast("long").alias("size"), u.alias("u"))
+    rows = df.select(alike(F.col(id_col), F.col(source_col), text).alias("key"), F.col(id_col).alias("id"),
+                     F.col(source_col).alias("source"), F.size(word_array(text)).cast("long").alias("size"))
+    return rows.groupBy("key").agg(F.first("id").alias("id"), F.first("source").alias("source"),
+                                   F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
 
 
-def rank_key(u: Column, size: Column, rest: Column, source_size: Column) -> Column:
-    """Odds of u over odds of inclusion. The odds of inclusion are the source's sampling odds
-    times the square root of the size."""
+def rank_of(key: Column, size: Column, rest: Column, source_size: Column) -> Column:
+    """Odds of a random number over odds of inclusion, as a number in (0, 1) of the same order.
+    The odds of inclusion are the source's sampling odds times the square root of the size."""
+    u = (F.conv(F.substring(key, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     rate = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), rest / source_size))
-    return (u / (1 - u)) / (F.sqrt(size.cast("double")) * (rate / (1 - rate)))
+    odds = (u / (1 - u)) / (F.sqrt(size.cast("double")) * (rate / (1 - rate)))
+    return odds / (1 + odds)
+
+
+def by_source(rows: DataFrame, one_each: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows (s, key, ...) with a table that has one row a source, dealing each source to
+    SALTS parts, so that a frequent one does not meet in one task."""
+    names = [c for c in one_each.columns if c != "s"]
+    right = one_each.select(F.col("s").alias("_s"), *names, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    x = rows.withColumn("_salt", salt)
+    return x.join(right, F.col("s").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_part")), how).drop("_s", "_part", "_salt")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies (whole times taken)."""
-    docs = checkpointed(sizes_of(df, id_col, text_col, source_col))
-    sources = checkpointed(targets(ranked_sources(docs)))
+    """One row per kind of alike rows: key, id, source, size, rows, source_size, target, copies
+    (how often the mix takes each of the rows)."""
+    units = checkpointed(units_of(df, id_col, text_col, source_col))
+    sources = checkpointed(targets(ranked_sources(units)))
     s = sources.select(F.col("source").alias("s"), "source_size", "target",
-                       F.floor(F.try_divide(F.col("target"), F.col("source_size"))).cast("long").alias("certain")) \
-        .withColumn("certain", F.coalesce("certain", F.lit(0).cast("long"))) \
+                       F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long").alias("certain")) \
         .withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    x = docs.join(s, F.col("source").eqNullSafe(F.col("s")))
-    key = rank_key(F.col("u"), F.col("size"), F.col("rest"), F.col("source_size"))
-    # documents without words have no odds; they come last and take nothing
-    x = x.withColumn("key", F.when(F.col("size") > 0, key)) \
-        .withColumn("bucket", F.when(F.col("size") > 0, F.least(F.lit(BUCKETS - 1), F.floor(F.col("key") / (1 + F.col("key")) * BUCKETS).cast("int"))))
-    sums = checkpointed(x.where("size > 0").groupBy("s", "rest", "bucket").agg(F.sum("size").alias("in_bucket")))
+    x = by_source(units.withColumn("s", F.col("source")), s).withColumn("words", F.col("size") * F.col("rows"))
+    # documents without words have no odds; they take nothing
+    rank = rank_of(F.col("key"), F.col("size"), F.col("rest"), F.col("source_size"))
+    x = x.withColumn("rank", F.when(F.col("words") > 0, rank)) \
+        .withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank") * BUCKETS)).cast("int"))
+    sums = x.where("words > 0").groupBy("s", "rest", "bucket").agg(F.sum("words").alias("in_bucket"))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = checkpointed(
-        sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0).cast("long")))
-        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest")))
-        .select(F.col("s").alias("e"), F.col("bucket").alias("end_bucket"), "before"))
-    y = x.join(ends, F.col("s").eqNullSafe(F.col("e")), "left")
+    ends = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0).cast("long"))) \
+        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))) \
+        .select("s", F.col("bucket").alias("end_bucket"), "before")
+    y = checkpointed(by_source(x, ends, "left"))
     # only the bucket in which a source's sample ends is sorted
-    at_end = y.where(F.col("bucket") == F.col("end_bucket")).select("s", "id", "u", "size", "key", "before")
-    upto = Window.partitionBy("s").orderBy("key", "id", "u", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = checkpointed(
-        at_end.withColumn("upto", F.col("before") + F.sum("size").over(upto))
-        .join(s.select(F.col("s").alias("s2"), "rest"), F.col("s").eqNullSafe(F.col("s2")))
+    upto = Window.partitionBy("s").orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, 0)
+    edge = y.where(F.col("bucket") == F.col("end_bucket")).withColumn("upto", F.col("before") + F.sum("words").over(upto)) \
         .groupBy("s").agg(
             F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("reached"),
-            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("key", "id", "u"))).alias("first_out"),
+            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("rank", "key"))).alias("first_out"),
             F.first("before").alias("before"), F.first("rest").alias("rest"))
-        .select("s", "first_out", (F.col("rest") - F.coalesce("reached", "before")).alias("gap")))
-    z = y.join(edge.select(F.col("s").alias("e2"), "first_out", "gap"), F.col("s").eqNullSafe(F.col("e2")), "left")
-    taken = F.when(F.col("size") == 0, False).when(F.col("first_out").isNull(), F.col("rest") > 0) \
-        .otherwise(F.struct("key", "id", "u") < F.col("first_out"))
-    z = z.withColumn("sampled", taken)
-    fills = edge.select("s", "gap")
-    chosen = None
-    for _ in range(FILLS):
-        left = z.where("not sampled and size > 0 and gap is not null").select("s", "id", "u", "size")
-        if chosen is not None:
-            left = left.join(chosen.select(F.col("s").alias("cs"), F.col("pick.id").alias("ci"), F.col("pick.u").alias("cu")),
-                             F.col("s").eqNullSafe(F.col("cs")) & F.col("id").eqNullSafe(F.col("ci")) & (F.col("u") == F.col("cu")), "left_anti")
-        best = left.join(fills.select(F.col("s").alias("fs"), F.col("gap").alias("open")), F.col("s").eqNullSafe(F.col("fs"))) \
-            .where(F.col("size") <= F.col("open")) \
-            .groupBy("s", "open").agg(F.max(F.struct("size", "id", "u")).alias("pick"))
-        best = checkpointed(best.select("s", "pick", (F.col("open") - F.col("pick.size")).alias("gap")))
-        chosen = best.select("s", "pick") if chosen is None else chosen.unionByName(best.select("s", "pick"))
-        fills = best.select("s", "gap")
-    picked = chosen.select(F.col("s").alias("ps"), F.col("pick.id").alias("pi"), F.col("pick.u").alias("pu"), F.lit(1).alias("filled"))
-    # rows alike in id and text share one rank; a filled place goes to one of them only
-    z = z.withColumn("twin", F.when(~F.col("sampled") & F.col("gap").isNotNull() & (F.col("size") > 0), F.lit(1)))
-    z = z.join(picked, F.col("s").eqNullSafe(F.col("ps")) & F.col("id").eqNullSafe(F.col("pi")) & (F.col("u") == F.col("pu"))
-               & (F.col("twin") == 1), "left")
+    edge = checkpointed(edge.select("s", "first_out", (F.col("rest") - F.coalesce("reached", "before")).alias("gap")))
+    z = by_source(y, edge, "left")
+    z = z.withColumn("sampled", F.when(F.col("words") == 0, False).when(F.col("first_out").isNull(), F.col("rest") > 0)
+                     .otherwise(F.struct("rank", "key") < F.col("first_out")))
+    # the gap is filled with the largest documents that fit
+    rest_of = z.where("not sampled and words > 0 and gap is not null").select("s", "key", "words", "gap")
+    taken = checkpointed(rest_of.where("words <= gap").groupBy("s").agg(F.max(F.struct("words", "key")).alias("pick")))
+    for _ in range(FILLS - 1):
+        gone = taken.groupBy("s").agg(F.sum("pick.words").alias("w"), F.collect_set("pick.key").alias("k"))
+        left = by_source(rest_of, gone).where((F.col("words") <= F.col("gap") - F.col("w")) & ~F.array_contains("k", F.col("key")))
+        best = checkpointed(left.groupBy("s").agg(F.max(F.struct("words", "key")).alias("pick")))
+        if best.isEmpty():
+            break
+        taken = taken.unionByName(best)
+    taken = taken.select(F.col("pick.key").alias("picked"))
+    z = z.join(taken.withColumn("filled", F.lit(1)), F.col("key") == F.col("picked"), "left")
     extra = F.when(F.col("sampled"), 1).otherwise(F.coalesce("filled", F.lit(0)))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MAX_COPIES), F.col("certain") + extra)).cast("long")
-    return z.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "u",
-                    copies.alias("copies"))
+    return z.select("key", "id", "source", "size", "rows", "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row as many times as the mix takes it, with its columns as they are.
-    Rows are told apart by id and text."""
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
-    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    took = mix(df, id_col, text_col, source_col).groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("u").alias("_v")) \
-        .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    """The mix itself: each row as many times as the mix takes it, with its columns as they are."""
+    took = mix(df, id_col, text_col, source_col).where("copies > 0").select(F.col("key").alias("_k"), F.col("copies").alias("_copies"))
     names = [f"c{i}" for i in range(len(df.columns))]
     x = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)],
-                  F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), u.alias("_u"))
-    x = x.join(took, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_u") == F.col("_v")))
-    # alike rows share their copies: each gets the whole part, and the first of them by chance the rest
-    each = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.ceil(F.col("_copies") / F.col("_rows")))
-    return x.where(each > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), each.cast("long")))) \
-        .select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
+                  alike(F.col(id_col), F.col(source_col), F.col(text_col)).alias("_key"))
+    x = x.join(took, F.col("_key") == F.col("_k")).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return x.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     got = mix(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"),
-                      (F.col("copies") * F.col("size")).alias("taken"))
+    each = got.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"),
+                       (F.col("copies") * F.col("size")).alias("taken"))
