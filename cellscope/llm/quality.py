@@ -111,7 +111,9 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def clean_documents(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows that pass, with their columns as they were, the cleaned text, and its length."""
-    got = measure(df, text_col).where("kept")
+    # a row number in the condition keeps the filter above the measures; pushed below them it
+    # would repeat all of their expressions
+    got = measure(df, text_col).withColumn("_seen", F.monotonically_increasing_id()).where("kept and _seen >= 0")
     changed = F.col("n_removed_lines") > 0
     new = {text_col: F.when(changed, F.col("cleaned_text")).otherwise(F.col(f"_row.{text_col}"))}
     if chars_col in df.columns:
