@@ -3,6 +3,19 @@
 import hashlib
 import re
 
+SF = "/root/testdata/sf0.001"
+
+#: Rows that every operator over documents must stand: NULLs everywhere, blanks, repeated rows,
+#: ties, a very long text, and extra columns whose names clash with those of results.
+COPY = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+ODD = [
+    (1, COPY, "en", "a"), (1, COPY, "en", "a"), (2, COPY, "en", "a"), (3, COPY + " Fifteen.", "en", "b"),
+    (4, "", "en", "b"), (5, None, None, None), (None, "No id here but some words that stand alone.", "de", None),
+    (None, None, None, "a"), (6, " \t\n\x0b \r\n", "fr", "b"), (7, "a", "en", "a"),
+    (8, "token = \"0123456789abcdef0123\" and mail a@b.co, ünïcode 😀 ip 1.2.3.4 +49 30 1234567 4111 1111 1111 1111", "de", "c"),
+    (9, "word " * 60_000 + "end.", "en", "c"), (10, "x" * 300_000, "en", "c"), (11, "É" * 50 + "\n\n" + "ß ." * 9, "fr", "a"),
+]
+
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()

@@ -1,0 +1,93 @@
+"""Learned operators: language identification and toxicity."""
+
+import random
+
+import numpy as np
+from brute import ODD, SF
+
+from cellscope.llm import langid, toxicity
+
+BIG = "/root/testdata/sf0.01"
+
+
+def test_languages_of_held_out_documents(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = langid.op6(spark, BIG).collect()
+    held = [r for r in rows if r.held_out and lang[r.doc_id]]
+    assert len(held) > 200 and np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows) and {r.lang_pred for r in rows} <= {*filter(None, lang.values()), "und"}
+
+
+def test_models_sum_to_one():
+    """Interpolated probabilities over all symbols that may follow a history sum to one."""
+    import pandas as pd
+    rng = random.Random(3)
+    data = np.frombuffer("".join(rng.choice("ab cd") for _ in range(4000)).encode(), np.uint8)
+    key, _ = langid.grams(*langid.symbols(data, np.array([0, len(data)])))
+    found, n = np.unique(key, return_counts=True)
+    m = langid.fit(pd.DataFrame({"lang": "xx", "gram": found.view(np.int64), "n": n}))
+    seen = np.unique(key & np.uint64(0xFFFF))
+    for history in np.unique(key >> np.uint64(16))[:40]:
+        total = np.exp(langid.log_probs(m, (history << np.uint64(16)) | seen)[:, 0]).sum()
+        assert 0.9 < total < 1.05, total
+
+
+def test_languages_of_odd_rows(spark, tables, odd, none):
+    rows = langid.op6(spark, tables).collect()
+    assert len(rows) == len(ODD)
+    text = {r[0]: r[1] for r in ODD}
+    for r in rows:
+        if r.doc_id is not None and not any(c.isalpha() for c in text[r.doc_id] or ""):
+            assert r.lang_pred == "und" and r.score == 0
+    assert {r.lang_pred for r in langid.identify(odd, none, none).collect()} == {"und"}
+    assert langid.identify(none, odd, odd).count() == 0
+
+
+def test_rejection_is_monotone():
+    score = langid.calibrate({0: (10, 4), 5: (10, 9), 50: (100, 100), 7: (10, 6)})
+    assert np.all(np.diff(score) >= -1e-12) and 0 <= score[0] < score[-1] <= 1
+
+
+def bags(seed=1, n=600):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        lines = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(8)) for _ in range(rng.randint(2, 12))]
+        toxic = i % 4 == 0
+        if toxic:
+            lines[rng.randrange(len(lines))] += " " + rng.choice(["vile", "scummy", "odious"])
+        out.append((i, ". ".join(lines) + ".", int(toxic)))
+    return out
+
+
+def test_toxic_sentences_are_found(spark):
+    rows = bags()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(spark, df.where("doc_id < 400"), "text", "toxic")
+    got = toxicity.score(df.where("doc_id >= 400"), model).collect()
+    truth = {d: (t, y) for d, t, y in rows}
+    assert np.mean([(r.score >= 0.7) == bool(truth[r.doc_id][1]) for r in got]) > 0.97
+    for r in got:
+        for s in r.sentences:
+            assert any(w in truth[r.doc_id][0][s.start:s.end] for w in ("vile", "scummy", "odious"))
+
+
+def test_toxicity_of_held_out_documents(spark):
+    big = "/root/testdata/sf0.1"
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    rows = toxicity.op10(spark, big).collect()
+    held = [(r.score, y[r.doc_id]) for r in rows if r.held_out and y.get(r.doc_id) is not None]
+    pos, neg = [s for s, v in held if v], [s for s, v in held if not v]
+    auc = np.mean([np.mean([(p > n) + 0.5 * (p == n) for n in neg]) for p in pos])
+    assert auc > 0.88
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def test_toxicity_of_odd_rows(spark, tables, none):
+    rows = toxicity.op10(spark, tables).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(none, (np.zeros(1 << toxicity.BITS), -1.0)).count() == 0
+    weight, bias = toxicity.fit([], np.zeros(0, int))
+    assert not weight.any() and bias == -np.inf
+    only = toxicity.score(spark.read.parquet(f"{SF}/documents.parquet"), (weight, bias))
+    assert only.where("score != 0").count() == 0
