@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rule and score constants of the reference.
@@ -26,11 +26,17 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
 
 def over_voltage(action_v: str | Column = "action_voltage",
                  terminal_v: str | Column = "terminal_voltage") -> Column:
-    """``action_voltage > 4.15 OR terminal_voltage > 4.18`` as 0/1; NULL (or absent) counts as 0."""
+    """``action_voltage > 4.15 OR terminal_voltage > 4.18`` as 0/1; NULL counts as 0."""
     rule = (col(action_v) > F.lit(OVER_VOLTAGE_ACTION_V)) | (col(terminal_v) > F.lit(OVER_VOLTAGE_TERMINAL_V))
     return F.coalesce(rule, F.lit(False)).cast("int")
 
 
+def over_voltage_of(df: DataFrame) -> Column:
+    """``over_voltage`` over the columns of ``df``; an absent one counts as 0."""
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("double")
+    return over_voltage(have("action_voltage"), have("terminal_voltage"))
+
+
 def temp_flag(prob: str | Column, threshold: float = 0.5) -> Column:
     """``prob >= threshold`` as 0/1."""
     return F.coalesce(col(prob) >= F.lit(float(threshold)), F.lit(False)).cast("int")
@@ -38,11 +44,13 @@ def temp_flag(prob: str | Column, threshold: float = 0.5) -> Column:
 
 def soc_bin(x: str | Column, lo: str | Column, hi: str | Column, k: int) -> Column:
     """``pd.cut(x, bins=k, labels=False)``: k equal-width right-closed bins over [lo, hi],
-    the minimum falls in bin 0; NULL when lo == hi."""
+    the minimum falls in bin 0. A constant column lies in the middle of a widened range, as in
+    pandas: bin 9 of 20, bin 4 of 10."""
     width = F.try_divide(col(hi) - col(lo), F.lit(float(k)))
     raw = F.ceil(F.try_divide(col(x) - col(lo), F.nullif(width, F.lit(0.0)))) - 1
     # greatest() skips NULLs, so keep the NULL of a zero-width range explicitly
-    return F.when(raw.isNotNull(), F.greatest(F.lit(0), raw.cast("int")))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0), raw.cast("int"))) \
+        .when(col(x).isNotNull() & (col(lo) == col(hi)), F.lit((k + 1) // 2 - 1))
 
 
 def adjusted_skew(skew_pop: str | Column, n: str | Column) -> Column:
@@ -58,7 +66,8 @@ def ir_health(ir: str | Column, ir_min: str | Column, ir_max: str | Column) -> C
 
 
 def flag_health(flag: str | Column) -> Column:
-    return F.when(col(flag) == 1, F.lit(FLAG_BAD_SCORE)).otherwise(F.lit(FLAG_OK_SCORE))
+    """100 only where the flag is 0; a NULL flag does not count as safe."""
+    return F.when(col(flag) == 0, F.lit(FLAG_OK_SCORE)).otherwise(F.lit(FLAG_BAD_SCORE))
 
 
 def weighted_health(ir_h: Column, thermal_h: Column, voltage_h: Column) -> Column:

@@ -47,7 +47,7 @@ def residuals(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
 def confusion(df: DataFrame, label: str = "label", prob: str = "prob", threshold: float = 0.5,
               by: Sequence[str] = ()) -> DataFrame:
     """TP, FP, FN, TN at ``prob >= threshold``."""
-    pred = F.col(prob) >= F.lit(float(threshold))
+    pred = F.coalesce(F.col(prob) >= F.lit(float(threshold)), F.lit(False))  # no score: not flagged
     pos = F.col(label) == 1
     return df.groupBy(*by).agg(F.count_if(pred & pos).alias("tp"), F.count_if(pred & ~pos).alias("fp"),
                                F.count_if(~pred & pos).alias("fn"), F.count_if(~pred & ~pos).alias("tn"))
@@ -169,8 +169,8 @@ def threshold_sweep(df: DataFrame, label: str = "label", prob: str = "prob",
 
 
 def missed_events(df: DataFrame, label: str = "label", prob: str = "prob", threshold: float = 0.5) -> DataFrame:
-    """Rows with label 1 and prediction 0."""
-    return df.where((F.col(label) == 1) & (F.col(prob) < F.lit(float(threshold))))
+    """Rows with label 1 and prediction 0; a row without a score is not flagged."""
+    return df.where((F.col(label) == 1) & ~F.coalesce(F.col(prob) >= F.lit(float(threshold)), F.lit(False)))
 
 
 def r2_band(r2: Column) -> Column:
@@ -190,9 +190,9 @@ def learning_gap_band(train_rmse: Column, val_rmse: Column) -> Column:
     return F.when(gap > 0.5 * train_rmse, "overfit").when(train_rmse > 0.01, "underfit").otherwise("good")
 
 
-def select_regressor(metrics: DataFrame, model_col: str = "model") -> DataFrame:
-    """Lowest RMSE (ties: first by name)."""
-    return metrics.agg(F.min_by(model_col, F.struct(F.col("rmse"), F.col(model_col))).alias("selected"))
+def select_regressor(metrics: DataFrame, model_col: str = "model", order_col: str = "order") -> DataFrame:
+    """Lowest RMSE; ties go to the first listed (``order_col``)."""
+    return metrics.agg(F.min_by(model_col, F.struct(F.col("rmse"), F.col(order_col))).alias("selected"))
 
 
 def select_classifier(metrics: DataFrame, model_col: str = "model", order_col: str = "order",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.operators.ordering import (
-    DEFAULT_CHUNK_ROWS, attach_row, exact_quantiles, rolling_frame, with_position,
+    DEFAULT_CHUNK_ROWS, attach_row, exact_quantiles, join_null_safe, rolling_frame, with_position,
 )
 
 # Engineering constants of the reference.
@@ -33,7 +33,7 @@ def ir_baseline(df: DataFrame, split_col: str = "split", order_col: str = "seq",
 def delta_ir(df: DataFrame, baseline: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """IR minus the training baseline (always the train baseline, also at inference)."""
     if per:
-        x = df.join(baseline, on=list(per), how="left")
+        x = join_null_safe(df, baseline, list(per), "left")
     else:
         x = attach_row(df, baseline, "_base").withColumn("baseline_ir", F.col("_base.baseline_ir")).drop("_base")
     return x.withColumn("delta_internal_resistance", F.col("internal_resistance") - F.col("baseline_ir")) \
@@ -59,10 +59,8 @@ def soc_range_rolling(df: DataFrame, window: int = SOC_WINDOW,
     med = exact_quantiles(r, ["_soc_rng"], [0.5], by=list(fill_by)).select(*fill_by, F.col("value").alias("_med"))
     if not fill_by:
         out = attach_row(r, med, "_m").withColumn("_med", F.col("_m._med")).drop("_m")
-    elif list(fill_by) == ["split"]:
-        out = r.join(F.broadcast(med), on="split", how="left")  # train / val / test: three rows
     else:
-        out = r.join(med, on=list(fill_by), how="left")
+        out = join_null_safe(r, med, list(fill_by), "left")
     out = out.withColumn("soc_range_rolling", F.coalesce("_soc_rng", "_med")).drop("_soc_rng", "_med")
     return out.drop("_rpos") if "_rpos" in out.columns else out
 

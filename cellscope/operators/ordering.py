@@ -4,7 +4,8 @@ A ``Window.partitionBy(g).orderBy(k)`` puts every row of a group in one task, an
 without ``partitionBy`` Spark plans ``Exchange SinglePartition``. Both break when
 one battery (or the whole table, read as one sequence) holds a third of the rows.
 
-``running_totals`` instead:
+``running_totals`` orders groups of up to ``GROUP_ROWS`` rows by such a window. Where a group is
+larger, which one count over the group columns tells, or without ``by``, it instead:
 
 1. takes ``K`` approximate quantile bounds of the order key over the whole input
    (one driver-side pass, embedded as a literal array so every evaluation agrees) and
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_ROWS = 1_000_000
+GROUP_ROWS = 1_000_000  # rows of a group that one task may order; larger groups are bucketed
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -37,6 +39,11 @@ def default_buckets(df: DataFrame) -> int:
     return 1 << (k - 1).bit_length()
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group: one count that reads the group columns only."""
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
 def quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     """K-1 approximate quantile bounds of ``col`` (sorted, unique), as a driver-side list
     (one pass over ``df``; at most K-1 numbers)."""
@@ -80,6 +87,18 @@ def with_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bk") -> Da
     return x.drop("_bq")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the keys of ``right`` are dropped. Without keys the
+    right side must have one row, which is attached."""
+    names = {k: f"_r_{k}" for k in keys}
+    r = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    on = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(names[k]))
+        on = c if on is None else on & c
+    return left.join(r, on, how).drop(*names.values())
+
+
 def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
                    weights: dict[str, Column | str] | None = None, descending: bool = False,
                    n_buckets: int | None = None, prefix: str = "cum_",
@@ -93,6 +112,14 @@ def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
     by = list(by)
     weights = weights or {"rows": F.lit(1)}
     wcols = {name: (F.col(w) if isinstance(w, str) else w) for name, w in weights.items()}
+    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if by and n_buckets is None and largest_group(df, by) <= GROUP_ROWS:
+        # no group is too large for one task: one shuffle, no bounds, no join
+        inside = Window.partitionBy(*by).orderBy(oc, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*by)
+        return df.select(
+            "*", *[F.sum(c.cast("double")).over(inside).alias(f"{prefix}{n}") for n, c in wcols.items()],
+            *[F.sum(c.cast("double")).over(whole).alias(f"{total_prefix}{n}") for n, c in wcols.items()])
     k = n_buckets or default_buckets(df)
     base = df.select("*", *[c.cast("double").alias(f"_w_{n}") for n, c in wcols.items()])
     base = with_bucket(base, order_col, k)
@@ -107,8 +134,7 @@ def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0.0)).alias(f"_o_{n}") for n in wcols],
         *[F.sum(f"_s_{n}").over(whole).alias(f"{total_prefix}{n}") for n in wcols],
     )
-    joined = base.join(offs, on=[*by, "_bk"], how="inner")
-    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    joined = join_null_safe(base, offs, [*by, "_bk"])
     inside = Window.partitionBy(*by, "_bk").orderBy(oc, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     out = joined.select(
         *df.columns,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellscope.functions.exprs import adjusted_skew
 from cellscope.operators.clean import long_table
-from cellscope.operators.ordering import attach_row, exact_quantiles, with_position
+from cellscope.operators.ordering import attach_row, exact_quantiles, join_null_safe, with_position
 
 # Thresholds and pairs of the reference's analysis.
 DESCRIBE_PERCENTILES = [0.01, 0.25, 0.5, 0.75, 0.99]
@@ -114,30 +114,28 @@ def group_dist(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
     qw = q.groupBy(group_col, "feature").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value")) \
         .select(group_col, "feature", F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"),
                 F.col("`0.75`").alias("q3"))
-    return base.join(qw, [group_col, "feature"], "left")
+    return join_null_safe(base, qw, [group_col, "feature"], "left")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], wide_at: int = 40) -> DataFrame:
-    """Pearson r for every pair i < j (in column order).
+    """Pearson r for every pair i < j (in column order), over the rows that have both values.
 
-    Up to ``wide_at`` pairs: one aggregation pass of ``corr`` (pairwise-complete rows).
-    Wider: MLlib ``Correlation`` over an assembled vector (one tree aggregation of the
-    covariance; rows with a NULL in any column are skipped, which equals the pairwise result
-    when the table has no NULLs). The p x p result is bounded by the column list."""
+    One aggregation pass of ``corr`` with partial sums. A wide table without a NULL in these
+    columns, for which every pair has all rows, takes MLlib's one pass over vectors instead: the
+    same numbers without hundreds of aggregates in a plan. The p x p result is bounded by the
+    column list."""
     pairs = list(combinations(cols, 2))
-    if len(pairs) > wide_at:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        v = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("_v")
-        m = Correlation.corr(v, "_v").first()[0].toArray()
-        rows = [(a, b, None if m[i][j] != m[i][j] else float(m[i][j]))
-                for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-        return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r"))
-               for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    some_null = F.bool_or(F.greatest(*[F.col(c).isNull() for c in cols])) if len(cols) > 1 else F.lit(False)
+    if len(pairs) <= wide_at or df.agg(some_null).first()[0] is not False:
+        return pair_corr(df, pairs)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    v = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("_v")
+    m = Correlation.corr(v, "_v").first()[0].toArray()
+    rows = [(a, b, None if m[i][j] != m[i][j] else float(m[i][j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
 
 
 def high_corr_pairs(corr: DataFrame, threshold: float = HIGH_CORR) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cellscope.functions.exprs import over_voltage, temp_flag
+from cellscope.functions.exprs import over_voltage_of, temp_flag
 from cellscope.operators import fleet as fl
 from cellscope.operators import prep
 
@@ -31,7 +31,7 @@ def predict_batch(df: DataFrame, params: prep.PrepParams, regressor: PipelineMod
     c = c.withColumn("pred_over_temp_prob", vector_to_array("probability")[1])
     out = c.select(*keys, *[F.col(f"_orig_{o}").alias(o) for o in orig], "pred_internal_resistance",
                    "pred_over_temp_prob", temp_flag("pred_over_temp_prob", threshold).alias("pred_over_temp_flag"))
-    return out.withColumn("pred_over_voltage_flag", over_voltage())
+    return out.withColumn("pred_over_voltage_flag", over_voltage_of(out))
 
 
 def score_and_assess(scored: DataFrame, fleet: DataFrame) -> DataFrame:

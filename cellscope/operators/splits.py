@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellscope.operators.ordering import attach_row, with_position
+from cellscope.operators.ordering import attach_row, join_null_safe, with_position
 
 # Split fractions and the rule-fallback floor of the reference.
 TRAIN_FRACTION = 0.70
@@ -47,19 +47,23 @@ def split_info(df: DataFrame, by: Sequence[str] = ("battery_id",), train: float
                     F.floor(n * F.lit(float(val))).cast("long").alias("val_end"), "total")
 
 
+def ts_role(fold: int, k: int = 5, pos_col: str = "split_pos", count_col: str = "split_rows") -> Column:
+    """The role of a row in time fold ``fold`` of k: train, test, or NULL (later rows). Plain
+    arithmetic on its position, so fold loops filter on it and need no join."""
+    n, p = F.col(count_col), F.col(pos_col)
+    s = F.floor(n / (k + 1))
+    start = n - (k - fold) * s
+    return F.when(p < start, "train").when(p < start + s, "test")
+
+
 def ts_folds(df: DataFrame, k: int = 5, pos_col: str = "split_pos", count_col: str = "split_rows",
              keys: Sequence[str] = ("battery_id", "seq")) -> DataFrame:
     """Expanding-window time-series folds (public TimeSeriesSplit definition): test size
     n // (k+1); fold i tests [n - (k-i) s, n - (k-i-1) s) and trains on everything before.
+    A group with fewer than k + 1 rows has no test part; its rows train in every fold.
     Returns one row per (row, fold) it takes part in: keys, fold, role."""
-    n, p = F.col(count_col), F.col(pos_col)
-    s = F.floor(n / (k + 1))
-    entries = []
-    for i in range(k):
-        start = n - (k - i) * s
-        role = F.when(p < start, "train").when(p < start + s, "test")
-        entries.append(F.struct(F.lit(i).alias("fold"), role.alias("role")))
-    x = df.where(s > 0).select(*keys, F.explode(F.array(*entries)).alias("f"))
+    entries = [F.struct(F.lit(i).alias("fold"), ts_role(i, k, pos_col, count_col).alias("role")) for i in range(k)]
+    x = df.select(*keys, F.explode(F.array(*entries)).alias("f"))
     return x.select(*keys, F.col("f.fold").cast("int").alias("fold"), F.col("f.role").alias("role")) \
         .where(F.col("role").isNotNull())
 
@@ -115,7 +119,7 @@ def class_counts(df: DataFrame, label_col: str, split_col: str = "split") -> Dat
     s = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("split_n"),
                                   F.count_if(F.col(label_col) == 1).alias("pos"),
                                   F.count_if(F.col(label_col) == 0).alias("neg"))
-    return c.join(F.broadcast(s), split_col).select(  # one row per split
+    return join_null_safe(c, s, [split_col]).select(
         split_col, F.col(label_col).alias("label"), "n", (F.col("n") / F.col("split_n") * 100).alias("pct"),
         (F.col("neg") / F.greatest(F.col("pos"), F.lit(1))).alias("neg_per_pos"))
 
@@ -135,9 +139,10 @@ def scale_pos_weight(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def with_weight(df: DataFrame, label_col: str, weights: DataFrame, out: str = "weight") -> DataFrame:
-    """Attach per-class weights as a ``weightCol`` (weights table: label, weight; two rows)."""
-    return df.join(F.broadcast(weights.withColumnRenamed("weight", out)),
-                   df[label_col] == F.col("label")).drop("label")
+    """Attach per-class weights as a ``weightCol`` (weights table: label, weight; one row a class). No row
+    is lost: a label without a weight has a NULL weight."""
+    w = weights.select(F.col("label").alias(label_col), F.col("weight").alias(out))
+    return join_null_safe(df, w, [label_col], "left")
 
 
 def feasibility(df: DataFrame, flag_cols: Sequence[str],

@@ -16,20 +16,21 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cellscope.operators import evaluate as ev
-
-# Grid axes of the reference's command-line search (notebook grids are larger
-# and are passed as parameters).
-RF_GRID = {"numTrees": [100, 200], "maxDepth": [10, 20], "minInstancesPerNode": [1, 2, 4],
-           "subsamplingRate": [1.0, 0.8]}
-GBT_REG_GRID = {"maxIter": [100, 300], "maxDepth": [3, 6], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0],
-                "minInfoGain": [0.0, 0.1], "featureSubsetStrategy": ["all", "onethird"]}
-GBT_CLS_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
-SVM_GRID = {"regParam": [0.1, 1.0, 10.0]}
+from cellscope.operators.splits import ts_role
+
+# Axes of the reference's command-line searches that have a counterpart in MLlib
+# (its minimum split size becomes minInstancesPerNode, no depth limit becomes MLlib's largest).
+RF_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode": [2, 5],
+           "featureSubsetStrategy": ["sqrt", "0.5"]}
+GBT_REG_GRID = {"maxIter": [200, 500], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
+GBT_CLS_GRID = {"maxIter": [100, 300], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
+SVM_GRID = {"c": [0.1, 1.0, 10.0]}
+LOGISTIC_C = 1.0
 EARLY_STOP_ROUNDS = 50
 RFE_TREES = 50
 
@@ -54,8 +55,17 @@ def fit_gbt_reg(train: DataFrame, features: Sequence[str], label: str, seed: int
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(train)
 
 
+def reg_of(c: float, train: DataFrame, weight_col: str | None = None) -> float:
+    """MLlib's regParam for a penalty stated as C, which multiplies the summed loss: MLlib takes
+    the mean loss, so it is 1 / (C n), with the sum of the weights for n if there are any."""
+    n = train.agg(F.sum(weight_col)).first()[0] if weight_col else train.count()
+    return 1.0 / (c * n) if n else 0.0
+
+
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, weight_col: str | None = None,
-                 **params) -> PipelineModel:
+                 c: float = LOGISTIC_C, **params) -> PipelineModel:
+    """Class-weighted logistic regression with an L2 penalty on the given scale."""
+    params = {"regParam": reg_of(c, train, weight_col), "elasticNetParam": 0.0, "standardization": False} | params
     lr = LogisticRegression(featuresCol="features", labelCol=label, **params)
     if weight_col:
         lr.setWeightCol(weight_col)
@@ -98,16 +108,22 @@ def rff_transform(df: DataFrame, features: Sequence[str], n_components: int = 64
     return df.withColumn(out, array_to_vector(project(arr)))
 
 
-def fit_kernel_svm(train: DataFrame, features: Sequence[str], label: str, reg_param: float = 1.0,
-                   n_components: int = 64, weight_col: str | None = None, seed: int = 42):
+def fit_kernel_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0,
+                   n_components: int = 64, weight_col: str | None = None, seed: int = 42, parts: int = 3):
     """RBF SVM re-aimed for scale: random Fourier features + LinearSVC, then a logistic
-    calibration on the SVM margin (probabilities). Returns (rff spec, svm model, calibrator)."""
-    x = rff_transform(train, features, n_components, seed=seed)
-    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=reg_param, maxIter=50)
+    calibration (probabilities) of margins that each part of the rows gets from a machine fitted
+    on the other parts. Returns (rff spec, svm model on all rows, calibrator)."""
+    x = rff_transform(train, features, n_components, seed=seed) \
+        .withColumn("_part", F.pmod(F.xxhash64(*features), F.lit(parts)).cast("int"))
+    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=reg_of(c, train, weight_col), maxIter=50)
     if weight_col:
         svc.setWeightCol(weight_col)
     svm = svc.fit(x)
-    margin = svm.transform(x).select(label, vector_to_array("rawPrediction")[1].alias("margin"))
+    margin = None
+    for i in range(parts):
+        m = svc.fit(x.where(F.col("_part") != i)).transform(x.where(F.col("_part") == i)) \
+            .select(label, vector_to_array("rawPrediction")[1].alias("margin"))
+        margin = m if margin is None else margin.unionByName(m)
     cal = LogisticRegression(featuresCol="m", labelCol=label).fit(assemble(margin, ["margin"], "m"))
     return (list(features), n_components, seed), svm, cal
 
@@ -132,25 +148,22 @@ def grid_points(grid: dict) -> list[dict]:
     return pts
 
 
-def grid_search_reg(data: DataFrame, folds: DataFrame, features: Sequence[str], label: str, grid: dict,
-                    make=fit_rf, keys: Sequence[str] = ("battery_id", "seq")) -> DataFrame:
+def grid_search_reg(data: DataFrame, features: Sequence[str], label: str, grid: dict, make=fit_rf, k: int = 5) -> DataFrame:
     """Every grid point x expanding time fold: fit on the fold's train rows, RMSE on its test
-    rows; returns (point, params, fold, rmse) plus per-point mean as ``mean_rmse``.
-    (Expanding folds are not ``CrossValidator`` folds, so the loop is explicit.)"""
+    rows; returns (point, params, fold, rmse), the point's ``mean_rmse`` and whether it is best.
+    Fold roles are filters on the position columns of ``chrono_split``, so there is no join."""
     spark = data.sparkSession
-    joined = data.join(folds, list(keys))
-    n_folds = [r["fold"] for r in folds.select("fold").distinct().collect()]  # at most k values
     rows = []
     for i, pt in enumerate(grid_points(grid)):
-        for f in sorted(n_folds):
-            tr = joined.where((F.col("fold") == f) & (F.col("role") == "train"))
-            te = joined.where((F.col("fold") == f) & (F.col("role") == "test"))
-            m = make(tr, features, label, **pt)
-            rmse = RegressionEvaluator(labelCol=label, metricName="rmse").evaluate(m.transform(te))
-            rows.append((i, str(pt), int(f), float(rmse)))
+        for f in range(k):
+            m = make(data.where(ts_role(f, k) == "train"), features, label, **pt)
+            rmse = RegressionEvaluator(labelCol=label, metricName="rmse").evaluate(m.transform(data.where(ts_role(f, k) == "test")))
+            rows.append((i, str(pt), f, float(rmse)))
     res = spark.createDataFrame(rows, "point int, params string, fold int, rmse double")
     # res holds points x folds rows (driver-built): a window over it is bounded
-    return res.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("point")))
+    res = res.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("point")))
+    best = F.min(F.struct("mean_rmse", "point")).over(Window.partitionBy())
+    return res.withColumn("is_best", F.col("point") == best["point"])
 
 
 def grid_search_cls(data: DataFrame, features: Sequence[str], label: str, grid: dict, fold_col: str = "fold",
@@ -172,11 +185,10 @@ def grid_search_cls(data: DataFrame, features: Sequence[str], label: str, grid:
 
 
 def oof_predict(data: DataFrame, features: Sequence[str], label: str, fold_col: str = "fold",
-                keys: Sequence[str] = ("battery_id", "seq"), fit=fit_logistic, **params) -> DataFrame:
-    """Out-of-fold probabilities: for each fold, fit on the other folds and score this one."""
-    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())  # k values
+                keys: Sequence[str] = ("battery_id", "seq"), fit=fit_logistic, k: int = 5, **params) -> DataFrame:
+    """Out-of-fold probabilities: for each of the k folds, fit on the others and score this one."""
     out = None
-    for f in folds:
+    for f in range(k):
         m = fit(data.where(F.col(fold_col) != f), features, label, **params)
         p = positive_prob(m.transform(data.where(F.col(fold_col) == f))).select(*keys, fold_col, label, "prob")
         out = p if out is None else out.unionByName(p)
@@ -233,25 +245,29 @@ def rfe(train: DataFrame, features: Sequence[str], label: str, keep: int = 15, s
     return spark.createDataFrame(rows, "feature string, rank int")
 
 
-def learning_curve(data: DataFrame, folds: DataFrame, features: Sequence[str], label: str,
-                   fractions: Sequence[float] = tuple(i / 10 for i in range(1, 11)), make=fit_linear,
-                   keys: Sequence[str] = ("battery_id", "seq"), pos_col: str = "split_pos") -> DataFrame:
-    """Train RMSE and validation RMSE for growing prefixes of each time fold's train part
-    (the first fraction of positions), mean and std over folds."""
+def curve_prefix(fraction: float, k: int = 5, pos_col: str = "split_pos", count_col: str = "split_rows") -> Column:
+    """The rows of a learning-curve prefix: in each sequence the first part of the first time
+    fold's train rows, by which the fractions are measured."""
+    n = F.col(count_col)
+    return F.col(pos_col) < F.floor((n - k * F.floor(n / (k + 1))) * F.lit(float(fraction)))
+
+
+def learning_curve(data: DataFrame, features: Sequence[str], label: str,
+                   fractions: Sequence[float] = tuple(i / 10 for i in range(1, 11)), make=fit_linear, k: int = 5) -> DataFrame:
+    """Train and validation RMSE for growing train prefixes, mean and std over k time folds. All
+    folds share a prefix, since it lies in the first one's train part, so each fraction is
+    fitted once and its errors on all test parts come from one pass."""
     spark = data.sparkSession
-    joined = data.join(folds, list(keys))
-    fold_ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
     rows = []
-    for f in fold_ids:
-        tr_all = joined.where((F.col("fold") == f) & (F.col("role") == "train"))
-        te = joined.where((F.col("fold") == f) & (F.col("role") == "test"))
-        lim = tr_all.agg(F.max(pos_col)).first()[0]
-        for fr in fractions:
-            tr = tr_all.where(F.col(pos_col) < F.lit(fr) * (lim + 1))
-            m = make(tr, features, label)
-            e = RegressionEvaluator(labelCol=label, metricName="rmse")
-            rows.append((float(fr), int(f), float(e.evaluate(m.transform(tr))), float(e.evaluate(m.transform(te)))))
-    res = spark.createDataFrame(rows, "fraction double, fold int, train_rmse double, val_rmse double")
-    agg = res.groupBy("fraction").agg(F.avg("train_rmse").alias("train_rmse"), F.stddev("train_rmse").alias("train_std"),
+    error = F.sqrt(F.avg((F.col("prediction") - F.col(label)) * (F.col("prediction") - F.col(label))))
+    for fr in fractions:
+        tr = data.where(curve_prefix(fr, k))
+        m = make(tr, features, label)
+        own = m.transform(tr).agg(error.alias("e"), F.count(F.lit(1)).alias("n")).first()
+        tested = F.array_compact(F.array(*[F.when(ts_role(f, k) == "test", F.lit(f)) for f in range(k)]))
+        each = m.transform(data).withColumn("fold", F.explode(tested)).groupBy("fold").agg(error.alias("e")).collect()  # k rows
+        rows += [(float(fr), int(r["fold"]), int(own["n"]), own["e"], r["e"]) for r in each]
+    res = spark.createDataFrame(rows, "fraction double, fold int, train_rows long, train_rmse double, val_rmse double")
+    agg = res.groupBy("fraction").agg(F.max("train_rows").alias("train_rows"), F.avg("train_rmse").alias("train_rmse"),
                                       F.avg("val_rmse").alias("val_rmse"), F.stddev("val_rmse").alias("val_std"))
     return agg.withColumn("diagnosis", ev.learning_gap_band(F.col("train_rmse"), F.col("val_rmse")))

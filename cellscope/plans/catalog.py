@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-from cellscope.plans import fleet_queries  # noqa: F401
+from cellscope.plans import (  # noqa: F401
+    clean_queries, eval_queries, feature_queries, fleet_queries, holes_queries, model_queries, profile_queries, source_queries,
+    split_queries,
+)
 from cellscope.plans.registry import REGISTRY
 
 
-def _load_all():
-    import importlib
-    for mod in ("cellscope.plans.clean_queries", "cellscope.plans.profile_queries",
-                "cellscope.plans.split_queries", "cellscope.plans.feature_queries",
-                "cellscope.plans.eval_queries", "cellscope.plans.model_queries",
-                "cellscope.plans.source_queries"):
-        try:
-            importlib.import_module(mod)
-        except ModuleNotFoundError as e:
-            if e.name != mod:
-                raise
-
-
-_load_all()
-
-
 def spark_queries():
     return {name: q.run for name, q in REGISTRY.items()}
 

@@ -47,14 +47,17 @@ def q_dedup_first(spark, sf_dir):
     return clean.dedup_first(telemetry_dirty(spark, sf_dir))
 
 
-DIRTY_SPLIT_CTE = SPLIT_CTE.replace("from telemetry t", "from telemetry_dirty t")
+# copies go before the slice, so that none of them lies in another split than its original
+DIRTY_SPLIT_CTE = SPLIT_CTE.replace("from telemetry t", """from (
+    select battery_id, min(seq) as seq, SOC, terminal_voltage, action_voltage, internal_resistance, over_temp_flag
+    from telemetry_dirty group by all) t""")
 IMPUTE_FIT_SQL = DIRTY_SPLIT_CTE + """
 , med as (""" + _union([f"select '{c}' as feature, quantile_cont({c}, 0.5) as median from sp where split = 'train'"
                         for c in DIRTY_COLS]) + ")"
 
 
 def dirty_split(spark, sf_dir):
-    return sp.chrono_split(telemetry_dirty(spark, sf_dir))
+    return sp.chrono_split(clean.dedup_first(telemetry_dirty(spark, sf_dir)))
 
 
 @register("impute_fit", IMPUTE_FIT_SQL + "\nselect * from med", views=("telemetry_dirty",), doubles=["median"])

@@ -184,6 +184,10 @@ CAND_SQL = SPLIT_CTE + """
   from l group by model)"""
 
 
+# Candidate regressors and their columns, in the listed order.
+REG_CANDS = {"scores": "yhat_scores", "battery_mean": "bmean", "fleet_mean": "fmean"}
+
+
 def candidates(spark, sf_dir):
     s = sp.chrono_split(telemetry(spark, sf_dir))
     tr = s.where(F.col("split") == "train")
@@ -193,20 +197,19 @@ def candidates(spark, sf_dir):
         .withColumn("fmean", F.col("_fm.fmean")).drop("_fm")
     t = t.withColumn("yhat_scores", F.col("internal_resistance") + ((F.col("seq") % 21) - 10) * F.lit(0.0001))
     y = F.col("internal_resistance").alias("y")
-    parts = [t.select(F.lit(m).alias("model"), y, F.col(c).alias("yhat"))
-             for m, c in (("scores", "yhat_scores"), ("battery_mean", "bmean"), ("fleet_mean", "fmean"))]
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return ev.reg_metrics(long, by=["model"])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("yhat")) for m, c in REG_CANDS.items()])).alias("m")
+    long = t.select(y, each).select("m.model", "y", "m.yhat")  # one scan for all candidates
+    return ev.reg_metrics(long, by=["model"]).withColumn("order", F.array_position(F.array(*[F.lit(m) for m in REG_CANDS]), F.col("model")).cast("int"))
 
 
 @register("metrics_table", CAND_SQL + """
 select mt.*, case when r2 >= 0.8e0 then 'good' when r2 >= 0.6e0 then 'moderate' else 'weak' end as r2_band,
   r2 < 0.5e0 as needs_nonlinear from mt""", doubles=["mae", "rmse", "r2", "max_error"])
 def q_metrics_table(spark, sf_dir):
-    return ev.metrics_table(candidates(spark, sf_dir))
+    return ev.metrics_table(candidates(spark, sf_dir)).drop("order")
 
 
-@register("select_regressor", CAND_SQL + "\nselect arg_min(model, (rmse, model)) as selected from mt")
+@register("select_regressor", CAND_SQL + "\nselect arg_min(model, (rmse, case model when 'scores' then 1 when 'battery_mean' then 2 else 3 end)) as selected from mt")
 def q_select_regressor(spark, sf_dir):
     return ev.select_regressor(candidates(spark, sf_dir))
 
@@ -216,13 +219,12 @@ CLS_CANDS = [("prob_at_0.20", 0.2), ("prob_at_0.35", 0.35), ("prob_at_0.50", 0.5
 
 
 def cls_candidates(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    out = None
-    for i, (name, th) in enumerate(CLS_CANDS):
-        m = ev.cls_metrics(ev.confusion(s, threshold=th)).select(
-            F.lit(name).alias("model"), F.lit(i).alias("order"), "precision", "recall", "f1")
-        out = m if out is None else out.unionByName(m)
-    return out
+    # one scan: each score meets the three thresholds, as 1 or 0
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("order"), (F.col("prob") >= th).cast("int").alias("hit"))
+                               for i, (n, th) in enumerate(CLS_CANDS)])).alias("m")
+    long = scores(spark, sf_dir).select("label", each).select("label", "m.*")
+    conf = ev.confusion(long, prob="hit", threshold=1, by=["model", "order"])
+    return ev.cls_metrics(conf).select("model", "order", "precision", "recall", "f1")
 
 
 CLS_CAND_SQL = ", cc as (" + "\nunion all\n".join(

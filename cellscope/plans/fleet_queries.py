@@ -30,8 +30,8 @@ READINGS_CTE = """, r as (
 HEALTH_CTE = FLEET_CTE + READINGS_CTE + """, h0 as (
   select r.*, f.*,
     greatest(0e0, 100e0 - (internal_resistance - ir_min) / (ir_max - ir_min) * 100) as ir_health,
-    case when over_temp_flag = 1 then 40e0 else 100e0 end as thermal_health,
-    case when pred_over_voltage_flag = 1 then 40e0 else 100e0 end as voltage_health
+    case when over_temp_flag = 0 then 100e0 else 40e0 end as thermal_health,
+    case when pred_over_voltage_flag = 0 then 100e0 else 40e0 end as voltage_health
   from r cross join f)
 , h as (
   select h0.*, (ir_health * 0.4e0 + thermal_health * 0.35e0 + voltage_health * 0.25e0) / 1e0 as health_score

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellscope.operators import evaluate as ev
 from cellscope.operators import fleet as fl
-from cellscope.operators import prep, score, splits, train
+from cellscope.operators import clean, prep, score, splits, train
 from cellscope.operators.features import ENGINEERED
 from cellscope.operators.ordering import attach_row, checkpointed
 from cellscope.operators.project import SELECTED_FEATURES, exclude_target
@@ -28,9 +28,9 @@ _CACHE: dict = {}
 def prepared(spark, sf_dir):
     """Chrono split -> prep fit on train -> transform all rows (23 scaled features + raw IR
     label + flags + split), checkpointed once for the fit loops."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
-        s = splits.chrono_split(telemetry(spark, sf_dir)).withColumn(Y, F.col("internal_resistance"))
+        s = splits.chrono_split(clean.dedup_first(telemetry(spark, sf_dir))).withColumn(Y, F.col("internal_resistance"))
         params, x = prep.prep_fit_transform(s, ALL_FEATURES, passthrough=[Y])
         cw = splits.class_weights(x.where(F.col("split") == "train"), "over_temp_flag")
         # the fit loops make many passes: cut the lineage once more after imputation / scaling
@@ -98,15 +98,14 @@ def q_fit_gbt_cls(spark, sf_dir):
 @register("grid_search_reg")
 def q_grid_search_reg(spark, sf_dir):
     tr, _, _ = parts(spark, sf_dir)
-    folds = splits.ts_folds(tr)
-    grid = {"numTrees": [20], "maxDepth": [5, 10]}  # the full grids are train.RF_GRID / GBT_REG_GRID
-    return train.grid_search_reg(tr, folds, REG_FEATURES, Y, grid)
+    grid = {"numTrees": [20], "maxDepth": [5, 10]}  # a grid of our own; README says what full ones take
+    return train.grid_search_reg(tr, REG_FEATURES, Y, grid)
 
 
 @register("grid_search_cls")
 def q_grid_search_cls(spark, sf_dir):
     tr, _, _ = parts(spark, sf_dir)
-    f = splits.strat_folds(tr, "over_temp_flag")
+    f = checkpointed(splits.strat_folds(tr, "over_temp_flag"))
     grid = {"maxIter": [20], "maxDepth": [3, 5]}  # the full grid is train.GBT_CLS_GRID
     return train.grid_search_cls(f, CLS_FEATURES, "over_temp_flag", grid, weight_col="w_temp")
 
@@ -114,14 +113,14 @@ def q_grid_search_cls(spark, sf_dir):
 @register("oof_predict")
 def q_oof_predict(spark, sf_dir):
     tr, _, _ = parts(spark, sf_dir)
-    f = splits.strat_folds(tr, "over_temp_flag")
+    f = checkpointed(splits.strat_folds(tr, "over_temp_flag"))
     return train.oof_predict(f, CLS_FEATURES, "over_temp_flag", weight_col="w_temp")
 
 
 @register("early_stop_curve")
 def q_early_stop_curve(spark, sf_dir):
     tr, va, _ = parts(spark, sf_dir)
-    return train.early_stop_curve(tr, va, REG_FEATURES, Y, max_iter=60, patience=20, maxDepth=4)
+    return train.early_stop_curve(tr, va, REG_FEATURES, Y, max_iter=60, maxDepth=4)
 
 
 @register("feature_importance")
@@ -134,18 +133,18 @@ def q_feature_importance(spark, sf_dir):
 @register("rfe")
 def q_rfe(spark, sf_dir):
     tr, _, _ = parts(spark, sf_dir)
-    feats = [c for c in ALL_FEATURES if c != "internal_resistance"]
-    return train.rfe(tr, feats, Y, keep=15)
+    # the candidates hold nothing that is made from the target
+    return train.rfe(tr, exclude_target(ALL_FEATURES, "internal_resistance"), Y, keep=15)
 
 
 @register("learning_curve")
 def q_learning_curve(spark, sf_dir):
     tr, _, _ = parts(spark, sf_dir)
-    return train.learning_curve(tr, splits.ts_folds(tr), REG_FEATURES, Y)
+    return train.learning_curve(tr, REG_FEATURES, Y)
 
 
 def _models(spark, sf_dir):
-    key = ("models", id(spark), sf_dir)
+    key = ("models", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         tr, _, _ = parts(spark, sf_dir)
         reg = train.fit_linear(tr, REG_FEATURES, Y)

@@ -171,7 +171,7 @@ def q_regime_runs(spark, sf_dir):
 
 def _bin_cte(k):
     return f""", mm as (select cast(min(SOC) as double) as mn, cast(max(SOC) as double) as mx from telemetry)
-, b as (select t.*, case when mx > mn then greatest(0, cast(ceil((SOC - mn) / nullif((mx - mn) / {k}e0, 0)) - 1 as integer)) end as soc_bin
+, b as (select t.*, case when mx > mn then greatest(0, cast(ceil((SOC - mn) / nullif((mx - mn) / {k}e0, 0)) - 1 as integer)) when mx = mn and SOC is not null then {(k + 1) // 2 - 1} end as soc_bin
   from telemetry t cross join mm)"""
 
 

@@ -52,7 +52,7 @@ TS_FOLDS_SQL = SPLIT_CTE + """
   select battery_id, seq, cast(f.i as integer) as fold,
     case when split_pos < split_rows - (5 - f.i) * s then 'train'
          when split_pos < split_rows - (5 - f.i) * s + s then 'test' end as role
-  from tr cross join range(0, 5) f(i) where s > 0)
+  from tr cross join range(0, 5) f(i))
 select * from x where role is not null"""
 
 

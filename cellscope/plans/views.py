@@ -44,8 +44,18 @@ DIRTY_SQL = """select * from (
   from telemetry where seq % 50 = 0
 ) d"""
 
-VIEWS = {"telemetry": TELEMETRY_SQL, "scores": SCORES_SQL, "telemetry_dirty": DIRTY_SQL}
-_DEPS = {"telemetry": [], "scores": ["telemetry"], "telemetry_dirty": ["telemetry"]}
+# Holes where keys, flags and scores may be missing, a battery of a few rows, a constant column.
+HOLES_SQL = """select
+  case when seq % 11 = 0 then null when seq % 2003 = 7 then -5 else battery_id end as battery_id, seq,
+  case when seq % 17 = 0 then null else SOC end as SOC,
+  case when seq % 23 = 0 then null else terminal_voltage end as terminal_voltage,
+  internal_resistance, battery_temp, 5e0 as flat, over_temp_flag as label,
+  case when seq % 13 = 0 then null else over_temp_flag end as over_temp_flag,
+  case when seq % 19 = 0 then null else (seq * 37 % 1000) * 0.0007e0 end as prob
+from telemetry"""
+
+VIEWS = {"telemetry": TELEMETRY_SQL, "scores": SCORES_SQL, "telemetry_dirty": DIRTY_SQL, "telemetry_holes": HOLES_SQL}
+_DEPS = {"telemetry": [], "scores": ["telemetry"], "telemetry_dirty": ["telemetry"], "telemetry_holes": ["telemetry"]}
 
 
 def with_views(body: str, views=("telemetry",)) -> str:

@@ -13,8 +13,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every session of this package benefits from; applied by get_spark and
-# checked (not forced) by the operators.
+# Settings every session of this package benefits from, applied by get_spark. Results do not
+# depend on them.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

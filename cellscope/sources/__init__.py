@@ -1,6 +1,6 @@
 from cellscope.sources.telemetry import (
     RAW_FEATURES, TARGETS, TELEMETRY_SCHEMA, nan_to_null, read_table, telemetry,
-    telemetry_dirty, scores_view,
+    telemetry_dirty, telemetry_holes, scores_view,
 )
 from cellscope.sources.files import (
     read_csv, read_batch, default_fill, derive_indicators, write_csv, preview,
@@ -9,7 +9,7 @@ from cellscope.sources.files import (
 
 __all__ = [
     "RAW_FEATURES", "TARGETS", "TELEMETRY_SCHEMA", "nan_to_null", "read_table", "telemetry",
-    "telemetry_dirty", "scores_view", "read_csv", "read_batch", "default_fill",
+    "telemetry_dirty", "telemetry_holes", "scores_view", "read_csv", "read_batch", "default_fill",
     "derive_indicators", "write_csv", "preview", "save_params", "load_params",
     "save_model", "load_model",
 ]

@@ -9,11 +9,31 @@ from pyspark.sql import types as T
 from cellscope.sources.telemetry import RAW_FEATURES, TELEMETRY_SCHEMA, nan_to_null
 
 
+ORDER_ALIASES = ("timestamp",)  # a file's own name for the order of its rows
+
+
+def _with_ids(raw: DataFrame) -> DataFrame:
+    """Adds the metadata a file may lack: ``seq`` from its order column, else from the place of
+    the rows in the file, and ``battery_id`` as NULL, which makes the file one sequence."""
+    for name in ORDER_ALIASES:
+        if name in raw.columns:
+            raw = raw.withColumnRenamed(name, "seq") if "seq" not in raw.columns else raw.drop(name)
+    if "seq" not in raw.columns:
+        raw = raw.withColumn("seq", F.monotonically_increasing_id())
+    if "battery_id" not in raw.columns:
+        raw = raw.withColumn("battery_id", F.lit(None).cast("long"))
+    return raw
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TELEMETRY_SCHEMA) -> DataFrame:
-    """Training table from CSV with a header and a fixed schema (no inference); NaN -> NULL."""
-    df = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-          .option("nanValue", "NaN").csv(path))
-    return nan_to_null(df)
+    """Training table from CSV: columns are found by the names in the header, in any order, and
+    cast to the fixed schema (no inference; a value that cannot be cast fails). A missing column
+    fails; ``timestamp`` may stand for ``seq`` and ids may be absent. NaN -> NULL."""
+    raw = _with_ids(spark.read.option("header", True).csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    return nan_to_null(raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
 
 
 def default_fill(df: DataFrame, required: list[str] = RAW_FEATURES, value: float = 0.0) -> DataFrame:
@@ -26,8 +46,8 @@ def default_fill(df: DataFrame, required: list[str] = RAW_FEATURES, value: float
 
 def read_batch(spark: SparkSession, path: str, required: list[str] = RAW_FEATURES) -> DataFrame:
     """A user-supplied CSV batch to score: columns by name (header), all numeric columns read
-    as double, absent required columns filled with 0.0."""
-    raw = spark.read.option("header", True).csv(path)
+    as double, absent required columns filled with 0.0, absent ids as in ``read_csv``."""
+    raw = _with_ids(spark.read.option("header", True).csv(path))
     cast = [F.col(c).cast("long").alias(c) if c in ("battery_id", "seq") else
             F.col(c).cast("double").alias(c) for c in raw.columns]
     return default_fill(nan_to_null(raw.select(*cast)), required)

@@ -113,3 +113,15 @@ def scores_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("internal_resistance").alias("y"),
         (F.col("internal_resistance") + ((s % 21) - 10) * _d(0.0001)).alias("yhat"),
     )
+
+
+def telemetry_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry with NULL keys, flags and scores, a battery of a few rows and a constant column."""
+    t = telemetry(spark, sf_dir)
+    s = F.col("seq")
+    hole = lambda n, c: F.when(s % n != 0, F.col(c)).alias(c)
+    return t.select(
+        F.when(s % 11 == 0, F.lit(None)).when(s % 2003 == 7, F.lit(-5)).otherwise(F.col("battery_id")).cast("long").alias("battery_id"),
+        "seq", hole(17, "SOC"), hole(23, "terminal_voltage"), "internal_resistance", "battery_temp", _d(5).alias("flat"),
+        F.col("over_temp_flag").alias("label"), hole(13, "over_temp_flag"),
+        F.when(s % 19 != 0, ((s * 37) % 1000) * _d(0.0007)).alias("prob"))

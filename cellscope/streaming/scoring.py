@@ -21,11 +21,11 @@ def stream_assess(stream_events: DataFrame, fleet: DataFrame) -> DataFrame:
     return a.select("battery_id", "seq", "health_score", "status", F.size("alerts").alias("n_alerts"))
 
 
-def start_assessment(spark: SparkSession, events_dir: str, history: DataFrame, sink: str = "memory",
+def start_assessment(spark: SparkSession, events_dir: str, history: DataFrame, sink: str,
                      query_name: str = "assessed", checkpoint: str | None = None, glob: str = "*.parquet",
                      **sink_opts):
     """Start the streaming assessment over parquet files (matching ``glob``) arriving in
-    ``events_dir``."""
+    ``events_dir``. ``sink`` is named by the caller: "memory" keeps all rows in the driver."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(events_dir).schema
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", glob)
            .parquet(events_dir))

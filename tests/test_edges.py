@@ -38,9 +38,9 @@ def test_voltage_rule_strict_and_null(spark):
     assert got == [0, 1, 0, 1, 0]
 
 
-def test_soc_bin_constant_is_null(spark):
+def test_soc_bin_constant_is_the_middle_bin(spark):
     df = spark.createDataFrame([(5.0,), (5.0,)], "SOC double")
-    assert [r[0] for r in df.select(soc_bin("SOC", F.lit(5.0), F.lit(5.0), 20)).collect()] == [None, None]
+    assert [r[0] for r in df.select(soc_bin("SOC", F.lit(5.0), F.lit(5.0), 20)).collect()] == [9, 9]
 
 
 def _fleet(spark):
@@ -74,3 +74,61 @@ def test_rolling_short_frames(spark, n):
         assert all(r.soc_range_rolling is None for r in got)
     else:
         assert all(r.soc_range_rolling == 9.0 for r in got)
+
+
+def test_correlation_does_not_depend_on_the_number_of_columns(spark):
+    from cellscope.operators.profile import corr_matrix
+    rows = [(float(i), float(i * i % 17), None if i % 5 == 0 else float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    r = lambda wide: {(x.feature_a, x.feature_b): round(x.r, 9) for x in corr_matrix(df, ["a", "b", "c"], wide).collect()}
+    assert r(40) == r(0)
+    full = lambda wide: {(x.feature_a, x.feature_b): round(x.r, 9) for x in corr_matrix(df, ["a", "b"], wide).collect()}
+    assert full(40) == full(0)
+
+
+def test_csv_is_read_by_name_and_without_ids(spark, tmp_path):
+    from cellscope.sources import read_batch, read_csv, telemetry
+    from tests.conftest import SF_SMALL
+    t = telemetry(spark, SF_SMALL)
+    cols = [c for c in t.columns if c not in ("battery_id", "seq")]
+    turned = t.orderBy("seq").coalesce(1).select(*reversed(cols), t.seq.alias("timestamp"))
+    turned.write.option("header", True).csv(f"{tmp_path}/own")
+    got = read_csv(spark, f"{tmp_path}/own")
+    assert got.columns == t.columns and got.where("battery_id is not null").count() == 0
+    want = {r.seq: (r.SOC, r.SOH) for r in t.collect()}
+    assert {r.seq: (r.SOC, r.SOH) for r in got.collect()} == want
+    t.select("SOC", "SOH").write.option("header", True).csv(f"{tmp_path}/part")
+    assert read_batch(spark, f"{tmp_path}/part").where("seq is null or terminal_voltage != 0").count() == 0
+    try:
+        read_csv(spark, f"{tmp_path}/part")
+        raise AssertionError("a missing column must fail")
+    except ValueError as e:
+        assert "terminal_voltage" in str(e)
+
+
+def test_batch_without_ids_is_scored(spark, tmp_path):
+    from cellscope.plans import model_queries as mq
+    from cellscope.operators import score
+    from cellscope.sources import read_batch, telemetry
+    from tests.conftest import SF_SMALL
+    telemetry(spark, SF_SMALL).drop("battery_id", "seq").write.option("header", True).csv(f"{tmp_path}/batch")
+    params, _ = mq.prepared(spark, SF_SMALL)
+    reg, cls = mq._models(spark, SF_SMALL)
+    out = score.predict_batch(read_batch(spark, f"{tmp_path}/batch"), params, reg, cls, mq.REG_FEATURES, mq.CLS_FEATURES)
+    assert out.count() == 1000 and out.where("pred_internal_resistance is null").count() == 0
+
+
+def test_absent_voltage_column_counts_as_zero(spark):
+    from cellscope.functions.exprs import over_voltage_of
+    df = spark.createDataFrame([(4.2,), (1.0,)], "action_voltage double")
+    assert [r[0] for r in df.select(over_voltage_of(df)).collect()] == [1, 0]
+    assert spark.range(1).select(over_voltage_of(spark.range(1))).first()[0] == 0
+
+
+def test_learning_curve_prefix(spark):
+    """Fractions are of each battery's own part of the first fold's train rows."""
+    from cellscope.operators.train import curve_prefix
+    rows = [(b, i, n) for b, n in ((1, 60), (2, 13)) for i in range(n)]
+    df = spark.createDataFrame(rows, "b int, split_pos long, split_rows long")
+    got = {r.b: r.n for r in df.where(curve_prefix(0.5)).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {1: 5, 2: 1}

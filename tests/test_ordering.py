@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellscope.operators import ordering
 from cellscope.operators.ordering import exact_quantiles, rolling_frame, with_position
 from cellscope.sources import telemetry
 from tests.conftest import SF_SMALL
@@ -45,10 +46,11 @@ def test_exact_quantiles_equal_pandas(spark):
 
 
 @pytest.mark.parametrize("by", [(), ("battery_id",)])
-def test_row_level_window_is_keyed_by_bucket(spark, by):
-    """The row-level window is fed by a hash exchange on (group..., bucket); the only
+def test_row_level_window_is_keyed_by_bucket(spark, by, monkeypatch):
+    """With a group too large for one task: The row-level window is fed by a hash exchange on (group..., bucket); the only
     single-partition exchanges merge partial aggregates (K bounds) or the K-row bucket table."""
     import re
+    monkeypatch.setattr(ordering, "GROUP_ROWS", 0)
     t = telemetry(spark, SF_SMALL)
     df = with_position(t, by=by).select("seq", "pos")
     df.write.format("noop").mode("overwrite").save()
@@ -60,3 +62,14 @@ def test_row_level_window_is_keyed_by_bucket(spark, by):
         if "Exchange SinglePartition" in line:
             below = " ".join(lines[i + 1:i + 3])
             assert "partial_" in below or "_s_rows" in below or "HashAggregate" in below, below
+
+
+def test_small_groups_take_one_window(spark, monkeypatch):
+    """Groups that fit a task need no bounds and no join, and give the same positions."""
+    t = telemetry(spark, SF_SMALL).select(F.when(F.col("seq") % 11 != 0, F.col("battery_id")).alias("battery_id"), "seq")
+    plain = with_position(t)
+    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordering, "GROUP_ROWS", 0)
+    bucketed = with_position(t)
+    rows = lambda df: sorted(map(str, df.select("battery_id", "seq", "pos", "n_rows").collect()))
+    assert rows(plain) == rows(bucketed) and len(rows(plain)) == t.count()

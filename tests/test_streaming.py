@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 def test_stream_matches_batch(spark):
     import __spark_entry__ as E
     ck = tempfile.mkdtemp(prefix="cellscope-stream-", dir="/tmp")
-    q = start_assessment(spark, SF_SMALL, telemetry(spark, SF_SMALL), query_name="assessed_test",
+    q = start_assessment(spark, SF_SMALL, telemetry(spark, SF_SMALL), "memory", query_name="assessed_test",
                          checkpoint=ck, glob="events.parquet")
     q.processAllAvailable()
     q.stop()
