@@ -236,11 +236,11 @@ def test_pareto_ranks_follow_the_sizes(spark):
 
 def test_chat_windows(spark):
     rng = random.Random(6)
-    rows, longest = [], 0
+    rows = []
     for c in range(12):
         for t in range(rng.randint(1, 60)):
             role = "system" if t == 0 and c % 2 else ["user", "assistant"][t % 2]
-            rows.append((c, t, role, " ".join(rng.choice(["word", "\\", "<|end|>", "<|turn|>", "<", "|", "é"]) for _ in range(rng.randint(0, 60)))))
+            rows.append((c, t, role, " ".join(rng.choice(["word", "\\", "<|end|>", "<|turn|>", "<", "|", "é"]) for _ in range(rng.randint(0, 14)))))
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
     got = chat.read_back(chat.windows(df, budget=300, history=60)).orderBy("conv_id", "window").collect()
     for c in range(12):
@@ -251,7 +251,7 @@ def test_chat_windows(spark):
             assert (c % 2 == 0) or r.formatted.startswith("<|turn|>system<|text|>")
     assert max(r.n_repeated for r in got) > 1 and len(got) > 12
     size = spark.createDataFrame([(r.formatted,) for r in got], "f string") \
-        .select(chat.tokens(F.lit(""), F.regexp_replace("f", r"<\|(turn|text|end)\|>", " ")).alias("n"))
+        .select(chat.tokens(F.lit(""), chat.unescape(F.regexp_replace("f", r"<\|(turn|text|end)\|>", " "))).alias("n"))
     assert size.agg(F.max("n")).first()[0] <= 300
 
 
