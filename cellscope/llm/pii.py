@@ -66,27 +66,35 @@ class Kind:
 
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-AGAINST = r"(?i)\b(order|invoice|version|isbn|part no|example|bestellnummer|commande|pedido)\b"
-PHONE_WORDS = r"(?i)\b(phone|tel|telephone|mobile|call|fax|telefon|handy|t\x{00E9}l\x{00E9}phone|tel\x{00E9}fono|m\x{00F3}vil)\b"
+
+
+def _words(*choices: str) -> str:
+    """One of these words, between signs that are not ASCII letters, digits or underscores."""
+    return f"(?i)(^|[^A-Za-z0-9_])({'|'.join(choices)})($|[^A-Za-z0-9_])"
+
+
+AGAINST = _words("order", "invoice", "version", "isbn", "part no", "example", "bestellnummer", "commande", "pedido")
+PHONE_WORDS = _words("phone", "tel", "telephone", "mobile", "call", "fax", "telefon", "handy", r"t\x{00E9}l\x{00E9}phone",
+                     r"tel\x{00E9}fono", r"m\x{00F3}vil")
 
 #: In the listed order: the base kinds first.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-         lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), r"(?i)\b(e-?mail|contact|correo|courriel)\b", 0.9, True),
+         lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), _words("e-?mail", "contact", "correo", "courriel"), 0.9, True),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
          lambda t: F.contains(t, F.lit(".")) & t.rlike(r"[0-9]\.[0-9]"),
-         lambda m: m.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"), r"(?i)\b(ip|host|server|address|adresse)\b", 0.7, True),
+         lambda m: m.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"), _words("ip", "host", "server", "address", "adresse"), 0.7, True),
     Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
          lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
-         lambda m: F.length(_digits(m)).between(13, 19) & luhn(_digits(m)), r"(?i)\b(card|visa|credit|karte|carte|tarjeta)\b", 0.8, True),
+         lambda m: F.length(_digits(m)).between(13, 19) & luhn(_digits(m)), _words("card", "visa", "credit", "karte", "carte", "tarjeta"), 0.8, True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          lambda t: F.contains(t, F.lit("+")) & t.rlike(r"\+[0-9]"),
          lambda m: F.length(_digits(m)).between(9, 15), PHONE_WORDS, 0.7, True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
-         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), mod97, r"(?i)\b(iban|bank|account|konto|compte|cuenta)\b", 0.8),
+         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), mod97, _words("iban", "bank", "account", "konto", "compte", "cuenta"), 0.8),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.rlike("^(000|666|9)"),
-         r"(?i)\b(ssn|social security|national id)\b", 0.4),
+         _words("ssn", "social security", "national id"), 0.4),
     Kind("local_phone", r"(?<![0-9+()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])",
          lambda t: t.rlike(r"[0-9]{3}-[0-9]{4}"), lambda m: F.lit(True), PHONE_WORDS, 0.4),
 )
@@ -139,3 +147,51 @@ def op5(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[count_kind(spans, k).alias(f"n_{k}") for k in base],
         F.sha2(spans_text(F.filter(spans, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         spans_text(spans).alias("spans"))
+
+
+#: How DuckDB finds and confirms each kind: a pattern without look-around, a condition on the
+#: match ``h``, its digits ``g``, and the signs before and after it, ``p`` and ``n``.
+_LUHN = ("list_sum(list_transform(range(length(g)), lambda i: case when i % 2 = 0 then cast(g[length(g) - i] as int) "
+         "else cast(g[length(g) - i] as int) * 2 - case when cast(g[length(g) - i] as int) > 4 then 9 else 0 end end)) % 10 = 0")
+_TURNED = "(substr(h, 5) || substr(h, 1, 4))"
+_MOD97 = (f"list_reduce(list_concat([0], list_transform(range(length(h)), lambda i: ascii({_TURNED}[i + 1]))), lambda a, c: "
+          "case when c >= 65 then (a * 100 + c - 55) % 97 else (a * 10 + c - 48) % 97 end) = 1")
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_full_match(h, '{_PART}\.{_PART}\.{_PART}\.{_PART}')"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length(g) between 13 and 19 and {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(g) between 9 and 15"),
+    "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", f"not regexp_matches(p, '[A-Za-z0-9]') and not regexp_matches(n, '[A-Za-z0-9]') and {_MOD97}"),
+    "national_id": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "not regexp_matches(p, '[0-9-]') and not regexp_matches(n, '[0-9-]') and not regexp_matches(h, '^(000|666|9)')"),
+    "local_phone": (r"(?:\([0-9]{3}\)\x20?|[0-9]{3}-)[0-9]{3}-[0-9]{4}", "not regexp_matches(p, '[0-9+()-]') and not regexp_matches(n, '[0-9-]')"),
+}
+
+
+def _kind_sql(rank: int, kind: Kind) -> str:
+    pattern, valid = _SQL_KINDS[kind.name]
+    keep = "true" if kind.base else f"score >= {MIN_SCORE}"
+    return f"""select rid, {rank} as rank, '{kind.name}' as kind, s, e from (
+    select *, {kind.score} + case when regexp_matches(around, '{kind.near}') then {RAISE} else 0 end
+              - case when regexp_matches(around, '{AGAINST}') then {LOWER} else 0 end as score
+    from (select rid, h, g, s, e, case when s > 0 then text[s] else '' end as p, text[e + 1] as n,
+                 substr(text, greatest(0, s - {CONTEXT}) + 1, s - greatest(0, s - {CONTEXT})) || ' ' || substr(text, e + 1, {CONTEXT}) as around
+          from (select rid, text, h, regexp_replace(h, '[^0-9]', '', 'g') as g, upto - length(h) as s, upto as e
+                from (select rid, text, h, cast(sum(length(piece) + length(h)) over (partition by rid order by i) as bigint) as upto
+                      from (select rid, text, unnest(hits) as h, unnest(pieces[1:len(hits)]) as piece, generate_subscripts(hits, 1) as i
+                            from (select rid, text, regexp_extract_all(text, '{pattern}') as hits, string_split_regex(text, '{pattern}') as pieces from d)
+                            where len(hits) > 0))))
+    where {valid}) where {keep}"""
+
+
+_BASE = [k.name for k in KINDS if k.base]
+SQL = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+m as ({" union all ".join(_kind_sql(k, kind) for k, kind in enumerate(KINDS))}),
+g as (select rid, {", ".join(f"count_if(kind = '{k}') as n_{k}" for k in _BASE)},
+        string_agg(kind || ':' || s || ':' || e, ',' order by rank, s) filter (rank < {len(_BASE)}) as base,
+        string_agg(kind || ':' || s || ':' || e, ',' order by rank, s) as spans
+      from m group by rid)
+select doc_id, {", ".join(f"cast(coalesce(n_{k}, 0) as bigint) as n_{k}" for k in _BASE)},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (rid)
+"""

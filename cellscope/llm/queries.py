@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_secret_scans": secrets.SQL,
     "op2_chat_formatting": chat.SQL,
+    "op5_pii": pii.SQL,
     "op8_quality_rules": quality.SQL,
 }

@@ -273,3 +273,43 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return got.select(
         "doc_id", *[count_kind(spans, k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
+def _either_case(pattern: str) -> str:
+    """The same pattern with its letters outside of classes in either case, without a flag."""
+    out, inside = [], False
+    i = 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            width = 4 if pattern[i + 1] == "x" else 2
+            out.append(pattern[i:i + width])
+            i += width
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(f"[{c.upper()}{c.lower()}]" if c.isalpha() and not inside else c)
+        i += 1
+    return "".join(out)
+
+
+def _rule_sql(rank: int, rule: Rule) -> str:
+    pattern = (_either_case(rule.pattern) if rule.ignore_case else rule.pattern).replace("'", "''")
+    return f"""select rid, {rank} as rank, '{rule.kind}' as kind, upto - length(hit) as s, upto as e
+  from (select rid, hit, cast(sum(length(piece) + length(hit)) over (partition by rid order by i) as bigint) as upto
+        from (select rid, unnest(hits) as hit, unnest(pieces[1:len(hits)]) as piece, generate_subscripts(hits, 1) as i
+              from (select rid, regexp_extract_all(text, '{pattern}') as hits, string_split_regex(text, '{pattern}') as pieces from d)
+              where len(hits) > 0))
+  where length(regexp_extract(hit, '{pattern}', {rule.group})) >= {rule.least}"""
+
+
+SQL = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+m as ({" union all ".join(_rule_sql(k, r) for k, r in enumerate(RULES))}),
+g as (select rid, {", ".join(f"count_if(kind = '{k}') as n_{k}" for k in BASE_KINDS)},
+        string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < {len(BASE_KINDS)}) as base,
+        string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans
+      from m group by rid)
+select doc_id, {", ".join(f"cast(coalesce(n_{k}, 0) as bigint) as n_{k}" for k in BASE_KINDS)},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (rid)
+"""
