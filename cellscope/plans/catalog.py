@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cellscope.plans import (  # noqa: F401
-    clean_queries, eval_queries, feature_queries, fleet_queries, holes_queries, model_queries, profile_queries, source_queries,
+    check_queries, clean_queries, eval_queries, feature_queries, fleet_queries, holes_queries, model_queries, profile_queries, source_queries,
     split_queries,
 )
 from cellscope.plans.registry import REGISTRY

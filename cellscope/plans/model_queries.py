@@ -190,9 +190,3 @@ def q_params_io(spark, sf_dir):
     params.save(path)
     back = prep.PrepParams.load(spark, path, params.columns)
     return back.medians.join(back.stats, "feature").select("feature", "median", "mean", "std")
-
-
-@register("sink_csv")
-def q_sink_csv(spark, sf_dir):
-    path = files.write_csv(q_predict_batch(spark, sf_dir), scratch_path(spark, "scored-csv"))
-    return spark.read.option("header", True).csv(path)
