@@ -9,11 +9,13 @@ hash collisions. Documents with equal sets form a class, and only classes are co
    if its count of shared tokens reaches that. Tokens in at most ``HOT`` classes give their pairs.
 2. Tokens in more classes (shared passages, large groups of near copies) give none. A class with
    few of them must share others with each partner, so nothing is lost. The classes with many are
-   joined again over all of their tokens under order 2, where tokens that are frequent among them
-   come last, which takes shared passages out of the prefixes.
+   joined again over all of their tokens under order 2, by rising frequency among them, which
+   takes shared passages out of the prefixes.
 3. Frequent tokens left in those prefixes belong to classes that have hardly any others, as large
-   groups of near copies do. There the most typical class of a token is compared with all its
-   others first, and then only classes that are still in different components.
+   groups of near copies do. There the most typical class of a token is compared with its others
+   first, and then only classes that are still in different components. A pair that shares no
+   rare token cannot link if the two have too many rare tokens of their own, which settles most
+   classes of such a group without a comparison.
 4. Candidates must share prefix tokens under two further orders (falling hashes, and hashes from
    the middle round) before their sets are intersected. Each document's best candidate is
    verified first; of the others only those between different components are left to verify.
@@ -83,6 +85,20 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
+def _own_fit(a: Column, own_a: Column, b: Column, own_b: Column) -> Column:
+    """For sets that share none of their rare tokens: what is left of either must hold the whole
+    overlap, and the rare tokens of both, which lie in the union only, may not be too many beside
+    the largest possible intersection."""
+    most = F.least(a - own_a, b - own_b)
+    return (most >= _col_overlap(a, b)) & ((own_a + own_b) * NUM <= most * (DEN - NUM))
+
+
+def _in_prefixes(a: Column, rank_a: Column, b: Column, rank_b: Column) -> Column:
+    """Whether a token of these ranks lies in the prefixes that sets of these sizes must share."""
+    need = _col_overlap(a, b)
+    return (rank_a <= a - need + 1) & (rank_b <= b - need + 1)
+
+
 # Scans of the texts -----------------------------------------------------------------------------
 
 
@@ -252,20 +268,25 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     # classes with many hot tokens: all their tokens, in an order with frequent ones last
     dense = checkpointed(hot.join(classes, "sig").where(F.col("hot") >= _col_slack(F.col("n")) - 1).select("sig", "n"))
     tokens = texts.mapInArrow(_postings(bloom(dense), True), "key bigint, sig bigint").join(dense, "sig", "left_semi")
+    mine = Window.partitionBy("sig")
     ranked = with_frequency(tokens).withColumn("frequent", F.col("df") > HOT) \
-        .withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("frequent", F.xxhash64("token"))))
+        .withColumn("rank", F.row_number().over(mine.orderBy("df", F.xxhash64("token")))) \
+        .withColumn("own", F.sum((~F.col("frequent")).cast("int")).over(mine))
     second = checkpointed(ranked.join(dense, "sig").where(F.col("rank") <= _col_emitted(F.col("n"))).where("df > 1")
-                          .select("token", "code", "sig", "n", "frequent"))
+                          .select("token", "code", "sig", "n", "frequent", "own", "rank"))
     hot2 = checkpointed(second.where("frequent").groupBy("sig").agg(F.count(F.lit(1)).cast("int").alias("hot")))
     candidates2 = counted(rare_pairs(second.where("not frequent")), classes, hot2)
     pairs = checkpointed(candidates.unionByName(candidates2).groupBy("a", "b").agg(F.max("shared").alias("shared")))
 
     # what is left: tokens frequent among classes that have hardly any others
     crowd = checkpointed(second.where("frequent").join(
-        hot2.join(classes, "sig").where(F.col("hot") >= _col_slack(F.col("n")) - 1).select("sig", "hot"), "sig")
-        .select("token", "sig", "n", "hot"))
-    centre = crowd.groupBy("token").agg(F.max_by(F.struct("sig", "n"), F.struct("hot", "sig")).alias("c"))
-    spokes = crowd.join(centre, "token").where((F.col("sig") != F.col("c.sig")) & _sizes_fit(F.col("n"), F.col("c.n"))) \
+        hot2.join(classes, "sig").where(F.col("hot") >= _col_slack(F.col("n")) - 1).select("sig"), "sig")
+        .select("token", "sig", "n", "own", "rank"))
+    centre = crowd.groupBy("token").agg(F.min(F.struct("own", "sig", "n", "rank")).alias("c"))
+    spokes = crowd.join(centre, "token").where(
+        (F.col("sig") != F.col("c.sig")) & _sizes_fit(F.col("n"), F.col("c.n"))
+        & _own_fit(F.col("n"), F.col("own"), F.col("c.n"), F.col("c.own"))
+        & _in_prefixes(F.col("n"), F.col("rank"), F.col("c.n"), F.col("c.rank"))) \
         .select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b"))
 
     each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("o")),
@@ -281,11 +302,14 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
         return found.select(F.col("v").alias(side), F.col("component").alias(f"c_{side}"))
     apart = pairs.select("a", "b").join(component("a"), "a", "left").join(component("b"), "b", "left") \
         .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    placed = crowd.join(component("sig"), "sig", "left").select("token", "sig", "n", F.coalesce("c_sig", "sig").alias("c"))
+    placed = crowd.join(component("sig"), "sig", "left").select("token", "sig", "n", "own", "rank", F.coalesce("c_sig", "sig").alias("c"))
     main = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
     placed = checkpointed(placed.join(main, "token"))
-    others = placed.where("c != main").select("token", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("c").alias("d"))
-    across = placed.join(others, "token").where((F.col("c") != F.col("d")) & _sizes_fit(F.col("n"), F.col("m"))) \
+    others = placed.where("c != main").select("token", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("own").alias("own_s"), F.col("rank").alias("rank_s"), F.col("c").alias("d"))
+    across = placed.join(others, "token").where(
+        (F.col("c") != F.col("d")) & _sizes_fit(F.col("n"), F.col("m"))
+        & _own_fit(F.col("n"), F.col("own"), F.col("m"), F.col("own_s"))
+        & _in_prefixes(F.col("n"), F.col("rank"), F.col("m"), F.col("rank_s"))) \
         .select(F.least("sig", "s").alias("a"), F.greatest("sig", "s").alias("b"))
     rest = checkpointed(apart.unionByName(across).distinct().join(first, ["a", "b"], "left_anti"))
     if rest.isEmpty():
