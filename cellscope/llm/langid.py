@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellscope.llm.common import table
@@ -58,7 +58,7 @@ def _letters() -> np.ndarray:
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of a block (uint64: code points cut to 16 bits, at least 1; 0 at a boundary)
-    and the row of each. A boundary stands before each run of letters, and one after the last."""
+    and the row of each. One boundary follows each run of letters that does not end its text."""
     text = data.tobytes().decode("utf-8", "replace")
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     # lower case by table, so that places stay
@@ -70,10 +70,8 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     prior = np.zeros(len(points), bool)
     prior[1:] = letter[:-1]
     prior[rows[:-1][rows[:-1] < len(points)]] = False
-    # keep letters, and the first sign that ends a run
+    # letters stay, and the first sign that ends a run
     keep = letter | (prior & ~letter)
-    starts = np.zeros(len(points) + 1, bool)
-    starts[rows] = True
     place = np.flatnonzero(keep)
     value = np.where(letter[place], np.maximum(points[place] & 0xFFFF, 1), 0).astype(np.uint64)
     return value, np.searchsorted(rows, place, "right") - 1
@@ -97,7 +95,7 @@ def _lower() -> np.ndarray:
 
 def grams(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 4-gram ending at each symbol, as a key, and its row. Symbols before a boundary, or
-    before the start of the row, are read as boundaries. Lone boundaries after one are dropped."""
+    before the start of the row, are read as boundaries."""
     if not len(value):
         return np.zeros(0, np.uint64), row
     key = value.copy()
@@ -225,9 +223,6 @@ def log_probs(model: dict, key: np.ndarray) -> np.ndarray:
     return out
 
 
-CHUNK = 1 << 20
-
-
 def entropies(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy (nats a symbol) of each row of a block under each language, and its symbols."""
     key, row = grams(*symbols(data, offsets))
@@ -291,7 +286,6 @@ def identify(df: DataFrame, train: DataFrame, check: DataFrame, id_col: str = "d
              lang_col: str = "lang") -> DataFrame:
     """Models from ``train``, calibration on ``check`` (labelled rows outside ``train``), and one
     row per row of ``df``: id, lang_pred, score, rejected."""
-    from pyspark.sql import Window
     counts = count_grams(train, text_col, lang_col)
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     model = df.sparkSession.sparkContext.broadcast(fit(top.where(F.col("rank") <= MAX_NGRAMS).select("lang", "gram", "n").toPandas()))

@@ -22,7 +22,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -113,7 +112,7 @@ def _pack(tokenizer_path: str, window: int, item: int, group: int):
             waiting = []
             return rows
 
-        kind = None
+        kind = None  # the Arrow type of the ids, known from the first batch
         for batch in batches:
             kind = batch.column(0).type
             for row, end, data, offsets in text_blocks(batch.column(1)):

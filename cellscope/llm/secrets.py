@@ -212,7 +212,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(rules: tuple[Rule, ...], id_type):
+def _scan(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_blocks(batch.column(1)):
@@ -226,7 +226,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exclusive; by start, then the order of the rules)."""
     kind = df.schema[id_col].dataType.simpleString()
     got = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        _scan(tuple(rules), kind), f"_id {kind}, spans {SPANS}")
+        _scan(tuple(rules)), f"_id {kind}, spans {SPANS}")
     return got.select(F.col("_id").alias(id_col), "spans")
 
 
