@@ -28,7 +28,7 @@ def test_stages_keep_the_columns(stages):
 
 def test_rejected_documents_go(spark, stages):
     from cellscope.llm.quality import op8
-    kept = {r.doc_id for r in op8(spark, SF).where("kept").collect()}
+    kept = {r.doc_id for r in op8(spark, SF).collect() if r.kept}  # a filter would be pushed below the measures
     assert {r.doc_id for r in stages["quality"].collect()} == kept
     assert all(len(r.text) == r.n_chars for r in stages["quality"].collect())
 
