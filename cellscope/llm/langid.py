@@ -12,9 +12,10 @@ The score is calibrated: texts of a training fold that the models were not fitte
 into bins by the margin between the two lowest cross-entropies, and a bin's score is its share
 of right answers, made monotone. ``rejected`` marks a score under ``MIN_SCORE``.
 
-All training rows are counted, inside tasks and then by a grouped sum. The models keep the
-``MAX_NGRAMS`` most frequent 4-grams of each language, which bounds what is sent to the tasks
-whatever the size of the corpus.
+All training rows are counted, inside tasks and then by a grouped sum, and the models hold every
+4-gram met, so discounts, totals and continuation counts come from whole counts. What is fitted
+on the driver and sent to the tasks grows with the number of distinct 4-grams of the training
+texts: a key and a number for each language.
 
 Edge cases: a NULL text, or one without a letter, is ``und`` with score 0 and rejected; rows are
 judged one by one; a training table without rows gives ``und`` everywhere; NULL languages are
@@ -28,14 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscope.llm.common import table
 from cellscope.llm.shingles import text_blocks
 
 ORDER = 4
-MAX_NGRAMS = 100_000   # 4-grams kept a language
 MIN_SCORE = 0.5
 BINS, BIN_NATS = 200, 0.01   # margin bins of the calibration
 UNKNOWN = "und"
@@ -287,8 +287,10 @@ def identify(df: DataFrame, train: DataFrame, check: DataFrame, id_col: str = "d
     """Models from ``train``, calibration on ``check`` (labelled rows outside ``train``), and one
     row per row of ``df``: id, lang_pred, score, rejected."""
     counts = count_grams(train, text_col, lang_col)
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    model = df.sparkSession.sparkContext.broadcast(fit(top.where(F.col("rank") <= MAX_NGRAMS).select("lang", "gram", "n").toPandas()))
+    # Arrow, with each language's name kept once
+    whole = counts.select("lang", "gram", "n").toArrow()
+    whole = whole.set_column(0, "lang", whole["lang"].dictionary_encode())
+    model = df.sparkSession.sparkContext.broadcast(fit(whole.to_pandas()))
     known = check.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.struct(F.col(lang_col).alias("l")).alias("_key")
     tried = predict(known.select(key, F.col(text_col).alias("_t")), model, None, "_key", "_t")

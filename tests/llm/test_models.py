@@ -32,6 +32,17 @@ def test_models_sum_to_one():
         assert 0.9 < total < 1.05, total
 
 
+def test_models_hold_every_gram(spark, monkeypatch):
+    """More than 100,000 4-grams of a language, most of them met once, all reach the model."""
+    rng = random.Random(5)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(3000)), "xx") for i in range(45)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    fitted, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda counts: fitted.append(fit(counts)) or fitted[-1])
+    assert langid.identify(df, df, df).where("lang_pred = 'xx'").count() == len(rows)
+    assert len(fitted[0]["keys"][-1]) == langid.count_grams(df, "text", "lang").count() > 120_000
+
+
 def test_languages_of_odd_rows(spark, tables, odd, none):
     rows = langid.op6(spark, tables).collect()
     assert len(rows) == len(ODD)
