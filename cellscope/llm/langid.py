@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts are lower-cased and read as runs of letters, each run between two boundary signs. For each
+Texts are lower-cased and read as runs of letters, with the marks that follow a letter, each run
+between two boundary signs. For each
 language the 4-gram counts of its training texts give a model by interpolated Kneser-Ney
 smoothing (absolute discounts, continuation counts below the highest order). The models of all
 languages share sorted arrays of 64-bit n-gram keys: the key of an n-gram packs the low 16 bits
@@ -44,14 +45,15 @@ _LETTERS: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark inside a word."""
+    """For each code point 1 if it is a letter, 2 if it is a mark, else 0."""
     global _LETTERS
     if _LETTERS is None:
         import regex
         points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        found = np.zeros(0x110000, bool)
-        for m in regex.finditer(r"[\p{L}\p{M}]", points):
-            found[ord(m[0])] = True
+        found = np.zeros(0x110000, np.uint8)
+        for kind, sign in ((1, r"\p{L}"), (2, r"\p{M}")):
+            for m in regex.finditer(sign, points):
+                found[ord(m[0])] = kind
         _LETTERS = found
     return _LETTERS
 
@@ -66,7 +68,14 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=at[1:])
     rows = at[offsets]
-    letter = _letters()[points]
+    kind = _letters()[points]
+    letter = kind == 1
+    marks = np.flatnonzero(kind == 2)
+    if len(marks):
+        # a mark belongs to the letter that it follows, in the same text, directly or after other marks
+        carrier = np.maximum.accumulate(np.where(kind != 2, np.arange(len(points)), -1))[marks]
+        start = rows[np.searchsorted(rows, marks, "right") - 1]
+        letter[marks] = (carrier >= start) & (kind[carrier] == 1)
     prior = np.zeros(len(points), bool)
     prior[1:] = letter[:-1]
     prior[rows[:-1][rows[:-1] < len(points)]] = False

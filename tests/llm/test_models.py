@@ -54,6 +54,16 @@ def test_languages_of_odd_rows(spark, tables, odd, none):
     assert langid.identify(none, odd, odd).count() == 0
 
 
+def test_marks_without_a_letter_are_no_language(spark):
+    known = spark.createDataFrame([(i, "some words of a text", "en") for i in range(9)], "doc_id bigint, text string, lang string")
+    texts = ["\u2764\ufe0f", "1\ufe0f\u20e3 2", "\u0301", "e\u0301te\u0301", "a", "\ufe0f 3 \u0301 b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in langid.identify(df, known, known).collect()}
+    assert got == {i: (("und", False) if i < 3 else ("en", True)) for i in range(6)}
+    data = "e\u0301 \u0301x".encode()
+    assert langid.symbols(np.frombuffer(data, np.uint8), np.array([0, 3, len(data)]))[0].tolist() == [ord("e"), 0x301, ord("x")]
+
+
 def test_rejection_is_monotone():
     score = langid.calibrate({0: (10, 4), 5: (10, 9), 50: (100, 100), 7: (10, 6)})
     assert np.all(np.diff(score) >= -1e-12) and 0 <= score[0] < score[-1] <= 1
