@@ -6,15 +6,17 @@ by weight among the others until none is above. A source whose target is r times
 floor(r) certain copies of each document. The rest of the target is a sample without
 replacement: documents are ranked by the odds of a random number over the odds of their
 inclusion, which are unequal (proportional to the square root of a document's size), and are
-taken in this order until the words are reached. The words still missing then are filled with
-the largest document that fits, up to ``FILLS`` times. Only whole documents are taken.
+taken in this order; a document larger than the words still missing is skipped. When these are
+fewer than ``FEW`` mean documents of those that still fit, the largest that fits is taken each
+time. Both go on until none fits. Only whole documents are taken.
 
-The random number is a digest of the id, source and text, so reruns agree. Ranking never gathers a
-source: ranks fall into ``BUCKETS`` buckets a source, their sums show where the sample ends, and
-only the bucket in which it ends is sorted.
+The random number is a digest of the id, source and text, and of the number among rows alike in
+these, so reruns agree. Ranking never gathers a source: ranks fall into ``BUCKETS`` buckets a
+source, their sums show where the first document that does not fit stands, and only that bucket
+is sorted. This is repeated over the documents after it that fit, until none is left.
 
 Edge cases: a NULL or empty text has size 0 and takes 0; rows alike in id, source and text are
-sampled together, all or none; a NULL source is a source of its own; an empty table gives an
+sampled one by one; a NULL source is a source of its own; an empty table gives an
 empty result; other columns are not read by ``mix``.
 """
 
@@ -28,14 +30,14 @@ from cellscope.llm.common import checkpointed, table, word_array
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 BUCKETS = 4096
-FILLS = 6
+FEW = 4        # mean documents left to take from which on the largest that fits is taken
 SALTS = 64     # parts that a source is dealt to in joins
 
 
 def ranked_sources(units: DataFrame) -> DataFrame:
     """(source, source_size, weight): one row a source. Sources are numbered in the order of a
     range partitioning, so that no task holds them all."""
-    per = checkpointed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")))
+    per = checkpointed(units.groupBy("source").agg(F.sum("size").alias("source_size")))
     ordered = per.orderBy(F.col("source").asc_nulls_last())
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], WEIGHTS[x[1] % len(WEIGHTS)]))
     return checkpointed(units.sparkSession.createDataFrame(numbered, "source string, source_size bigint, weight int"))
@@ -65,12 +67,16 @@ def alike(id_col: Column, source: Column, text: Column) -> Column:
 
 
 def units_of(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(key, id, source, size, rows): the words of each document and the rows that are alike."""
+    """(key, kind, id, source, size): the words of each row. Rows that are alike share ``kind`` and
+    differ in ``key``, a digest of it with their number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(alike(F.col(id_col), F.col(source_col), text).alias("key"), F.col(id_col).alias("id"),
+    rows = df.select(alike(F.col(id_col), F.col(source_col), text).alias("kind"), F.col(id_col).alias("id"),
                      F.col(source_col).alias("source"), F.size(word_array(text)).cast("long").alias("size"))
-    return rows.groupBy("key").agg(F.first("id").alias("id"), F.first("source").alias("source"),
-                                   F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    kinds = rows.groupBy("kind").agg(F.first("id").alias("id"), F.first("source").alias("source"),
+                                     F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    each = kinds.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    key = F.when(F.col("nth") == 1, F.col("kind")).otherwise(F.md5(F.concat_ws("#", "kind", F.col("nth").cast("string"))))
+    return each.select(key.alias("key"), "kind", "id", "source", "size")
 
 
 def rank_of(key: Column, size: Column, rest: Column, source_size: Column) -> Column:
@@ -93,59 +99,95 @@ def by_source(rows: DataFrame, one_each: DataFrame, how: str = "inner") -> DataF
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per kind of alike rows: key, id, source, size, rows, source_size, target, copies
-    (how often the mix takes each of the rows)."""
+    """One row per kind of alike rows and number of copies: key, id, source, size, rows, source_size,
+    target, copies (how often the mix takes each of these ``rows`` rows)."""
     units = checkpointed(units_of(df, id_col, text_col, source_col))
     sources = checkpointed(targets(ranked_sources(units)))
     s = sources.select(F.col("source").alias("s"), "source_size", "target",
                        F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long").alias("certain")) \
         .withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    x = by_source(units.withColumn("s", F.col("source")), s).withColumn("words", F.col("size") * F.col("rows"))
+    x = by_source(units.withColumn("s", F.col("source")), s)
     # documents without words have no odds; they take nothing
     rank = rank_of(F.col("key"), F.col("size"), F.col("rest"), F.col("source_size"))
-    x = x.withColumn("rank", F.when(F.col("words") > 0, rank)) \
+    x = x.withColumn("rank", F.when(F.col("size") > 0, rank)) \
         .withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank") * BUCKETS)).cast("int"))
-    sums = x.where("words > 0").groupBy("s", "rest", "bucket").agg(F.sum("words").alias("in_bucket"))
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0).cast("long"))) \
-        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))) \
-        .select("s", F.col("bucket").alias("end_bucket"), "before")
-    y = checkpointed(by_source(x, ends, "left"))
-    # only the bucket in which a source's sample ends is sorted
-    upto = Window.partitionBy("s").orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = y.where(F.col("bucket") == F.col("end_bucket")).withColumn("upto", F.col("before") + F.sum("words").over(upto)) \
-        .groupBy("s").agg(
-            F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("reached"),
-            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("rank", "key"))).alias("first_out"),
-            F.first("before").alias("before"), F.first("rest").alias("rest"))
-    edge = checkpointed(edge.select("s", "first_out", (F.col("rest") - F.coalesce("reached", "before")).alias("gap")))
-    z = by_source(y, edge, "left")
-    z = z.withColumn("sampled", F.when(F.col("words") == 0, False).when(F.col("first_out").isNull(), F.col("rest") > 0)
-                     .otherwise(F.struct("rank", "key") < F.col("first_out")))
-    # the gap is filled with the largest documents that fit
-    rest_of = z.where("not sampled and words > 0 and gap is not null").select("s", "key", "words", "gap")
-    taken = checkpointed(rest_of.where("words <= gap").groupBy("s").agg(F.max(F.struct("words", "key")).alias("pick")))
-    for _ in range(FILLS - 1):
-        gone = taken.groupBy("s").agg(F.sum("pick.words").alias("w"), F.collect_set("pick.key").alias("k"))
-        left = by_source(rest_of, gone).where((F.col("words") <= F.col("gap") - F.col("w")) & ~F.array_contains("k", F.col("key")))
-        best = checkpointed(left.groupBy("s").agg(F.max(F.struct("words", "key")).alias("pick")))
-        if best.isEmpty():
-            break
-        taken = taken.unionByName(best)
-    taken = taken.select(F.col("pick.key").alias("picked"))
-    z = z.join(taken.withColumn("filled", F.lit(1)), F.col("key") == F.col("picked"), "left")
-    extra = F.when(F.col("sampled"), 1).otherwise(F.coalesce("filled", F.lit(0)))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MAX_COPIES), F.col("certain") + extra)).cast("long")
-    return z.select("key", "id", "source", "size", "rows", "source_size", "target", copies.alias("copies"))
+    y = checkpointed(x)
+    place = F.struct("rank", "key")
+    # what a source takes are stretches of its ranking: units of at most ``gap`` words that rank
+    # after ``lo`` and before ``hi``, the first unit that did not fit; near the end, single picks
+    state = s.select("s", F.col("rest").alias("gap"), F.lit(None).cast("struct<rank:double,key:string>").alias("lo"),
+                     F.array().cast("array<string>").alias("picks"))
+    stretches = None
+
+    def open_units(of: DataFrame) -> DataFrame:
+        return by_source(y.select("s", "key", "size", "rank", "bucket"), of.select("s", "gap", "lo", "picks")) \
+            .where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("lo").isNull() | (place > F.col("lo")))
+                   & ~F.array_contains("picks", F.col("key")))
+    while True:
+        if stretches is None:
+            step = state.withColumn("pick", F.lit(None).cast("struct<size:bigint,key:string>"))
+        else:
+            fits = open_units(state).groupBy(F.col("s").alias("_f")).agg(
+                F.avg("size").alias("mean"), F.max(F.struct("size", "key")).alias("top"))
+            step = checkpointed(state.join(fits, F.col("s").eqNullSafe(F.col("_f"))).select(
+                "s", "gap", "lo", "picks", F.when(F.col("gap") < FEW * F.col("mean"), F.col("top")).alias("pick")))
+            if step.isEmpty():  # nothing fits in any source
+                break
+        left = open_units(step.where("pick is null"))
+        sums = left.groupBy("s", "gap", "bucket").agg(F.sum("size").alias("in_bucket"))
+        before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ends = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0).cast("long"))) \
+            .where((F.col("before") <= F.col("gap")) & (F.col("before") + F.col("in_bucket") > F.col("gap"))) \
+            .select("s", F.col("bucket").alias("end_bucket"), "before")
+        # only the bucket in which a source's stretch ends is sorted
+        upto = Window.partitionBy("s").orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, 0)
+        edge = by_source(left, ends).where(F.col("bucket") == F.col("end_bucket")) \
+            .withColumn("upto", F.col("before") + F.sum("size").over(upto)) \
+            .groupBy(F.col("s").alias("_e")).agg(
+                F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.first("before")).alias("reached"),
+                F.min(F.when(F.col("upto") > F.col("gap"), place)).alias("hi"))
+        if step.where("pick is null").isEmpty():
+            step = step.withColumn("reached", F.lit(None).cast("long")).withColumn("hi", F.col("lo"))
+        else:
+            step = checkpointed(step.join(edge, F.col("s").eqNullSafe(F.col("_e")), "left").drop("_e"))
+        stretches = step if stretches is None else stretches.unionByName(step)
+        # a source in which all that is left fits is done
+        state = step.where("pick is not null or hi is not null").select(
+            "s", (F.col("gap") - F.coalesce("pick.size", "reached")).alias("gap"),
+            F.when(F.col("pick").isNull(), F.col("hi")).otherwise(F.col("lo")).alias("lo"),
+            F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("pick.key"))).alias("picks"))
+    per = stretches.groupBy("s").agg(F.collect_list(F.struct("gap", "lo", "hi", "pick.key")).alias("stretches"))
+    z = by_source(y, checkpointed(per))
+    within = lambda t: ((F.col("size") <= t["gap"]) & (t["lo"].isNull() | (place > t["lo"]))
+                        & (t["hi"].isNull() | (place < t["hi"])))
+    sampled = (F.col("size") > 0) & F.exists("stretches", lambda t: F.when(t["key"].isNull(), within(t)).otherwise(t["key"] == F.col("key")))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MAX_COPIES), F.col("certain") + sampled.cast("int"))).cast("long")
+    z = z.withColumn("copies", copies)
+    return z.groupBy("kind", "copies").agg(*[F.first(c).alias(c) for c in ("id", "source", "size", "source_size", "target")],
+                                           F.count(F.lit(1)).alias("rows")) \
+        .select(F.col("kind").alias("key"), "id", "source", "size", "rows", "source_size", "target", "copies")
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row as many times as the mix takes it, with its columns as they are."""
-    took = mix(df, id_col, text_col, source_col).where("copies > 0").select(F.col("key").alias("_k"), F.col("copies").alias("_copies"))
+    """The mix itself: each row as many times as the mix takes it, with its columns as they are.
+    If the mix takes some of the rows that are alike once more than the others, those are the
+    first by a hash of all columns."""
+    each = mix(df, id_col, text_col, source_col).groupBy(F.col("key").alias("_k")).agg(
+        F.min("copies").alias("_copies"), F.max("copies").alias("_most"), F.max_by("rows", "copies").alias("_rows"))
+    took = checkpointed(each.where("_most > 0").select("_k", "_copies", F.when(F.col("_most") > F.col("_copies"), F.col("_rows"))
+                                                       .otherwise(F.lit(0)).alias("_more")))
     names = [f"c{i}" for i in range(len(df.columns))]
     x = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)],
                   alike(F.col(id_col), F.col(source_col), F.col(text_col)).alias("_key"))
-    x = x.join(took, F.col("_key") == F.col("_k")).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    uneven = took.where("_more > 0")
+    if uneven.isEmpty():
+        x = x.join(took, F.col("_key") == F.col("_k"))
+    else:
+        first = Window.partitionBy("_key").orderBy("_hash")
+        part = x.join(uneven, F.col("_key") == F.col("_k")).withColumn("_hash", F.xxhash64(*names)) \
+            .withColumn("_copies", F.col("_copies") + (F.row_number().over(first) <= F.col("_more")).cast("int")).drop("_hash")
+        x = x.join(took.where("_more = 0"), F.col("_key") == F.col("_k")).unionByName(part)
+    x = x.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return x.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
 
 

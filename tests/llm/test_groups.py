@@ -226,6 +226,33 @@ def test_mixing_caps_and_odd_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
+def missing(got, s):
+    """Words that source s is short of its target, and the sizes of its documents that could be taken once more."""
+    own = [r for r in got if r.source == s]
+    certain = int(own[0].target // own[0].source_size)
+    return own[0].target - sum(r.copies * r.size * r.rows for r in own), [r.size for r in own if r.size and r.copies == certain]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_mixing_goes_on_after_a_large_document(spark, seed):
+    """Nothing that would still fit is left out, whatever the size of what did not fit."""
+    rows = [(seed * 10**6 + i, "w " * (1 + i % 9), "a") for i in range(900)] + [(seed * 10**6 + 900 + k, "w " * 2250, "a") for k in range(2)]
+    rows += [(seed * 10**6 + 2000 + i, "w " * 5, "b") for i in range(2400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for s in ("a", "b"):
+        gap, left = missing(got, s)
+        assert 0 <= gap and (not left or gap < min(left)), (s, gap)
+
+
+def test_rows_that_are_alike_are_sampled_one_by_one(spark):
+    rows = [(1, "w " * 10, "a")] * 500 + [(2 + i, "w " * 10, "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n", F.monotonically_increasing_id())
+    got = mixing.mix(df).collect()
+    assert all(missing(got, s)[0] < 10 for s in ("a", "b")) and sum(r.rows for r in got) == 600
+    kept = Counter(r.n for r in mixing.mix_documents(df).where("source = 'a'").collect())
+    assert sum(kept.values()) == sum(r.rows * r.copies for r in got if r.source == "a") and max(kept.values()) - min(kept.values()) <= 1
+
+
 def test_pareto_ranks_follow_the_sizes(spark):
     """Long documents are sampled more often than short ones of the same source."""
     rows = [(i, "w " * (400 if i % 2 else 25), "s" if i < 1500 else "t") for i in range(3000)]
