@@ -6,8 +6,10 @@ sentence weights are learned from document labels alone and the sentences that c
 document's score can be pointed at.
 
 The fit uses at most ``MAX_TRAIN`` labelled documents of each class, taken in the order of a
-digest of their text, and of each at most ``MAX_TRAIN_SENTENCES`` sentences in the same order;
-these bounds are the only ones. Scoring reads every sentence of every text.
+digest of their text (``op10``: of their id), and all their sentences; this bound is the only one.
+A first pass over them counts documents by word and label and so finds the words that go with the
+label; a second one brings each document's distinct sets of such words, one a sentence, with their
+counts. Scoring reads every sentence of every text.
 
 Edge cases: a NULL or empty text, or one without words, has no sentences and scores 0; rows are
 judged one by one; without labels of both classes every score is 0; NULL labels are not learned;
@@ -30,7 +32,6 @@ from cellscope.llm.shingles import text_blocks, word_bounds, word_hashes
 
 BITS = 18                    # hashed words
 MAX_TRAIN = 4000             # labelled documents of each class
-MAX_TRAIN_SENTENCES = 200    # sentences of a training document
 THRESHOLD = 0.7
 OFFENDING = 0.5              # a sentence from this chance on is pointed at
 MIN_DOCS, MIN_Z = 3, 2.5
@@ -57,36 +58,56 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
     return word, of, row, begin, end
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each task, the number of its documents with each word, by label; words of -1 count the
+    documents themselves."""
+    held = np.zeros((2, (1 << BITS) + 1), np.int64)
     for batch in batches:
+        labels = batch.column(0).to_numpy(zero_copy_only=False)
         for row, end, data, offsets in text_blocks(batch.column(1)):
             word, of, owner, _, _ = sentences(data, offsets)
-            bags: list[list[list[int]]] = [[] for _ in range(end - row)]
-            cut = np.searchsorted(of, np.arange(len(owner) + 1))
-            for s, r in enumerate(owner.tolist()):
-                if len(bags[r]) < MAX_TRAIN_SENTENCES:
-                    bags[r].append(np.unique(word[cut[s]:cut[s + 1]]).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(bags, pa.list_(pa.list_(pa.int32())))],
-                                             ["label", "bag"])
-
-
-def associated(word: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The words whose presence goes with the label: log odds ratio ``MIN_Z`` standard errors
-    from zero, in ``MIN_DOCS`` training documents at least. Words of a few documents would
-    only let the fit learn those by heart."""
-    pair = np.unique(doc * (1 << BITS) + word)
-    word, label = pair & ((1 << BITS) - 1), y[pair >> BITS]
-    a = np.bincount(word, label, 1 << BITS)
-    b = np.bincount(word, 1 - label, 1 << BITS)
-    pos, neg = y.sum(), (1 - y).sum()
+            pair = np.unique(owner[of] * (1 << BITS) + word)
+            own = labels[row:end].astype(int)
+            np.add.at(held, (own[pair >> BITS], pair & ((1 << BITS) - 1)), 1)
+            held[:, -1] += np.bincount(own, minlength=2)
+    label, word = np.nonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(np.where(word == 1 << BITS, -1, word), pa.int32()),
+                                      pa.array(held[label, word])], ["label", "word", "n"])
+
+
+def _features(kept):
+    """Each document's distinct sets of kept words, one a sentence, and how often each occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_blocks(batch.column(1)):
+                word, of, owner, _, _ = sentences(data, offsets)
+                told = kept.value[word]
+                pair = np.unique(of[told] * (1 << BITS) + word[told])
+                cut = np.searchsorted(pair >> BITS, np.arange(len(owner) + 1))
+                words = pair & ((1 << BITS) - 1)
+                bags: list[dict[tuple, int]] = [{} for _ in range(end - row)]
+                for s, r in enumerate(owner.tolist()):
+                    key = tuple(words[cut[s]:cut[s + 1]].tolist())
+                    bags[r][key] = bags[r].get(key, 0) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, end - row), pa.array([list(map(list, b)) for b in bags], pa.list_(pa.list_(pa.int32()))),
+                     pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))], ["label", "bag", "times"])
+    return run
+
+
+def associated(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """The words whose presence goes with the label, from the toxic and the clean documents that
+    hold each: log odds ratio ``MIN_Z`` standard errors from zero, in ``MIN_DOCS`` training
+    documents at least. Words of a few documents would only let the fit learn those by heart."""
     cells = [a + 0.5, pos - a + 0.5, b + 0.5, neg - b + 0.5]
     ratio = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
     return (a + b >= MIN_DOCS) & (np.abs(ratio) >= MIN_Z * np.sqrt(sum(1 / c for c in cells)))
 
 
-def fit(bags: list[list[list[int]]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def fit(bags: list[list[list[int]]], labels: np.ndarray, times: list[list[int]] | None = None) -> tuple[np.ndarray, float]:
     """Word weights and the bias, by gradient steps (Adam) on the noisy-or log loss, classes
-    weighed equally."""
+    weighed equally. A bag holds the word sets of its sentences; ``times`` says how many sentences
+    have each (one if not given)."""
     weight, bias = np.zeros(1 << BITS), -4.0
     if not len(labels) or labels.min() == labels.max():
         return weight, -np.inf
@@ -94,23 +115,22 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray) -> tuple[np.ndarray, fl
     word = np.array([w for bag in bags for s in bag for w in s], np.int64)
     of = np.repeat(np.arange(sum(map(len, sizes))), [n for bag in sizes for n in bag])
     doc = np.repeat(np.arange(len(bags)), [len(bag) for bag in sizes])
+    n_same = np.ones(len(doc)) if times is None else np.array([n for bag in times for n in bag], float)
     y = labels.astype(float)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
-    kept = associated(word, doc[of], y)
-    of, word = of[kept[word]], word[kept[word]]
     active, place = np.unique(word, return_inverse=True)
     w = np.zeros(len(active))
-    n_sentences = len(doc)
+    n_sets = len(doc)
     m = np.zeros(len(active) + 1)
     v = np.zeros(len(active) + 1)
     for t in range(1, ROUNDS + 1):
-        z = bias + np.bincount(of, w[place], n_sentences)
+        z = bias + np.bincount(of, w[place], n_sets)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
+        log_clean = np.bincount(doc, n_same * np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
         toxic = -np.expm1(log_clean)
         pull = np.where(y == 1, -np.exp(log_clean) / np.maximum(toxic, 1e-6), 1.0) * share
-        g_sentence = pull[doc] * p
-        g = np.append(np.bincount(place, g_sentence[of], len(active)) / len(bags) + DECAY * w, g_sentence.sum() / len(bags))
+        g_set = pull[doc] * p * n_same
+        g = np.append(np.bincount(place, g_set[of], len(active)) / len(bags) + DECAY * w, g_set.sum() / len(bags))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
@@ -119,13 +139,23 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray) -> tuple[np.ndarray, fl
     return weight, float(bias)
 
 
-def train(spark, labelled: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray, float]:
-    """Weights from a bounded sample of labelled rows."""
+def sample(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(label, text) of at most ``MAX_TRAIN`` labelled rows of each class."""
     rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()) \
-        .select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rank"))
+        .select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("rank"))
     part = [rows.where(F.col("label") == k).orderBy("rank").limit(MAX_TRAIN) for k in (0, 1)]
-    got = part[0].unionByName(part[1]).select("label", "text").mapInArrow(_features, "label int, bag array<array<int>>").toPandas()
-    return fit([[list(s) for s in bag] for bag in got["bag"]], got["label"].to_numpy(int))
+    return part[0].unionByName(part[1]).select("label", "text")
+
+
+def train(spark, labelled: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray, float]:
+    """Weights from a bounded sample of labelled rows."""
+    rows = sample(labelled, text_col, label_col)
+    seen = rows.mapInArrow(_words, "label int, word int, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros((2, (1 << BITS) + 1))
+    held[seen["label"].to_numpy(int), seen["word"].to_numpy(int)] = seen["n"].to_numpy(float)
+    kept = spark.sparkContext.broadcast(associated(held[1, :-1], held[0, :-1], held[1, -1], held[0, -1]))
+    got = rows.mapInArrow(_features(kept), "label int, bag array<array<int>>, times array<bigint>").toPandas()
+    return fit([[list(s) for s in bag] for bag in got["bag"]], got["label"].to_numpy(int), got["times"].tolist())
 
 
 SPANS = "array<struct<start:bigint,end:bigint,chance:double>>"

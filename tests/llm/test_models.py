@@ -93,6 +93,34 @@ def test_toxic_sentences_are_found(spark):
             assert any(w in truth[r.doc_id][0][s.start:s.end] for w in ("vile", "scummy", "odious"))
 
 
+def test_long_documents_are_learned_whole(spark):
+    """The offending sentence of a long document counts wherever it stands, and length alone is not toxic."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(160):
+        lines = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(8)) for _ in range(320)]
+        if i % 2:
+            lines[rng.randrange(230, 320)] += " vile"
+        rows.append((i, ". ".join(lines) + ".", i % 2))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(spark, df.where("doc_id < 120"), "text", "toxic")
+    got = toxicity.score(df.where("doc_id >= 120"), model).collect()
+    assert np.mean([(r.score >= 0.7) == bool(r.doc_id % 2) for r in got]) > 0.95
+    long = [(0, ". ".join(["w1 w2 w3 w4 w5 w6 w7 w8"] * 2000), 0), (1, ". ".join([*["w1 w2 w3"] * 2000, "so vile"]), 1)]
+    clean, toxic = sorted(toxicity.score(spark.createDataFrame(long, df.schema), model).collect())
+    assert clean.score < 0.7 <= toxic.score and len(toxic.sentences) == 1
+
+
+def test_word_sets_with_counts_give_the_same_fit():
+    rng = random.Random(3)
+    kinds = [[], [1], [2, 3], [4]]
+    bags = [[kinds[rng.randrange(3)] for _ in range(30)] + ([[4]] if i % 3 == 0 else []) for i in range(60)]
+    labels = np.array([int(i % 3 == 0) for i in range(60)])
+    sets = [[k for k in kinds if k in bag] for bag in bags]
+    one, two = toxicity.fit(bags, labels), toxicity.fit(sets, labels, [[bag.count(k) for k in own] for own, bag in zip(sets, bags, strict=True)])
+    assert np.allclose(one[0], two[0], atol=1e-6) and abs(one[1] - two[1]) < 1e-6
+
+
 def test_toxicity_of_held_out_documents(spark):
     big = "/root/testdata/sf0.1"
     y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
