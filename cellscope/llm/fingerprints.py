@@ -3,12 +3,13 @@
 A text is read as words. Every run of ``K`` words is looked at through its runs of ``S`` words:
 it is a closed syncmer if the smallest hash among them lies at its first or last place. Whether a
 run is chosen depends on its own words alone, so equal passages give equal anchors wherever they
-stand and whatever surrounds them. A fingerprint keeps the ``ANCHORS`` anchors with the smallest
-hashes, each with the place of its first occurrence: ``hash@place``, comma-joined.
+stand and whatever surrounds them. A fingerprint holds all anchors, each with the place of its
+first occurrence, so it grows with the text. Only as text it is shortened, to the ``ANCHORS``
+anchors with the smallest hashes: ``hash@place``, comma-joined.
 
-The likeness of two fingerprints is positional: among the ``ANCHORS`` smallest hashes of both
-together, the share j that both hold at a common shift (the middle one of all shared anchors,
-give or take ``SLACK`` words), told as 2j / (1 + j): about the share of the two texts that is common.
+The likeness of two fingerprints is positional: among all anchors of both together, the share j
+that both hold at a common shift (the middle one of all shared anchors, give or take ``SLACK``
+words), told as 2j / (1 + j): about the share of the two texts that is common.
 
 Edge cases: a text with fewer than K words has its whole sequence of words as one anchor; a NULL
 or blank text has an empty fingerprint; equal fingerprints, empty ones included, have likeness 1.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from cellscope.llm.common import let, table, word_array
 
 K, S = 6, 2
-ANCHORS = 48
+ANCHORS = 48     # anchors of a fingerprint as text
 SLACK = 2
 
 
@@ -47,34 +48,33 @@ def anchors_of(df: DataFrame, text: Column, out: str) -> DataFrame:
     x = x.withColumn(chosen, F.when(F.size(hashes) >= K, F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(hashes) - K, F.lit(0))), lambda i: F.when(edge(i), run(i))))
         .when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>")))
-    x = x.withColumn(low, F.slice(F.array_sort(F.array_distinct(F.array_compact(F.col(chosen)))), 1, ANCHORS))
-    runs = F.col(chosen)
-    x = x.withColumn(out, F.transform(low, lambda v: F.struct(v.alias("h"), F.array_position(runs, v).alias("at"))))
+    # sorted by hash and place, the first of each hash stays
+    runs = F.transform(F.col(chosen), lambda v, i: F.when(v.isNotNull(), F.struct(v.alias("h"), (i + 1).cast("bigint").alias("at"))))
+    x = x.withColumn(low, F.sort_array(F.array_compact(runs)))
+    x = x.withColumn(out, F.filter(low, lambda v, i: (i == 0) | (v["h"] != F.get(F.col(low), i - 1)["h"])))
     return x.drop(w, h, g, chosen, low)
 
 
 def fingerprint_text(anchors: Column) -> Column:
-    return F.array_join(F.transform(anchors, lambda a: F.concat(F.lower(F.hex(a["h"])), F.lit("@"), a["at"].cast("string"))), ",")
+    return F.array_join(F.transform(F.slice(anchors, 1, ANCHORS), lambda a: F.concat(F.lower(F.hex(a["h"])), F.lit("@"), a["at"].cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness in [0, 1] of two arrays of anchors."""
-    hashes = lambda x: F.transform(x, lambda y: y["h"])
-
-    def of(common):
-        both = F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, ANCHORS)
-
-        def shared(top):
-            shifts = F.array_compact(F.transform(F.filter(common, lambda v: F.array_contains(top, v)), lambda v: let(
-                F.filter(a, lambda y: y["h"] == v), lambda p: let(
-                    F.filter(b, lambda y: y["h"] == v), lambda q: F.get(q, F.lit(0))["at"] - F.get(p, F.lit(0))["at"]))))
-            return let(F.array_sort(shifts), lambda s: let(
-                F.get(s, F.floor(F.size(s) / 2).cast("int")), lambda mid: F.size(
-                    F.filter(s, lambda x: F.abs(x - mid) <= SLACK)) / F.size(top)))
-        return let(both, shared)
-    # the share j of the union that is common, as the share of both that is common
-    twice = lambda j: 2 * j / (1 + j)
-    some = let(F.array_intersect(hashes(a), hashes(b)), lambda c: F.when(F.size(c) > 0, let(of(c), twice)).otherwise(F.lit(0.0)))
+    side = lambda x, k: F.transform(x, lambda y: F.struct(y["h"].alias("h"), F.lit(k).alias("side"), y["at"].alias("at")))
+
+    def shifts(both):
+        # sorted by hash and side, a shared anchor of a is followed by that of b
+        def shift(v, i):
+            return let(F.get(both, i + 1), lambda n: F.when((v["side"] == 0) & (n["side"] == 1) & (n["h"] == v["h"]), n["at"] - v["at"]))
+        return F.sort_array(F.array_compact(F.transform(both, shift)))
+
+    def of(s):
+        # the share j of the union that is common, as the share of both that is common
+        mid = F.get(s, F.floor(F.size(s) / 2).cast("int"))
+        j = let(mid, lambda m: F.size(F.filter(s, lambda x: F.abs(x - m) <= SLACK)) / (F.size(a) + F.size(b) - F.size(s)))
+        return F.when(F.size(s) > 0, let(j, lambda j: 2 * j / (1 + j))).otherwise(F.lit(0.0))
+    some = let(F.sort_array(F.concat(side(a, 0), side(b, 1))), lambda both: let(shifts(both), of))
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(some)
 
 
@@ -148,7 +148,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    x = with_next(anchors_of(docs, F.col("text"), "a"), "doc_id", ["text", "a"], "text", docs.count())
+    # anchors are found after the shuffle, which carries the texts alone
+    x = with_next(docs, "doc_id", ["text"], "text", docs.count())
+    x = anchors_of(anchors_of(x, F.col("text"), "a"), F.col("next_text"), "next_a")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     x = x.withColumn("n_chars", n.cast("long")) \

@@ -338,6 +338,24 @@ def test_anchors_are_closed_syncmers(spark):
     assert {(h, at + 3) for h, at in got[1]} <= got[2]
 
 
+def test_long_documents_keep_all_anchors(spark):
+    """A passage of 60 words that two documents of 6,000 words share gives common anchors, at one shift."""
+    rng = random.Random(13)
+    word = lambda: f"t{rng.randint(0, 10**6)}"
+    passage = [word() for _ in range(60)]
+    long = [[word() for _ in range(6000)] for _ in range(2)]
+    texts = [" ".join(long[0][:2000] + passage + long[0][2000:]), " ".join(long[1][:4500] + passage + long[1][4500:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    a, b = ({x.h: x.at for x in r.anchors} for r in sorted(fingerprints.fingerprints(df).collect()))
+    assert min(len(a), len(b)) > 1500
+    common = set(a) & set(b)
+    assert len(common) > 10 and {b[h] - a[h] for h in common} == {2500}
+    want = 2 * len(common) / (len(a) + len(b))
+    x = fingerprints.anchors_of(fingerprints.anchors_of(df, F.col("text"), "a"), F.lit(texts[1]), "b")
+    got = [r.n for r in x.orderBy("doc_id").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert abs(got[0] - want) < 1e-9 and got[1] == 1.0
+
+
 def test_fingerprints_of_odd_rows(spark, tables, none):
     rows = fingerprints.op9(spark, tables).collect()
     assert len(rows) == len(ODD)
