@@ -169,11 +169,14 @@ def weak_features(ranked: DataFrame, threshold: float = WEAK_CORR) -> DataFrame:
     return ranked.where(F.col("abs_r") < threshold)
 
 
-def trend_series(df: DataFrame, cols: Sequence[str], n_points: int = 200, order_col: str = "seq",
+def trend_series(df: DataFrame, cols: Sequence[str], n_points: int | None = None, order_col: str = "seq",
                  by: Sequence[str] = ()) -> DataFrame:
-    """Ordered series reduced to ``n_points`` position buckets (mean per bucket), so a plot of
-    any length stays bounded."""
+    """The ordered series, one point a row. With ``n_points`` it is reduced to so many position
+    buckets (mean per bucket), so a plot of any length stays bounded."""
     p = with_position(df.select(*by, order_col, *cols), order_col, by)
+    if n_points is None:
+        return p.select(*by, F.col("pos").cast("long").alias("point"), F.col(order_col).alias("seq_from"),
+                        F.col(order_col).alias("seq_to"), F.lit(1).cast("long").alias("n"), *[F.col(c).cast("double").alias(c) for c in cols])
     b = F.floor(F.col("pos") * n_points / F.col("n_rows")).cast("long")
     return p.groupBy(*by, b.alias("point")).agg(
         F.min(order_col).alias("seq_from"), F.max(order_col).alias("seq_to"), F.count(F.lit(1)).alias("n"),

@@ -91,7 +91,7 @@ def q_fit_kernel_svm(spark, sf_dir):
 @register("fit_gbt_cls")
 def q_fit_gbt_cls(spark, sf_dir):
     tr, va, _ = parts(spark, sf_dir)
-    m = train.fit_gbt_cls(tr, CLS_FEATURES, "over_temp_flag", weight_col="w_temp", maxIter=50, maxDepth=5)
+    m = train.fit_gbt_cls(tr, CLS_FEATURES, "over_temp_flag", weight_col="w_temp", maxIter=max(train.GBT_CLS_GRID["maxIter"]), maxDepth=5)
     return _cls_eval(train.positive_prob(m.transform(va)), "boosting", threshold=0.2)
 
 
@@ -120,7 +120,7 @@ def q_oof_predict(spark, sf_dir):
 @register("early_stop_curve")
 def q_early_stop_curve(spark, sf_dir):
     tr, va, _ = parts(spark, sf_dir)
-    return train.early_stop_curve(tr, va, REG_FEATURES, Y, max_iter=60, maxDepth=4)
+    return train.early_stop_curve(tr, va, REG_FEATURES, Y, max_iter=max(train.GBT_REG_GRID["maxIter"]), maxDepth=4)
 
 
 @register("feature_importance")

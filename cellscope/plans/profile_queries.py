@@ -155,6 +155,16 @@ def q_trend_series(spark, sf_dir):
     return pr.trend_series(telemetry(spark, sf_dir), TREND_COLS, 200)
 
 
+TREND_FULL_SQL = """
+select cast(row_number() over (order by seq) - 1 as bigint) as point, seq as seq_from, seq as seq_to, cast(1 as bigint) as n, """ + \
+    ", ".join(f"cast({c} as double) as {c}" for c in TREND_COLS) + " from telemetry"
+
+
+@register("trend_series_full", TREND_FULL_SQL, doubles=TREND_COLS)
+def q_trend_series_full(spark, sf_dir):
+    return pr.trend_series(telemetry(spark, sf_dir), TREND_COLS)
+
+
 REGIME_SQL = """, p as (
   select battery_id, seq, over_temp_flag,
     row_number() over (partition by battery_id order by seq) - 1 as p,

@@ -35,3 +35,34 @@ def test_rfe_keeps_fifteen(spark):
     feats = [c for c in mq.ALL_FEATURES if c != "internal_resistance"]
     r = train.rfe(tr, feats, mq.Y, keep=15, step=4).collect()
     assert sum(1 for x in r if x.rank == 1) == 15 and len(r) == len(feats)
+
+
+def test_registered_boosting_runs_the_rounds_of_the_reference(spark, monkeypatch):
+    from cellscope.operators import train
+    from cellscope.plans import model_queries as mq
+
+    class Seen(Exception):
+        pass
+
+    def stop(*a, **k):
+        raise Seen(k.get("max_iter", k.get("maxIter")))
+    for name, query, rounds in (("early_stop_curve", mq.q_early_stop_curve, 500), ("fit_gbt_cls", mq.q_fit_gbt_cls, 300)):
+        monkeypatch.setattr(train, name, stop)
+        try:
+            query(spark, SF_SMALL)
+        except Seen as e:
+            assert e.args[0] == rounds
+        else:
+            raise AssertionError(name)
+
+
+def test_trend_series_is_whole_without_points(spark):
+    import __spark_entry__ as E
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{SF_SMALL}/events.parquet')")
+    want = con.sql(E.oracle_sql()["trend_series_full"]).df()
+    got = E.queries()["trend_series_full"](spark, SF_SMALL).toPandas()[list(want.columns)]
+    assert len(got) == len(want) > 200
+    import pandas as pd
+    pd.testing.assert_frame_equal(got.sort_values("point", ignore_index=True), want.sort_values("point", ignore_index=True), check_dtype=False)
