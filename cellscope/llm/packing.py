@@ -88,7 +88,7 @@ PIECES = ("_id {}, start bigint, length bigint, ids binary, doc_tokens bigint, s
 
 def _pack(tokenizer_path: str, window: int, item: int, group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = BlockTokenizer(tokenizer_path)
+        tokenizer = BlockTokenizer(tokenizer_path, added=True)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
         waiting: list[tuple] = []  # (id, start, ids, doc_tokens) of items

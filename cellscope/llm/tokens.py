@@ -4,13 +4,15 @@ A text's pre-tokens are found for a whole block at once with numpy (the publishe
 byte-level BPE: contractions, letters, digits, other marks, each with one leading space, and
 white space), equal ones are hashed together, and each distinct pre-token of the block is
 merged once; ids are then laid out by gathering. The ids are those that ``tokenizers`` gives
-for the whole text with special tokens read as ordinary text; the tests compare them. The
+for the whole text; the tests compare them. The file's added tokens are read as such where
+``added`` is set, else as ordinary text. The
 merges run in tiktoken over the same vocabulary, because a call of ``tokenizers`` costs about
 ten times as much as the merges of one short word.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -109,13 +111,14 @@ _WHOLE = r"(?s).+"
 class BlockTokenizer:
     """Encodes blocks of texts with the vocabulary of a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
 
         import tiktoken
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         special = {t["content"] for t in described["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in described["added_tokens"]} if added else {}
         byte = _byte_symbols()
         ranks = {bytes(byte[c] for c in t): i for t, i in described["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding("block", pat_str=_WHOLE, mergeable_ranks=ranks, special_tokens={})
@@ -129,6 +132,20 @@ class BlockTokenizer:
                 return np.multiply.accumulate(p)
             self.powers, self.inverse = run(_BASE), run(_INVERSE)
 
+    def _added_at(self, text: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end places of the added tokens in a block; of overlapping ones, the first and longest."""
+        if not any(t in text for t in self.added):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, free = [], 0
+        any_of = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
+        for m in re.finditer(f"(?=({any_of}))", text):
+            a, b = m.span(1)
+            if a >= free and np.searchsorted(rows, a, "right") == np.searchsorted(rows, b - 1, "right"):
+                found.append((a, b))
+                free = b
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of the texts of a block, ``end_id`` after each, and their offsets."""
         text = data.tobytes().decode("utf-8", "replace")
@@ -136,7 +153,12 @@ class BlockTokenizer:
         at = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=at[1:])
         rows = at[offsets]
-        starts = pretoken_starts(points, rows)
+        # an added token parts its text
+        a, b = self._added_at(text, rows)
+        starts = pretoken_starts(points, np.concatenate([rows, a, b]))
+        if len(a):
+            of = np.searchsorted(a, starts, "right") - 1
+            starts = starts[(of < 0) | (starts == a[of]) | (starts >= b[of])]
         ends = np.append(starts[1:], len(points))
         n = len(points)
         self._scale(n)
@@ -145,7 +167,8 @@ class BlockTokenizer:
         keys = mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
         distinct, where, of = np.unique(keys, return_index=True, return_inverse=True)
         encode = self.encoding.encode_ordinary
-        lists = [encode(text[a:b]) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        parts = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        lists = [[self.added[x]] if x in self.added else encode(x) for x in parts]
         lists.append([end_id])
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))

@@ -178,6 +178,27 @@ def test_tokens_of_hard_texts():
             assert ids[ends[i - a]:ends[i - a + 1]].tolist() == [*t.encode(rows[i] or "", add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_are_read_as_such(spark):
+    """As the tokenizer does at its defaults, also beside white space and over the bounds of texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cellscope.llm.shingles import text_blocks
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "I'm", "é", "12", "<", "|>", "😀"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + ["a <|endof", "text|> b"]
+    mine = BlockTokenizer(packing.default_tokenizer(), added=True)
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in rows]
+    for a, b, data, offsets in text_blocks(pa.array(rows), 2000):
+        ids, ends = mine.encode(data, offsets, 0)
+        for i in range(a, b):
+            assert ids[ends[i - a]:ends[i - a + 1]].tolist() == want[i], rows[i]
+    text = "one <|endoftext|> two"
+    got = pieces_of(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert got[0].doc_tokens == len(t.encode(text, add_special_tokens=False).ids) + 1
+
+
 def plain_targets(sizes):
     """Water filling, one source at a time. sizes: source -> words."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
