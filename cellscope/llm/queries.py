@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cellscope.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, secrets, toxicity
+from cellscope.llm import (
+    chat, exact, fill_middle, fingerprints, jaccard, langid, mixing, packing, pii, quality, resampling, secrets, toxicity,
+)
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8,
     "op9_fingerprints": fingerprints.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_fill_in_middle": fill_middle.op11,
+    "op12_importance_resampling": resampling.op12,
+    "op13_exact_dedup": exact.op13,
 }
 
 ORACLES = {
@@ -22,4 +27,6 @@ ORACLES = {
     "op2_chat_formatting": chat.SQL,
     "op5_pii": pii.SQL,
     "op8_quality_rules": quality.SQL,
+    "op11_fill_in_middle": fill_middle.SQL,
+    "op13_exact_dedup": exact.SQL,
 }
