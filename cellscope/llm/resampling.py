@@ -161,7 +161,7 @@ def drawn(rows: DataFrame, id_col: str, percent: int = DRAW_PERCENT, min_words:
     can = F.col("n_words") >= min_words
     # bounds where the cut may lie and above; all that is below them is one range
     shares = [i / RANGES for i in range(1, RANGES) if 100 * i >= RANGES * (100 - 2 * percent)]
-    bounds = sorted(set(rows.where(can).approxQuantile("score", shares, 0.25 / RANGES)))
+    bounds = sorted(set(rows.where(can).approxQuantile("score", shares, 0.25 / RANGES))) if shares else []
     at = F.size(F.filter(F.from_json(F.lit(json.dumps(bounds)), "array<double>"), lambda b: b <= F.col("score")))
     x = rows.withColumn("_range", at)
     held = {r["_range"]: r["n"] for r in x.where(can).groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # RANGES rows
