@@ -61,8 +61,10 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def alike(id_col: Column, source: Column, text: Column) -> Column:
-    """A digest that rows share if they are alike in id, source and text."""
-    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    """A digest that rows share if they are alike in id, source and text. Bars inside of id and
+    source are escaped, so text cannot shift from one part to the next."""
+    escaped = lambda c: F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), escaped(c)), F.lit(""))
     return F.md5(F.concat_ws("|", part(id_col), part(source), F.coalesce(text, F.lit(""))))
 
 

@@ -274,6 +274,15 @@ def test_rows_that_are_alike_are_sampled_one_by_one(spark):
     assert sum(kept.values()) == sum(r.rows * r.copies for r in got if r.source == "a") and max(kept.values()) - min(kept.values()) <= 1
 
 
+def test_marks_in_sources_keep_rows_apart(spark):
+    rows = [(1, "x|y", "z b"), (1, "x", "y|z b"), (1, "x\\", "y|w"), (1, "x\\|y", "w"), (1, "", "|w"), (1, "|", "w"), (1, None, "=|w"),
+            (None, "=1|a", "w")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
+    assert got.agg(F.countDistinct("key"), F.sum("rows")).first() == (len(rows), len(rows))
+    assert {(r.source, r.source_size) for r in got.collect()} == {
+        (s, sum(len((t or "").split()) for _, x, t in rows if x == s)) for _, s, _ in rows}
+
+
 def test_pareto_ranks_follow_the_sizes(spark):
     """Long documents are sampled more often than short ones of the same source."""
     rows = [(i, "w " * (400 if i % 2 else 25), "s" if i < 1500 else "t") for i in range(3000)]
