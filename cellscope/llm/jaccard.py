@@ -12,10 +12,12 @@ hash collisions. Documents with equal sets form a class, and only classes are co
    joined again over all of their tokens under order 2, by rising frequency among them, which
    takes shared passages out of the prefixes.
 3. Frequent tokens left in those prefixes belong to classes that have hardly any others, as large
-   groups of near copies do. There the most typical class of a token is compared with its others
-   first, and then only classes that are still in different components. A pair that shares no
-   rare token cannot link if the two have too many rare tokens of their own, which settles most
-   classes of such a group without a comparison.
+   groups of near copies do. There the most typical class of a token, its centre, is compared with
+   its others first, and then only classes that are still in different components. A pair that
+   shares no rare token cannot link if the two have too many rare tokens of their own, if what
+   each shares with the centre and what each has beside it leave too little in common, or if
+   their frequent tokens, counted in bins by a hash, do. That settles nearly all pairs of such a
+   group without a comparison.
 4. Candidates must share prefix tokens under two further orders (falling hashes, and hashes from
    the middle round) before their sets are intersected. Each document's best candidate is
    verified first; of the others only those between different components are left to verify.
@@ -46,6 +48,8 @@ from cellscope.llm.shingles import SHINGLE_WORDS, mix, shingle_sets, text_blocks
 NUM, DEN = 80, 100      # a link: DEN * shared >= NUM * united
 HOT = 32                # classes a token may be in to give pairs directly
 FILTER_BITS = 1 << 25   # of the Bloom filter (4 MB), whatever the number of classes
+PARTS = 16              # parts that the rows of a token are dealt to in joins
+PROFILE = 64            # bins in which a set's frequent tokens are counted
 SIZE_CODE = 16          # steps of a size code in an octave
 
 # Set arithmetic, for numbers and for columns alike ----------------------------------------------
@@ -93,6 +97,11 @@ def _own_fit(a: Column, own_a: Column, b: Column, own_b: Column) -> Column:
     return (most >= _col_overlap(a, b)) & ((own_a + own_b) * NUM <= most * (DEN - NUM))
 
 
+def _profiles_share(a: Column, b: Column) -> Column:
+    """The most that sets share whose frequent tokens fall into bins as these counts say."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+
+
 def _in_prefixes(a: Column, rank_a: Column, b: Column, rank_b: Column) -> Column:
     """Whether a token of these ranks lies in the prefixes that sets of these sizes must share."""
     need = _col_overlap(a, b)
@@ -168,6 +177,33 @@ def _whole_sets(wanted):
     return run
 
 
+SECOND = "sig bigint, n int, own int, profile array<int>, prefix array<struct<token:bigint,code:int,df:bigint,rank:int>>"
+_PREFIX = pa.list_(pa.struct([("token", pa.int64()), ("code", pa.int32()), ("df", pa.int64()), ("rank", pa.int32())]))
+
+
+def _second_order(hot: int):
+    """Classes (sig, n, tokens, dfs) in order 2, by rising frequency: how many tokens are rare, the
+    frequent ones counted in PROFILE bins by a hash, and the prefix that is sent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            own, profiles, prefixes = [], [], []
+            for i in range(batch.num_rows):
+                tokens = batch.column(2)[i].values.to_numpy()
+                dfs = batch.column(3)[i].values.to_numpy()
+                spread = mix(tokens.view(np.uint64))
+                frequent = dfs > hot
+                own.append(int(np.count_nonzero(~frequent)))
+                profiles.append(np.bincount((spread[frequent] % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE))
+                code = size_code(int(n[i]))
+                first = np.lexsort((spread, dfs))[:emitted(int(n[i]))]
+                prefixes.append([{"token": t, "code": code, "df": d, "rank": r}
+                                 for r, (t, d) in enumerate(zip(tokens[first].tolist(), dfs[first].tolist(), strict=True), 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array(profiles, pa.list_(pa.int32())),
+                                              pa.array(prefixes, _PREFIX)], ["sig", "n", "own", "profile", "prefix"])
+    return run
+
+
 def _places(sig: int) -> tuple[int, int]:
     u = sig & 0xFFFFFFFFFFFFFFFF
     return u % FILTER_BITS, (u >> 32) % FILTER_BITS
@@ -191,8 +227,8 @@ def bloom(sigs: DataFrame):
     return sigs.sparkSession.sparkContext.broadcast(out)
 
 
-def verify_sets(x: np.ndarray, y: np.ndarray) -> bool:
-    """Prefix filters under two further orders, then the exact test."""
+def passes_orders(x: np.ndarray, y: np.ndarray) -> bool:
+    """Prefix filters under two further orders."""
     need = overlap(len(x), len(y))
     p, q = len(x) - need + 1, len(y) - need + 1
     if p <= 0 or q <= 0:
@@ -202,30 +238,41 @@ def verify_sets(x: np.ndarray, y: np.ndarray) -> bool:
         return False
     half = np.uint64(1 << 63)
     i, j = np.searchsorted(x, half), np.searchsorted(y, half)
-    if not shares(np.concatenate([x[i:], x[:i]])[:p], np.concatenate([y[j:], y[:j]])[:q]):
-        return False
+    return shares(np.concatenate([x[i:], x[:i]])[:p], np.concatenate([y[j:], y[:j]])[:q])
+
+
+def verify_sets(x: np.ndarray, y: np.ndarray, measure: bool = False) -> tuple[bool, int | None]:
+    """Whether two sets link, and their shared tokens where these were counted: if the orders let
+    the pair pass, or always with ``measure``."""
+    if not measure and not passes_orders(x, y):
+        return False, None
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return DEN * both >= NUM * (len(x) + len(y) - both)
+    return DEN * both >= NUM * (len(x) + len(y) - both), both
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        links = [i for i in range(batch.num_rows) if verify_sets(
-            np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64))]
-        yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], ["a", "b"])
+        found = [verify_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), m.as_py())
+                 for m, x, y in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.bool_()),
+                                          pa.array([f[1] for f in found], pa.int32())], ["a", "b", "link", "shared"])
 
 
 # The join -----------------------------------------------------------------------------------------
 
 
-def links_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) that are links, checked on their whole sets."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
+def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, link, shared) of the candidate pairs (a, b, measure), checked on their whole sets."""
+    ends = pairs.select("a", "b", "measure", F.explode(F.array("a", "b")).alias("sig"))
     sets = texts.mapInArrow(_whole_sets(bloom(ends.select("sig"))), "sig bigint, tokens binary") \
         .groupBy("sig").agg(F.min("tokens").alias("tokens"))
-    both = ends.join(sets, "sig").groupBy("a", "b").agg(F.min("tokens").alias("x"), F.max("tokens").alias("y"))
-    return checkpointed(both.mapInArrow(_verify, "a bigint, b bigint"))
+    both = ends.join(sets, "sig").groupBy("a", "b", "measure").agg(F.min("tokens").alias("x"), F.max("tokens").alias("y"))
+    return checkpointed(both.mapInArrow(_verify, "a bigint, b bigint, link boolean, shared int"))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """Each row once in every part."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
 
 
 def rare_pairs(lists: DataFrame) -> DataFrame:
@@ -268,53 +315,65 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     # classes with many hot tokens: all their tokens, in an order with frequent ones last
     dense = checkpointed(hot.join(classes, "sig").where(F.col("hot") >= _col_slack(F.col("n")) - 1).select("sig", "n"))
     tokens = texts.mapInArrow(_postings(bloom(dense), True), "key bigint, sig bigint").join(dense, "sig", "left_semi")
-    mine = Window.partitionBy("sig")
-    ranked = with_frequency(tokens).withColumn("frequent", F.col("df") > HOT) \
-        .withColumn("rank", F.row_number().over(mine.orderBy("df", F.xxhash64("token")))) \
-        .withColumn("own", F.sum((~F.col("frequent")).cast("int")).over(mine))
-    second = checkpointed(ranked.join(dense, "sig").where(F.col("rank") <= _col_emitted(F.col("n"))).where("df > 1")
-                          .select("token", "code", "sig", "n", "frequent", "own", "rank"))
+    held = with_frequency(tokens).groupBy("sig").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
+    ordered = checkpointed(held.join(dense, "sig").select("sig", "n", "tokens", "dfs").mapInArrow(_second_order(HOT), SECOND))
+    second = ordered.select("sig", "n", "own", "profile", F.inline("prefix")).where("df > 1") \
+        .withColumn("frequent", F.col("df") > HOT)
     hot2 = checkpointed(second.where("frequent").groupBy("sig").agg(F.count(F.lit(1)).cast("int").alias("hot")))
     candidates2 = counted(rare_pairs(second.where("not frequent")), classes, hot2)
     pairs = checkpointed(candidates.unionByName(candidates2).groupBy("a", "b").agg(F.max("shared").alias("shared")))
 
-    # what is left: tokens frequent among classes that have hardly any others
-    crowd = checkpointed(second.where("frequent").join(
-        hot2.join(classes, "sig").where(F.col("hot") >= _col_slack(F.col("n")) - 1).select("sig"), "sig")
-        .select("token", "sig", "n", "own", "rank"))
-    centre = crowd.groupBy("token").agg(F.min(F.struct("own", "sig", "n", "rank")).alias("c"))
-    spokes = crowd.join(centre, "token").where(
-        (F.col("sig") != F.col("c.sig")) & _sizes_fit(F.col("n"), F.col("c.n"))
-        & _own_fit(F.col("n"), F.col("own"), F.col("c.n"), F.col("c.own"))
-        & _in_prefixes(F.col("n"), F.col("rank"), F.col("c.n"), F.col("c.rank"))) \
-        .select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b"))
+    # what is left: tokens frequent among classes that have hardly any others. The rows of a token
+    # are dealt to PARTS parts, with the few rows of its other side in each
+    crowd = second.where("frequent").join(
+        hot2.join(classes, "sig").where(F.col("hot") >= _col_slack(F.col("n")) - 1).select("sig"), "sig") \
+        .select("token", F.pmod(F.xxhash64("sig"), F.lit(PARTS)).alias("part"), "sig", "n", "own", "rank", "profile")
+    centre = crowd.groupBy("token").agg(F.min(F.struct("own", "sig", "n")).alias("c"))
+    crowd = checkpointed(crowd.join(in_parts(centre), ["token", "part"]))
+    spokes = crowd.where((F.col("sig") != F.col("c.sig")) & _sizes_fit(F.col("n"), F.col("c.n"))) \
+        .select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
 
     each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("o")),
                                           F.struct(F.col("b").alias("v"), F.col("a").alias("o")))).alias("e"), "shared")
     best = each.groupBy("e.v").agg(F.max(F.struct("shared", F.col("e.o").alias("o"))).alias("m")) \
         .select(F.least("v", "m.o").alias("a"), F.greatest("v", "m.o").alias("b"))
-    first = checkpointed(best.unionByName(spokes).distinct())
-    links = links_of(texts, first)
-    found = connected(links)
+    first = checkpointed(best.withColumn("measure", F.lit(False)).unionByName(spokes.withColumn("measure", F.lit(True)))
+                         .groupBy("a", "b").agg(F.max("measure").alias("measure")))
+    met = compared(texts, first)
+    found = connected(met.where("link").select("a", "b"))
 
     # candidates between components that are still apart
     def component(side: str) -> DataFrame:
         return found.select(F.col("v").alias(side), F.col("component").alias(f"c_{side}"))
     apart = pairs.select("a", "b").join(component("a"), "a", "left").join(component("b"), "b", "left") \
         .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    placed = crowd.join(component("sig"), "sig", "left").select("token", "sig", "n", "own", "rank", F.coalesce("c_sig", "sig").alias("c"))
+    # tokens shared with the centre (all of them where that is not known), and the most frequent
+    # tokens that the centre may lack
+    with_centre = met.where("shared is not null").select(F.explode(F.array(
+        F.struct(F.col("a").alias("sig"), F.col("b").alias("by")), F.struct(F.col("b").alias("sig"), F.col("a").alias("by")))).alias("e"), "shared") \
+        .select("e.sig", "e.by", "shared")
+    n, own = F.col("n"), F.col("own")
+    placed = crowd.withColumn("by", F.col("c.sig")).join(with_centre, ["sig", "by"], "left").join(component("sig"), "sig", "left")
+    inside = F.when(F.col("sig") == F.col("by"), n).otherwise(F.coalesce("shared", n))
+    outside = n - own - F.when(F.col("sig") == F.col("by"), n - own).otherwise(
+        F.coalesce(F.greatest(F.lit(0), F.col("shared") - F.least(own, F.col("c.own"))), F.lit(0)))
+    placed = checkpointed(placed.select("token", "part", "sig", "n", "own", "rank", "profile", inside.alias("inside"), outside.alias("outside"),
+                                        F.coalesce("c_sig", "sig").alias("c")))
     main = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    placed = checkpointed(placed.join(main, "token"))
-    others = placed.where("c != main").select("token", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("own").alias("own_s"), F.col("rank").alias("rank_s"), F.col("c").alias("d"))
-    across = placed.join(others, "token").where(
-        (F.col("c") != F.col("d")) & _sizes_fit(F.col("n"), F.col("m"))
-        & _own_fit(F.col("n"), F.col("own"), F.col("m"), F.col("own_s"))
-        & _in_prefixes(F.col("n"), F.col("rank"), F.col("m"), F.col("rank_s"))) \
-        .select(F.least("sig", "s").alias("a"), F.greatest("sig", "s").alias("b"))
-    rest = checkpointed(apart.unionByName(across).distinct().join(first, ["a", "b"], "left_anti"))
+    placed = placed.join(in_parts(main), ["token", "part"])
+    others = in_parts(placed.where("c != main").select(
+        "token", *[F.col(x).alias(f"{x}_o") for x in ("sig", "n", "own", "rank", "profile", "inside", "outside", "c")]))
+    m, own_o = F.col("n_o"), F.col("own_o")
+    across = placed.join(others, ["token", "part"]).where(
+        (F.col("c") != F.col("c_o")) & _sizes_fit(n, m) & _own_fit(n, own, m, own_o)
+        & _in_prefixes(n, F.col("rank"), m, F.col("rank_o"))
+        & (F.least("inside", "inside_o") + F.least("outside", "outside_o") >= _col_overlap(n, m))
+        & (_profiles_share(F.col("profile"), F.col("profile_o")) >= _col_overlap(n, m))) \
+        .select(F.least("sig", "sig_o").alias("a"), F.greatest("sig", "sig_o").alias("b"))
+    rest = checkpointed(apart.unionByName(across).distinct().join(first, ["a", "b"], "left_anti").withColumn("measure", F.lit(False)))
     if rest.isEmpty():
         return found.select(F.col("v").alias("sig"), "component")
-    more = links_of(texts, rest)
+    more = compared(texts, rest).where("link").select("a", "b")
     # earlier components enter as their stars
     stars = found.where("v != component").select(F.least("v", "component").alias("a"), F.greatest("v", "component").alias("b"))
     return connected(checkpointed(stars.unionByName(more))).select(F.col("v").alias("sig"), "component")
