@@ -83,6 +83,7 @@ def deal(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
         k += max(1, k // 256)
 
 
+BLOCK = 1 << 20          # bytes of text tokenized at once; arrays of sixty times as much stand beside them
 PIECES = ("_id {}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
@@ -115,7 +116,7 @@ def _pack(tokenizer_path: str, window: int, item: int, group: int):
         kind = None  # the Arrow type of the ids, known from the first batch
         for batch in batches:
             kind = batch.column(0).type
-            for row, end, data, offsets in text_blocks(batch.column(1)):
+            for row, end, data, offsets in text_blocks(batch.column(1), BLOCK):
                 keys = batch.column(0).slice(row, end - row).to_pylist()
                 ids, ends = tokenizer.encode(data, offsets, END_ID)
                 rows = []
