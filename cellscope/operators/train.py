@@ -6,6 +6,7 @@ a short lineage; each fit itself is a distributed MLlib job."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from cellscope.operators import boosting
 from cellscope.operators import evaluate as ev
 from cellscope.operators.splits import ts_role
 
@@ -29,6 +31,7 @@ RF_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode
            "featureSubsetStrategy": ["sqrt", "0.5"]}
 GBT_REG_GRID = {"maxIter": [200, 500], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
 GBT_CLS_GRID = {"maxIter": [100, 300], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
+BOOSTED_GRID = {"rounds": [200, 500], "depth": [3, 5, 7], "rate": [0.01, 0.05, 0.1], "reg_alpha": [0.0, 1.0], "reg_lambda": [1.0, 10.0]}
 SVM_GRID = {"c": [0.1, 1.0, 10.0]}
 LOGISTIC_C = 1.0
 EARLY_STOP_ROUNDS = 50
@@ -195,26 +198,69 @@ def oof_predict(data: DataFrame, features: Sequence[str], label: str, fold_col:
     return out
 
 
+def fit_boosted_val(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, rounds: int = 200,
+                    patience: int | None = EARLY_STOP_ROUNDS, weight_col: str | None = None, logistic: bool = False,
+                    **params) -> boosting.Boosted:
+    """Boosting with L1 and L2 penalties (``depth``, ``rate``, ``reg_alpha``, ``reg_lambda``) on
+    ``train``, stopped by the loss on ``val``."""
+    bounds = boosting.bin_bounds(train, features)
+    cols = [*features, label, *([weight_col] if weight_col else [])]
+    both = train.select(*cols, F.lit(0).alias("_part")).unionByName(val.select(*cols, F.lit(1).alias("_part")))
+    blocks = boosting.packed(both, features, label, F.col("_part"), bounds, weight_col)
+    return boosting.fit_boosted(blocks, features, bounds, [boosting.Spec(rounds=rounds, **params)], logistic, patience)[0]
+
+
 def early_stop_curve(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, max_iter: int = 200,
-                     patience: int = EARLY_STOP_ROUNDS, seed: int = 42, **params) -> DataFrame:
-    """Per-round train / val RMSE of a boosted regressor and the early-stopping decision with
-    a patience of ``patience`` rounds. Later rounds never change earlier trees, so fitting all
-    rounds once and reading the validation curve gives exactly the stopped model's rounds
-    (MLlib's ``validationTol`` stops at the first non-improvement instead)."""
-    spark = train.sparkSession
-    x_tr, x_va = assemble(train, features), assemble(val, features)
-    m = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, seed=seed, **params).fit(x_tr)
-    tr = [math.sqrt(v) for v in m.evaluateEachIteration(x_tr, "squared")]
-    va = [math.sqrt(v) for v in m.evaluateEachIteration(x_va, "squared")]
-    best, best_i, stop = float("inf"), 0, len(va)
-    for i, v in enumerate(va):
-        if v < best:
-            best, best_i = v, i
-        elif i - best_i >= patience:
-            stop = i + 1
-            break
-    rows = [(i + 1, float(a), float(b), best_i + 1, stop) for i, (a, b) in enumerate(zip(tr, va))]
-    return spark.createDataFrame(rows, "round int, train_rmse double, val_rmse double, best_round int, stopped_at int")
+                     patience: int = EARLY_STOP_ROUNDS, maxDepth: int = 6, stepSize: float = 0.1, **params) -> DataFrame:
+    """Per-round train / val RMSE of a boosted regressor that stops after ``patience`` rounds
+    without a better one: no round after ``stopped_at`` is fitted."""
+    m = fit_boosted_val(train, val, features, label, max_iter, patience, depth=maxDepth, rate=stepSize, **params)
+    rows = [(i, a, b, m.best_round, len(m.trees)) for i, (a, b) in enumerate(m.curve[1:], 1)]
+    return train.sparkSession.createDataFrame(rows, "round int, train_rmse double, val_rmse double, best_round int, stopped_at int")
+
+
+def time_part(k: int = 5, pos_col: str = "split_pos", count_col: str = "split_rows") -> Column:
+    """0 for rows that every time fold trains on, f + 1 for the test part of fold f."""
+    p, n = F.col(pos_col), F.col(count_col)
+    s = F.floor(n / (k + 1))
+    return F.when(p < n - k * s, 0).otherwise(F.floor((p - (n - k * s)) / F.greatest(s, F.lit(1))) + 1).cast("int")
+
+
+def grid_search_boosted(data: DataFrame, features: Sequence[str], label: str, grid: dict, k: int = 5,
+                        patience: int | None = None) -> DataFrame:
+    """Every point of ``grid`` on expanding time folds, in the same passes over the data. The axis
+    ``rounds`` costs nothing: a point's model is the prefix of the one with the most rounds. With
+    ``patience`` a fold's model stops early, and a point takes its best prefix of at most ``rounds``.
+    Returns (point, params as JSON, fold, trees, rmse), the point's mean and whether it is best."""
+    spark = data.sparkSession
+    axes = {a: v for a, v in grid.items() if a != "rounds"}
+    rounds = sorted(grid["rounds"])
+    bounds = boosting.bin_bounds(data, features)
+    blocks = boosting.packed(data, features, label, time_part(k), bounds)
+    base = grid_points(axes)
+    specs = [boosting.Spec(rounds=rounds[-1], train=tuple(range(f + 1)), test=(f + 1,), **p) for p in base for f in range(k)]
+    models = boosting.fit_boosted(blocks, features, bounds, specs, patience=patience)
+    rows = []
+    for i, p in enumerate(base):
+        for r in rounds:
+            for f in range(k):
+                curve = [v for _, v in models[i * k + f].curve[:r + 1]]
+                at = len(curve) - 1 if patience is None else min(range(1, len(curve)), key=lambda j: (curve[j], j), default=0)
+                rows.append((len(rows) // k, json.dumps(p | {"rounds": r}), f, at, float(curve[at])))
+    res = spark.createDataFrame(rows, "point int, params string, fold int, trees int, rmse double")
+    # res holds points x folds rows (driver-built): a window over it is bounded
+    res = res.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("point")))
+    best = F.min(F.struct("mean_rmse", "point")).over(Window.partitionBy())
+    return res.withColumn("is_best", F.col("point") == best["point"])
+
+
+def refit_best(found: DataFrame, train: DataFrame, val: DataFrame, features: Sequence[str], label: str,
+               patience: int | None = EARLY_STOP_ROUNDS) -> boosting.Boosted:
+    """The best point of ``grid_search_boosted`` fitted on all training rows, stopped by ``val``;
+    the model is its best prefix."""
+    params = json.loads(found.where("is_best").first()["params"])
+    m = fit_boosted_val(train, val, features, label, patience=patience, **params)
+    return m.prefix(m.best_round) if patience is not None else m
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:

@@ -123,6 +123,22 @@ def q_early_stop_curve(spark, sf_dir):
     return train.early_stop_curve(tr, va, REG_FEATURES, Y, max_iter=max(train.GBT_REG_GRID["maxIter"]), maxDepth=4)
 
 
+@register("fit_boosted")
+def q_fit_boosted(spark, sf_dir):
+    """Boosting with both penalties, stopped by the validation rows: metrics on ``val`` and ``test``."""
+    tr, va, x = parts(spark, sf_dir)
+    m = train.fit_boosted_val(tr, va, REG_FEATURES, Y, rounds=200, depth=5, reg_alpha=1e-3, reg_lambda=10.0)
+    best = m.prefix(m.best_round)
+    return _reg_eval(best, va, "boosted_val").unionByName(_reg_eval(best, x.where(F.col("split") == "test"), "boosted_test"))
+
+
+@register("grid_search_boosted")
+def q_grid_search_boosted(spark, sf_dir):
+    """All 72 points of the command-line search on five time folds, each fold stopped early."""
+    tr, _, _ = parts(spark, sf_dir)
+    return train.grid_search_boosted(tr, REG_FEATURES, Y, train.BOOSTED_GRID, patience=train.EARLY_STOP_ROUNDS)
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     tr, _, _ = parts(spark, sf_dir)
