@@ -100,11 +100,10 @@ def fold_audit_stratified(df: DataFrame, label_col: str, k: int = 5, fold_col: s
     return _degenerate(test.unionByName(train))
 
 
-def fold_audit(assign: DataFrame, labels: DataFrame, label_col: str,
-               keys: Sequence[str] = ("battery_id", "seq")) -> DataFrame:
-    """Class counts per (fold, role) for explicit fold assignments (time folds)."""
-    j = assign.join(labels.select(*keys, label_col), on=list(keys))
-    c = j.groupBy("fold", "role").agg(F.count_if(F.col(label_col) == 1).alias("n_pos"),
+def fold_audit(assign: DataFrame, label_col: str) -> DataFrame:
+    """Class counts per (fold, role) for explicit fold assignments that carry the label (time
+    folds whose ``keys`` include it), so rows with missing keys count too."""
+    c = assign.groupBy("fold", "role").agg(F.count_if(F.col(label_col) == 1).alias("n_pos"),
                                       F.count_if(F.col(label_col) == 0).alias("n_neg"))
     return _degenerate(c)
 

@@ -45,6 +45,16 @@ def q_ts_folds(spark, sf_dir):
     return named(sp.ts_folds(sp.chrono_split(telemetry_holes(spark, sf_dir)).where(F.col("split") == "train")))
 
 
+@register("holes_fold_audit", over_holes(TS_FOLDS_SQL).replace("select * from x where role is not null", """
+select x.fold, x.role, count_if(sp.over_temp_flag = 1) as n_pos, count_if(sp.over_temp_flag = 0) as n_neg,
+  (count_if(sp.over_temp_flag = 1) = 0 or count_if(sp.over_temp_flag = 0) = 0) as degenerate
+from x join sp on x.battery_id is not distinct from sp.battery_id and x.seq = sp.seq where x.role is not null
+group by x.fold, x.role"""), views=H)
+def q_fold_audit(spark, sf_dir):
+    tr = sp.chrono_split(telemetry_holes(spark, sf_dir)).where(F.col("split") == "train")
+    return sp.fold_audit(sp.ts_folds(tr, keys=["over_temp_flag"]), "over_temp_flag")
+
+
 @register("holes_strat_folds", """
 select coalesce(battery_id, -1) as battery_id, seq, coalesce(over_temp_flag, -1) as label,
   cast((row_number() over (partition by over_temp_flag

@@ -96,7 +96,7 @@ def q_fold_audit(spark, sf_dir):
     tr = s.where(F.col("split") == "train")
     lab = tr.select(*KEYS, F.col("over_temp_flag").alias("label"))
     strat = sp.fold_audit_stratified(sp.strat_folds(lab, "label"), "label")
-    time = sp.fold_audit(sp.ts_folds(tr), lab, "label")
+    time = sp.fold_audit(sp.ts_folds(tr, keys=["over_temp_flag"]), "over_temp_flag")
     cols = ["fold", "role", "n_pos", "n_neg", "degenerate"]
     return strat.select(F.lit("stratified").alias("kind"), *cols) \
         .unionByName(time.select(F.lit("time").alias("kind"), *cols))
