@@ -3,12 +3,15 @@
 A turn is rendered as ``<|turn|>role<|text|>text<|end|>``; inside roles and texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so no marker can occur there and reading back is exact.
 
-Prefix sums of the turns' tokens choose the windows: window w starts with the first turn that
-begins at or after w times the stride, so spans are aligned to turns. A later window repeats the
-system turn and the turns before it as far as ``history`` tokens go; repeated turns stay out of
-the loss mask, so each assistant text is a target once. The stride leaves room for the system
-turn, the history and the longest turn of the conversation, so a window exceeds ``budget`` only
-where a single turn needs more than its share (the stride is a quarter of the budget at least).
+Prefix sums of the turns' tokens choose the windows. They are taken after the system turn and cut
+into cells of ``C`` tokens; the turns that begin in a cell are a window. The last of them may reach
+over the cell's end: it stays if all of them fit beside the system turn, else it is a window of its
+own. A later window repeats the system turn and, of the turns before it, the last ones that fit into
+what is left, at most ``history`` tokens; repeated turns stay out of the loss mask, so each assistant
+text is a target once. ``C`` is what the system turn and a full history leave of the budget; where
+that is less than a quarter, new turns may take a quarter or all that the system turn leaves. So a
+window exceeds ``budget`` only where one turn and the system turn together do. Window numbers rise,
+with gaps.
 
 Tokens are estimated by a fixed pattern, plus four for the markers of a turn. Prefix sums are
 taken in two levels (inside blocks of ``BLOCK`` turn numbers, then over the blocks), so a
@@ -52,8 +55,9 @@ def tokens(role: Column, text: Column) -> Column:
 
 
 def placed_turns(turns: DataFrame, budget: int, history: int) -> DataFrame:
-    """Turns with their place: begin and end (prefix sums of tokens), the stride, the system turn
-    of their conversation and whether they are it."""
+    """Turns with their place: begin and end (prefix sums of tokens after the system turn), the
+    room that the system turn leaves and the tokens of a cell (one where it leaves nothing), the
+    system turn of their conversation and whether they are it."""
     x = turns.withColumn("n", tokens(F.col("role"), F.col("text"))) \
         .withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).cast("long"))
     inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -61,22 +65,22 @@ def placed_turns(turns: DataFrame, budget: int, history: int) -> DataFrame:
     is_system = F.col("role") == "system"
     first = F.struct(F.coalesce("turn", F.lit(-2**63)).alias("t"), "role", "text")
     blocks = x.groupBy("conv", "block").agg(
-        F.sum("n").alias("n_block"), F.max("n").alias("longest"),
-        F.min(F.struct(first["t"].alias("t"), F.col("role").alias("role"))).alias("lead"),
+        F.sum("n").alias("n_block"), F.min(F.struct(first["t"].alias("t"), F.col("role").alias("role"))).alias("lead"),
         F.min(F.when(is_system, F.struct(first["t"].alias("t"), F.col("text").alias("text"), F.col("n").alias("n")))).alias("sys"))
     by = Window.partitionBy("conv")
     blocks = blocks.select(
         F.col("conv").alias("c"), F.col("block").alias("b"),
         F.coalesce(F.sum("n_block").over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"),
-        F.sum("n_block").over(by).alias("all_tokens"), F.max("longest").over(by).alias("longest"),
         F.min("lead").over(by).alias("lead"), F.min("sys").over(by).alias("sys"))
     blocks = blocks.withColumn("sys", F.when(F.col("lead.role") == "system", F.col("sys")))
-    room = budget - history - F.coalesce("sys.n", F.lit(0)) - F.col("longest")
-    blocks = blocks.withColumn("stride", F.greatest(room, F.lit(budget // 4)).cast("long"))
+    blocks = blocks.withColumn("n_sys", F.coalesce("sys.n", F.lit(0).cast("long"))) \
+        .withColumn("room", F.greatest(F.lit(budget) - F.col("n_sys"), F.lit(1))) \
+        .withColumn("cell", F.greatest(F.col("room") - history, F.least("room", F.lit(max(budget // 4, 1)))))
     x = x.join(blocks, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    end = F.col("before") + F.col("upto")
-    return x.select("conv", "role", "text", "n", (end - F.col("n")).alias("begin"), end.alias("end"), "all_tokens", "stride",
-                    (F.col("sys").isNotNull() & (end == F.col("n"))).alias("is_sys"),
+    end = F.col("before") + F.col("upto") - F.col("n_sys")
+    return x.select("conv", "role", "text", (end - F.col("n")).alias("begin"), end.alias("end"),
+                    F.col("room").cast("long").alias("room"), F.col("cell").cast("long").alias("cell"),
+                    (F.col("sys").isNotNull() & (end == 0)).alias("is_sys"),
                     F.when(F.col("sys").isNotNull(), F.struct(F.lit("system").alias("role"), F.col("sys.text").alias("text"))).alias("sys"))
 
 
@@ -86,17 +90,33 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_co
     or context before), loss (array of start, end in code points of ``formatted``)."""
     turns = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                       F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    x = placed_turns(turns, budget, history).withColumn("w", F.floor(F.col("begin") / F.col("stride")))
-    # the next window starts where the last turn of this one ends
-    x = x.withColumn("next_begin", F.max("end").over(Window.partitionBy("conv", "w")))
-    reach = F.least(F.lit(history), F.col("stride"))
-    again = (F.col("next_begin") < F.col("all_tokens")) & (F.col("begin") >= F.col("next_begin") - reach) & ~F.col("is_sys")
-    own = F.struct(F.col("w").alias("w"), F.lit(False).alias("repeated"))
-    x = x.withColumn("in", F.explode(F.when(again, F.array(own, F.struct(
-        F.floor(F.col("next_begin") / F.col("stride")).alias("w"), F.lit(True).alias("repeated")))).otherwise(F.array(own))))
-    got = x.groupBy("conv", F.col("in.w").alias("w")).agg(
-        F.sort_array(F.collect_list(F.struct("begin", "role", "text", F.col("in.repeated").alias("repeated")))).alias("turns"),
-        F.first("sys").alias("sys"))
+    x = placed_turns(turns, budget, history)
+    own = F.floor(F.greatest("begin", F.lit(0)) / F.col("cell"))
+    # a window that may repeat a turn begins at its end or later, at most ``history`` tokens after its begin
+    reach = F.floor((F.col("begin") + F.least(F.lit(history), "room")) / F.col("cell"))
+    later = F.greatest(F.floor(F.col("end") / F.col("cell")), own + 1)
+    x = x.withColumn("in", F.explode(F.concat(F.array(own), F.when(
+        ~F.col("is_sys") & (later <= reach), F.sequence(later, reach)).otherwise(F.array().cast("array<bigint>")))))
+    # a cell holds at most ``budget`` tokens of its own turns but for the last, and ``history`` of turns before
+    got = x.groupBy("conv", F.col("in").alias("k")).agg(
+        F.sort_array(F.collect_list(F.struct("begin", "end", "role", "text", "is_sys"))).alias("all"),
+        F.first("sys").alias("sys"), F.first("room").alias("room"), F.first("cell").alias("cell"))
+    low, high = F.col("k") * F.col("cell"), (F.col("k") + 1) * F.col("cell")
+    got = got.withColumn("mine", F.filter("all", lambda t: ~t["is_sys"] & (t["begin"] >= low))).withColumn("last", F.try_element_at("mine", F.lit(-1)))
+    start = F.coalesce(F.get("mine", F.lit(0))["begin"], F.lit(0).cast("long"))
+    stop = F.coalesce(F.col("last.end"), F.lit(0).cast("long"))
+    apart = F.coalesce((F.size("mine") > 1) & (F.col("last.end") > high) & (stop - start > F.col("room")), F.lit(False))
+    span = lambda w, a, b: F.struct(w.alias("w"), a.alias("start"), b.alias("stop"),
+                                    F.least(F.lit(history), F.greatest(F.col("room") - (b - a), F.lit(0))).alias("left"))
+    got = got.where((F.size("mine") > 0) | F.exists("all", lambda t: t["is_sys"])).withColumn("span", F.explode(F.when(apart, F.array(
+        span(F.col("k") * 2, start, F.col("last.begin")), span(F.col("k") * 2 + 1, F.col("last.begin"), stop)))
+        .otherwise(F.array(span(F.col("k") * 2, start, stop)))))
+    new = lambda t: F.when(t["is_sys"], F.col("span.w") == 0).otherwise(
+        (t["begin"] >= F.col("span.start")) & (t["end"] <= F.col("span.stop")))
+    again = lambda t: ~t["is_sys"] & (t["end"] <= F.col("span.start")) & (t["begin"] >= F.col("span.start") - F.col("span.left"))
+    got = got.select("conv", F.col("span.w").alias("w"), "sys", F.transform(
+        F.filter("all", lambda t: new(t) | again(t)),
+        lambda t: F.struct(t["begin"].alias("begin"), t["role"].alias("role"), t["text"].alias("text"), again(t).alias("repeated"))).alias("turns"))
     got = got.withColumn("turns", F.concat(
         F.when((F.col("w") > 0) & F.col("sys").isNotNull(), F.array(F.struct(
             F.lit(-1).cast("long").alias("begin"), F.col("sys.role").alias("role"), F.col("sys.text").alias("text"), F.lit(True).alias("repeated"))))
@@ -132,8 +152,8 @@ EXTRA_TEXT = r"\### Assistant: </turn> ok"
 
 def op2(spark, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(EXTRA_ID, 0, "user", EXTRA_TEXT), (EXTRA_ID, 1, "assistant", EXTRA_TEXT)],
-                                  "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.range(2).select(F.lit(EXTRA_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user")
+                                  .otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
     x = read_back(windows(turns.unionByName(extra)))
     x = x.select("conv_id", F.struct(
         "window", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
@@ -153,23 +173,27 @@ with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 n as (select *, len(regexp_extract_all(text, '{TOKEN}')) + len(regexp_extract_all(role, '{TOKEN}')) + {MARKERS} as n,
              length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + 23 as chars
       from t),
-o as (select *, row_number() over k as rn, cast(sum(n) over (k rows unbounded preceding) as bigint) as e,
+o as (select *, row_number() over k as rn, cast(sum(n) over (k rows unbounded preceding) as bigint) as upto,
              first_value(role) over k as lead_role, first_value(n) over k as lead_n, first_value(chars) over k as lead_chars
       from n window k as (partition by conv_id order by turn nulls first, role, text)),
-s as (select *, e - n as b, lead_role = 'system' as has_sys, cast(sum(n) over (partition by conv_id) as bigint) as total,
-             greatest({BUDGET} - {HISTORY} - case when lead_role = 'system' then lead_n else 0 end
-                      - max(n) over (partition by conv_id), {BUDGET // 4}) as stride from o),
-w as (select *, b // stride as w from s),
-x as (select *, max(e) over (partition by conv_id, w) as nb from w),
-r as (select *, case when nb < total and b >= nb - least({HISTORY}, stride) and not (has_sys and rn = 1) then chars else 0 end as again from x),
-win as (select conv_id, w, max(case when w > 0 and has_sys then lead_chars else 0 end) as sys_chars from r group by all),
+s as (select *, lead_role = 'system' as has_sys, lead_role = 'system' and rn = 1 as is_sys,
+             case when lead_role = 'system' then lead_n else 0 end as n_sys, greatest({BUDGET} - n_sys, 1) as room,
+             greatest(room - {HISTORY}, least(room, {BUDGET // 4})) as cell, upto - n_sys as e, e - n as b from o),
+k as (select *, greatest(b, 0) // cell as k, count(*) filter (not is_sys) over g as turns_in, max(e) over g - min(greatest(b, 0)) over g as own
+      from s window g as (partition by conv_id, greatest(b, 0) // cell)),
+w as (select *, 2 * k + case when turns_in > 1 and e > (k + 1) * cell and own > room then 1 else 0 end as w from k),
+win as (select conv_id, w, min(greatest(b, 0)) as start, least({HISTORY}, greatest(any_value(room) - (max(e) - start), 0)) as rest,
+               any_value(case when w > 0 and has_sys then lead_chars else 0 end) as sys_chars from w group by conv_id, w),
+again as (select win.conv_id, sum(chars) as chars from win join w on win.conv_id is not distinct from w.conv_id
+          and not w.is_sys and w.e <= win.start and w.b >= win.start - win.rest group by win.conv_id),
 c as (select conv_id, cast(count(*) as bigint) as n_turns,
              sha256(string_agg(role || chr(10) || text || chr(10), '' order by rn)) as turns_sha256,
              cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
              sha256(coalesce(string_agg(text, '' order by rn) filter (role = 'assistant'), '')) as loss_sha256,
-             sum(chars + again) as chars from r group by conv_id)
+             sum(chars) as chars from w group by conv_id)
 select c.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-       cast(chars + (select sum(sys_chars) from win where win.conv_id is not distinct from c.conv_id) as bigint) as formatted_chars,
+       cast(chars + (select sum(sys_chars) from win where win.conv_id is not distinct from c.conv_id)
+            + coalesce((select chars from again where again.conv_id is not distinct from c.conv_id), 0) as bigint) as formatted_chars,
        (select count(*) from win where win.conv_id is not distinct from c.conv_id) as n_windows
 from c
 """
