@@ -4,8 +4,8 @@ A text is read as words. Every run of ``K`` words is looked at through its runs
 it is a closed syncmer if the smallest hash among them lies at its first or last place. Whether a
 run is chosen depends on its own words alone, so equal passages give equal anchors wherever they
 stand and whatever surrounds them. A fingerprint holds all anchors, each with the place of its
-first occurrence, so it grows with the text. Only as text it is shortened, to the ``ANCHORS``
-anchors with the smallest hashes: ``hash@place``, comma-joined.
+first occurrence, so it grows with the text. As text it is every anchor by rising hash:
+``hash@place``, comma-joined.
 
 The likeness of two fingerprints is positional: among all anchors of both together, the share j
 that both hold at a common shift (the middle one of all shared anchors, give or take ``SLACK``
@@ -13,8 +13,8 @@ words), told as 2j / (1 + j): about the share of the two texts that is common.
 
 Edge cases: a text with fewer than K words has its whole sequence of words as one anchor; a NULL
 or blank text has an empty fingerprint; equal fingerprints, empty ones included, have likeness 1.
-Rows with equal ids follow each other by text, rows without an id come after all others; the next
-document of the only row is itself; an empty table gives an empty result.
+Ids are whole numbers. Rows with equal ids follow each other by text, rows without an id come after
+all others; the next document of the only row is itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from cellscope.llm.common import let, table, word_array
 
 K, S = 6, 2
-ANCHORS = 48     # anchors of a fingerprint as text
 SLACK = 2
 
 
@@ -56,7 +55,7 @@ def anchors_of(df: DataFrame, text: Column, out: str) -> DataFrame:
 
 
 def fingerprint_text(anchors: Column) -> Column:
-    return F.array_join(F.transform(F.slice(anchors, 1, ANCHORS), lambda a: F.concat(F.lower(F.hex(a["h"])), F.lit("@"), a["at"].cast("string"))), ",")
+    return F.array_join(F.transform(anchors, lambda a: F.concat(F.lower(F.hex(a["h"])), F.lit("@"), a["at"].cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:

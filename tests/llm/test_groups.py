@@ -312,6 +312,37 @@ def test_chat_windows(spark):
     assert size.agg(F.max("n")).first()[0] <= 300
 
 
+def test_chat_budget_with_long_turns(spark):
+    """A window exceeds the budget only where one turn and the system turn do by themselves."""
+    rng = random.Random(14)
+    sizes = {0: [80] * 8 + [700] + [80] * 5, 1: [900, 20, 1010, 1015, 5, 5, 600, 500, 400], 2: [1500, 30, 30, 2000, 1],
+             3: [rng.choice([1, 9, 90, 300, 640]) for _ in range(80)], 4: [rng.randint(1, 1000) for _ in range(60)], 5: [700, 5],
+             6: [rng.randint(1, 120) for _ in range(150)]}
+    system = {1: 0, 3: 200, 4: 560, 5: 1100}
+    rows = []
+    for c, ns in sizes.items():
+        first = [("system", system[c])] if c in system else []
+        rows += [(c, i, r, " ".join(["a"] * n)) for i, (r, n) in enumerate(first + [(["user", "assistant"][i % 2], n) for i, n in enumerate(ns)])]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = chat.read_back(chat.windows(df)).orderBy("conv_id", "window").collect()
+    cost = lambda role, text: len(text.split()) + (2 if role == "assistant" else 1) + 4
+    for c in sizes:
+        own = [r for r in got if r.conv_id == c]
+        turns = [(r[2], r[3]) for r in rows if r[0] == c]
+        assert [(t.role, t.text) for r in own for t in r.turns] == turns
+        head = [turns[0]] if c in system else []
+        seen = 0
+        for k, r in enumerate(own):
+            again = r.n_repeated - (len(head) if k else 0)
+            held = (head if k else []) + turns[seen - again:seen] + [(t.role, t.text) for t in r.turns]
+            assert r.formatted == "".join(f"<|turn|>{a}<|text|>{b}<|end|>" for a, b in held)
+            assert sum(cost(*t) for t in turns[seen - again:seen]) <= chat.HISTORY
+            fresh = [t for t in r.turns if t.role != "system"]
+            assert sum(cost(*t) for t in held) <= chat.BUDGET or (len(fresh) == 1 and sum(cost(*t) for t in head) + cost(*fresh[0]) > chat.BUDGET)
+            seen += len(r.turns)
+    assert sum(r.n_repeated > 1 for r in got if r.conv_id == 6) > 5
+
+
 def test_chat_of_odd_rows(spark, tables):
     got = {r.conv_id: r for r in chat.op2(spark, tables).collect()}
     text = r"\### Assistant: </turn> ok"
@@ -322,6 +353,21 @@ def test_chat_of_odd_rows(spark, tables):
     assert chat.windows(none).count() == 0
 
 
+def plain_anchors(text):
+    return {h: int(at) for h, at in (a.split("@") for a in text.split(",") if a)}
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    shifts = sorted(b[h] - a[h] for h in a.keys() & b.keys())
+    if not shifts:
+        return 0.0
+    mid = shifts[len(shifts) // 2]
+    j = sum(abs(s - mid) <= fingerprints.SLACK for s in shifts) / (len(a) + len(b) - len(shifts))
+    return 2 * j / (1 + j)
+
+
 def test_fingerprints_of_the_table(spark, texts):
     got = {r.doc_id: r for r in fingerprints.op9(spark, SF).collect()}
     order = sorted(texts, reverse=True)
@@ -330,6 +376,10 @@ def test_fingerprints_of_the_table(spark, texts):
         half = len(text) // 2
         assert got[d].n_chars == len(text) and got[d].edited_sha256 == sha(text[:len(text) - half] + after[:half])
         assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
+        # the returned fingerprints are those whose likeness is returned
+        own, edited, follows = (plain_anchors(x) for x in (got[d].fingerprint, got[d].edited_fingerprint, got[order[(i + 1) % len(order)]].fingerprint))
+        assert abs(got[d].near_edited - plain_likeness(own, edited)) < 1e-6
+        assert abs(got[d].near_next - plain_likeness(own, follows)) < 1e-6
     long = [r for r in got.values() if r.n_chars > 1000]
     assert np.mean([r.near_edited for r in long]) > 0.35 > 0.1 > np.mean([r.near_next for r in long])
     by_text: dict = {}
@@ -358,12 +408,7 @@ def test_anchors_are_closed_syncmers(spark):
     size = fingerprints.K - fingerprints.S + 1
     want = {i + 1 for i in range(len(w) - fingerprints.K + 1) if min(g[i:i + size]) in (g[i], g[i + size - 1])}
     df = spark.createDataFrame([(1, text), (2, "zz yy xx " + text)], "doc_id bigint, text string")
-    monkey = fingerprints.ANCHORS
-    fingerprints.ANCHORS = 10_000
-    try:
-        got = {r.doc_id: {(a.h, a.at) for a in r.anchors} for r in fingerprints.fingerprints(df).collect()}
-    finally:
-        fingerprints.ANCHORS = monkey
+    got = {r.doc_id: {(a.h, a.at) for a in r.anchors} for r in fingerprints.fingerprints(df).collect()}
     assert {at for _, at in got[1]} == want
     assert {(h, at + 3) for h, at in got[1]} <= got[2]
 
