@@ -7,22 +7,23 @@ a short lineage; each fit itself is a distributed MLlib job."""
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cellscope.operators import boosting
+from cellscope.operators import boosting, kernel
 from cellscope.operators import evaluate as ev
+from cellscope.operators.ordering import checkpointed
+from cellscope.operators.pools import FITS_AT_ONCE, at_once
 from cellscope.operators.splits import ts_role
 
 # Axes of the reference's command-line searches that have a counterpart in MLlib
@@ -32,7 +33,7 @@ RF_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode
 GBT_REG_GRID = {"maxIter": [200, 500], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
 GBT_CLS_GRID = {"maxIter": [100, 300], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]}
 BOOSTED_GRID = {"rounds": [200, 500], "depth": [3, 5, 7], "rate": [0.01, 0.05, 0.1], "reg_alpha": [0.0, 1.0], "reg_lambda": [1.0, 10.0]}
-SVM_GRID = {"c": [0.1, 1.0, 10.0]}
+SVM_GRID = {"c": [0.1, 1.0, 10.0], "gamma": ["scale", "auto"]}
 LOGISTIC_C = 1.0
 EARLY_STOP_ROUNDS = 50
 RFE_TREES = 50
@@ -83,61 +84,62 @@ def fit_gbt_cls(train: DataFrame, features: Sequence[str], label: str, weight_co
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(train)
 
 
-def _rff_weights(p: int, n_components: int, gamma: float | None, seed: int):
-    gamma = gamma if gamma is not None else 1.0 / p
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, p))
-    b = rng.uniform(0, 2 * math.pi, size=n_components)
-    return w, b
-
-
-def rff_transform(df: DataFrame, features: Sequence[str], n_components: int = 64, gamma: float | None = None,
-                  seed: int = 42, out: str = "features") -> DataFrame:
-    """Random Fourier features approximating an RBF kernel: sqrt(2/D) cos(W x + b),
-    W ~ N(0, 2 gamma), b ~ U(0, 2 pi). One numpy matrix product per Arrow batch (a pandas UDF:
-    no built-in expresses a dense projection); W is (D x p), bounded by the feature count."""
-    import pandas as pd
-    w, b = _rff_weights(len(features), n_components, gamma, seed)
-    scale = math.sqrt(2.0 / n_components)
-
-    def _project(x):
-        m = np.stack(x.to_numpy()) if len(x) else np.zeros((0, w.shape[1]))
-        z = np.cos(np.nan_to_num(m) @ w.T + b) * scale
-        return pd.Series(list(z))
-    _project.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    project = F.pandas_udf(_project, "array<double>")
-
-    arr = F.array(*[F.col(c).cast("double") for c in features])
-    return df.withColumn(out, array_to_vector(project(arr)))
-
-
-def fit_kernel_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0,
-                   n_components: int = 64, weight_col: str | None = None, seed: int = 42, parts: int = 3):
-    """RBF SVM re-aimed for scale: random Fourier features + LinearSVC, then a logistic
-    calibration (probabilities) of margins that each part of the rows gets from a machine fitted
-    on the other parts. Returns (rff spec, svm model on all rows, calibrator)."""
-    x = rff_transform(train, features, n_components, seed=seed) \
-        .withColumn("_part", F.pmod(F.xxhash64(*features), F.lit(parts)).cast("int"))
-    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=reg_of(c, train, weight_col), maxIter=50)
+def fit_kernel_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, gamma: str | float = "scale",
+                   landmarks: int = kernel.LANDMARKS, weight_col: str | None = None, seed: int = 42, parts: int = 3,
+                   keys: Sequence[str] = ("battery_id", "seq")) -> PipelineModel:
+    """RBF SVM re-aimed for scale: kernel features of landmarks + LinearSVC, then a logistic
+    calibration (probabilities) of margins that each part of the rows gets from a machine fitted on
+    the other parts. One pipeline of map, machine, margin and calibration, saved like any other."""
+    kmap = kernel.fit_kernel_map(train, features, gamma, landmarks, keys=keys, seed=seed, out="kernel")
+    x = checkpointed(kmap.transform(train).withColumn("_part", F.pmod(F.xxhash64(*features), F.lit(parts)).cast("int"))
+                     .select("kernel", "_part", label, *([weight_col] if weight_col else [])))
+    svc = LinearSVC(featuresCol="kernel", labelCol=label, regParam=reg_of(c, train, weight_col), maxIter=50,
+                    rawPredictionCol="margins", predictionCol="side")
     if weight_col:
         svc.setWeightCol(weight_col)
-    svm = svc.fit(x)
-    margin = None
-    for i in range(parts):
-        m = svc.fit(x.where(F.col("_part") != i)).transform(x.where(F.col("_part") == i)) \
-            .select(label, vector_to_array("rawPrediction")[1].alias("margin"))
-        margin = m if margin is None else margin.unionByName(m)
-    cal = LogisticRegression(featuresCol="m", labelCol=label).fit(assemble(margin, ["margin"], "m"))
-    return (list(features), n_components, seed), svm, cal
+    margin = VectorSlicer(inputCol="margins", outputCol="margin", indices=[1])
+    fits = [lambda: svc.fit(x)] + [lambda i=i: svc.fit(x.where(F.col("_part") != i)) for i in range(parts)]
+    svm, *others = at_once(train.sparkSession, fits)
+    held = [margin.transform(m.transform(x.where(F.col("_part") == i))).select(label, "margin") for i, m in enumerate(others)]
+    cal = LogisticRegression(featuresCol="margin", labelCol=label).fit(reduce(DataFrame.unionByName, held))
+    return PipelineModel(stages=[kmap, svm, margin, cal])
 
 
-def svm_predict_proba(df: DataFrame, model, out: str = "prob") -> DataFrame:
-    (features, n_components, seed), svm, cal = model
-    x = svm.transform(rff_transform(df, features, n_components, seed=seed)).withColumn(
-        "margin", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "prediction")
-    y = cal.transform(assemble(x, ["margin"], "m"))
-    return y.withColumn(out, vector_to_array("probability")[1]).drop(
-        "m", "rawPrediction", "probability", "prediction", "margin")
+def svm_predict_proba(df: DataFrame, model: PipelineModel, out: str = "prob") -> DataFrame:
+    return positive_prob(model.transform(df), out).drop("kernel", "margins", "side", "margin", "rawPrediction", "probability", "prediction")
+
+
+def grid_search_svm(data: DataFrame, features: Sequence[str], label: str, grid: dict, fold_col: str = "fold",
+                    landmarks: int = kernel.LANDMARKS, weight_col: str | None = None, seed: int = 42, k: int = 5,
+                    keys: Sequence[str] = ("battery_id", "seq")) -> DataFrame:
+    """Every C and gamma rule on given folds, scored by the F1 of class 1. A fold's map is fitted on
+    its training rows, once for all C. Returns (point, params, fold, mean_missed, f1), the mean of a
+    point and whether it is best; a fold without class 1 in truth and prediction has F1 0."""
+    spark = data.sparkSession
+    hit, said, true = (F.count_if(x) for x in ((F.col("side") == 1) & (F.col(label) == 1), F.col("side") == 1, F.col(label) == 1))
+    f1 = F.when(said + true > 0, 2 * hit / (said + true)).otherwise(F.lit(0.0))
+
+    def fold(rule, f):
+        own = data.where(F.col(fold_col) != f)
+        kmap = kernel.fit_kernel_map(own, features, rule, landmarks, keys=keys, seed=seed, out="kernel")
+        x = checkpointed(kmap.transform(data).select(fold_col, label, "kernel", *([weight_col] if weight_col else [])))
+        missed = kernel.kernel_error(data.where(F.col(fold_col) == f), kmap).first()["mean_missed"]
+        got = []
+        for c in grid["c"]:
+            svc = LinearSVC(featuresCol="kernel", labelCol=label, regParam=reg_of(c, own, weight_col), maxIter=50, predictionCol="side")
+            if weight_col:
+                svc.setWeightCol(weight_col)
+            m = svc.fit(x.where(F.col(fold_col) != f))
+            got.append((json.dumps({"c": c, "gamma": rule}), f, missed, m.transform(x.where(F.col(fold_col) == f)).agg(f1).first()[0]))
+        return got
+    found = at_once(spark, [lambda r=r, f=f: fold(r, f) for r in grid["gamma"] for f in range(k)])
+    names = {p: i for i, p in enumerate(json.dumps({"c": c, "gamma": r}) for r in grid["gamma"] for c in grid["c"])}
+    rows = sorted((names[p], p, f, miss, float(v)) for got in found for p, f, miss, v in got)
+    res = spark.createDataFrame(rows, "point int, params string, fold int, mean_missed double, f1 double")
+    # res holds points x folds rows (driver-built): a window over it is bounded
+    res = res.withColumn("mean_f1", F.avg("f1").over(Window.partitionBy("point")))
+    best = F.min(F.struct((-F.col("mean_f1")).alias("m"), "point")).over(Window.partitionBy())
+    return res.withColumn("is_best", F.col("point") == best["point"])
 
 
 def positive_prob(pred: DataFrame, out: str = "prob") -> DataFrame:
@@ -151,17 +153,18 @@ def grid_points(grid: dict) -> list[dict]:
     return pts
 
 
-def grid_search_reg(data: DataFrame, features: Sequence[str], label: str, grid: dict, make=fit_rf, k: int = 5) -> DataFrame:
+def grid_search_reg(data: DataFrame, features: Sequence[str], label: str, grid: dict, make=fit_rf, k: int = 5,
+                    threads: int = FITS_AT_ONCE) -> DataFrame:
     """Every grid point x expanding time fold: fit on the fold's train rows, RMSE on its test
     rows; returns (point, params, fold, rmse), the point's ``mean_rmse`` and whether it is best.
     Fold roles are filters on the position columns of ``chrono_split``, so there is no join."""
     spark = data.sparkSession
-    rows = []
-    for i, pt in enumerate(grid_points(grid)):
-        for f in range(k):
-            m = make(data.where(ts_role(f, k) == "train"), features, label, **pt)
-            rmse = RegressionEvaluator(labelCol=label, metricName="rmse").evaluate(m.transform(data.where(ts_role(f, k) == "test")))
-            rows.append((i, str(pt), f, float(rmse)))
+    rmse = RegressionEvaluator(labelCol=label, metricName="rmse")
+
+    def one(i, pt, f):
+        m = make(data.where(ts_role(f, k) == "train"), features, label, **pt)
+        return i, str(pt), f, float(rmse.evaluate(m.transform(data.where(ts_role(f, k) == "test"))))
+    rows = at_once(spark, [lambda i=i, pt=pt, f=f: one(i, pt, f) for i, pt in enumerate(grid_points(grid)) for f in range(k)], threads)
     res = spark.createDataFrame(rows, "point int, params string, fold int, rmse double")
     # res holds points x folds rows (driver-built): a window over it is bounded
     res = res.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("point")))
@@ -188,14 +191,12 @@ def grid_search_cls(data: DataFrame, features: Sequence[str], label: str, grid:
 
 
 def oof_predict(data: DataFrame, features: Sequence[str], label: str, fold_col: str = "fold",
-                keys: Sequence[str] = ("battery_id", "seq"), fit=fit_logistic, k: int = 5, **params) -> DataFrame:
+                keys: Sequence[str] = ("battery_id", "seq"), fit=fit_logistic, k: int = 5,
+                threads: int = FITS_AT_ONCE, **params) -> DataFrame:
     """Out-of-fold probabilities: for each of the k folds, fit on the others and score this one."""
-    out = None
-    for f in range(k):
-        m = fit(data.where(F.col(fold_col) != f), features, label, **params)
-        p = positive_prob(m.transform(data.where(F.col(fold_col) == f))).select(*keys, fold_col, label, "prob")
-        out = p if out is None else out.unionByName(p)
-    return out
+    models = at_once(data.sparkSession, [lambda f=f: fit(data.where(F.col(fold_col) != f), features, label, **params) for f in range(k)], threads)
+    parts = [positive_prob(m.transform(data.where(F.col(fold_col) == f))).select(*keys, fold_col, label, "prob") for f, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fit_boosted_val(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, rounds: int = 200,
@@ -304,15 +305,16 @@ def learning_curve(data: DataFrame, features: Sequence[str], label: str,
     folds share a prefix, since it lies in the first one's train part, so each fraction is
     fitted once and its errors on all test parts come from one pass."""
     spark = data.sparkSession
-    rows = []
     error = F.sqrt(F.avg((F.col("prediction") - F.col(label)) * (F.col("prediction") - F.col(label))))
-    for fr in fractions:
+
+    def one(fr):
         tr = data.where(curve_prefix(fr, k))
         m = make(tr, features, label)
         own = m.transform(tr).agg(error.alias("e"), F.count(F.lit(1)).alias("n")).first()
         tested = F.array_compact(F.array(*[F.when(ts_role(f, k) == "test", F.lit(f)) for f in range(k)]))
         each = m.transform(data).withColumn("fold", F.explode(tested)).groupBy("fold").agg(error.alias("e")).collect()  # k rows
-        rows += [(float(fr), int(r["fold"]), int(own["n"]), own["e"], r["e"]) for r in each]
+        return [(float(fr), int(r["fold"]), int(own["n"]), own["e"], r["e"]) for r in each]
+    rows = [r for got in at_once(spark, [lambda fr=fr: one(fr) for fr in fractions]) for r in got]
     res = spark.createDataFrame(rows, "fraction double, fold int, train_rows long, train_rmse double, val_rmse double")
     agg = res.groupBy("fraction").agg(F.max("train_rows").alias("train_rows"), F.avg("train_rmse").alias("train_rmse"),
                                       F.avg("val_rmse").alias("val_rmse"), F.stddev("val_rmse").alias("val_std"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellscope.operators import evaluate as ev
 from cellscope.operators import fleet as fl
-from cellscope.operators import clean, prep, score, splits, train
+from cellscope.operators import clean, kernel, prep, score, splits, train
 from cellscope.operators.features import ENGINEERED
 from cellscope.operators.ordering import attach_row, checkpointed
 from cellscope.operators.project import SELECTED_FEATURES, exclude_target
@@ -88,6 +88,27 @@ def q_fit_kernel_svm(spark, sf_dir):
     return _cls_eval(train.svm_predict_proba(va, m), "rbf_svm")
 
 
+@register("kernel_error")
+def q_kernel_error(spark, sf_dir):
+    """What the kernel features miss of the rows of each split, for both gamma rules."""
+    tr, _, x = parts(spark, sf_dir)
+    got = None
+    for rule in train.SVM_GRID["gamma"]:
+        m = kernel.fit_kernel_map(tr, CLS_FEATURES, rule)
+        for part in ("train", "val", "test"):
+            e = kernel.kernel_error(x.where(F.col("split") == part), m).select(F.lit(rule).alias("rule"), F.lit(part).alias("split"), "*")
+            got = e if got is None else got.unionByName(e)
+    return got
+
+
+@register("grid_search_svm")
+def q_grid_search_svm(spark, sf_dir):
+    """All six points, C and gamma rule, on five stratified folds."""
+    tr, _, _ = parts(spark, sf_dir)
+    f = checkpointed(splits.strat_folds(tr, "over_temp_flag"))
+    return train.grid_search_svm(f, CLS_FEATURES, "over_temp_flag", train.SVM_GRID, weight_col="w_temp")
+
+
 @register("fit_gbt_cls")
 def q_fit_gbt_cls(spark, sf_dir):
     tr, va, _ = parts(spark, sf_dir)

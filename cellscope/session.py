@@ -22,6 +22,8 @@ RECOMMENDED_CONF = {
     # A window or aggregate keyed on (battery_id, bucket) must not reuse a
     # partitioning on battery_id alone: that would put a hot battery in one task.
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    # fits of folds run at once, each in a pool of its own
+    "spark.scheduler.mode": "FAIR",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
