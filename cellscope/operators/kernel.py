@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANDMARKS = 256
-PILOT = 512
 TINY = 1e-9   # eigenvalues below this share of the largest are noise
 
 
@@ -107,8 +106,10 @@ def leverage(pilot: np.ndarray, gamma: float, landmarks: int):
 
 
 def fit_kernel_map(df: DataFrame, features: Sequence[str], gamma: str | float = "scale", landmarks: int = LANDMARKS,
-                   pilot: int = PILOT, keys: Sequence[str] = ("battery_id", "seq"), seed: int = 42, out: str = "features") -> KernelMap:
-    """``keys`` tell rows apart: the draw hangs on them, so reruns choose the same landmarks."""
+                   pilot: int | None = None, keys: Sequence[str] = ("battery_id", "seq"), seed: int = 42, out: str = "features") -> KernelMap:
+    """``keys`` tell rows apart: the draw hangs on them, so reruns choose the same landmarks. The
+    pilot has twice as many rows as landmarks are drawn."""
+    pilot = 2 * landmarks if pilot is None else pilot
     width = gamma_of(df, features, gamma)
     unit = lambda n: (F.pmod(F.xxhash64(*keys, F.lit(seed + n)), F.lit(2**52)) + 0.5) / 2.0**52
     x = df.select(inputs(features).alias("x"), unit(0).alias("u"), unit(1).alias("v"))
