@@ -27,6 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 GROUP_ROWS = 1_000_000  # rows of a group that one task may order; larger groups are bucketed
@@ -102,18 +103,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def running_totals(df: DataFrame, order_col: str, by: Sequence[str] = (),
                    weights: dict[str, Column | str] | None = None, descending: bool = False,
                    n_buckets: int | None = None, prefix: str = "cum_",
-                   total_prefix: str = "tot_", tiebreak: Sequence[str] = ()) -> DataFrame:
+                   total_prefix: str = "tot_", tiebreak: Sequence[str] = (), largest: int | None = None) -> DataFrame:
     """Inclusive running sum of each weight along ``order_col`` inside each ``by`` group,
     plus the group total: adds ``cum_<w>`` and ``tot_<w>``.
 
     ``order_col`` must be unique within a group (rows are pre-aggregated by value where
-    it is not) and non-null; ``tiebreak`` columns order rows with equal keys.
+    it is not) and non-null; ``tiebreak`` columns order rows with equal keys. A caller that
+    knows a bound on the rows of a group passes it as ``largest`` and saves the count.
     """
     by = list(by)
     weights = weights or {"rows": F.lit(1)}
     wcols = {name: (F.col(w) if isinstance(w, str) else w) for name, w in weights.items()}
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if by and n_buckets is None and largest_group(df, by) <= GROUP_ROWS:
+    if by and n_buckets is None and (largest_group(df, by) if largest is None else largest) <= GROUP_ROWS:
         # no group is too large for one task: one shuffle, no bounds, no join
         inside = Window.partitionBy(*by).orderBy(oc, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
@@ -177,21 +179,54 @@ def rolling_frame(df: DataFrame, aggs: dict[str, callable], window: int, pos_col
     return out.where(F.col("_shift") == 0).drop("_shift", "_chunk")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL ``percentile``) of
-    every column in ``cols`` per ``by`` group, as a long table (by..., feature, p, value).
+SKETCH_ACCURACY = 2_000  # a sketch is off by at most one part in this of a group's rows
+BRACKET_GROUPS = 1_000  # groups whose brackets fit a small broadcast table
 
-    Values are counted per distinct value first (duplicates collapse map-side), cumulative
-    counts come from ``running_totals``, and the two order statistics around each target
-    position are picked with an equi-join on the (small) target table.
-    """
-    by = list(by)
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                             for c in cols])).alias("kv")
-    long = df.select(*by, kv).select(*by, "kv.feature", "kv.value").where(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_totals(counts, "value", [*by, "feature"], {"c": "c"}, n_buckets=n_buckets)
+
+def _segments(bounds: Sequence[float], n: int) -> list[float | None]:
+    """Disjoint closed segments, flat as low, high, low, high, ..., from sketched bounds in pairs. A
+    group of so few rows that a sketch says nothing about them has one segment without ends."""
+    if n <= SKETCH_ACCURACY:
+        return [float("-inf"), None]
+    out: list[float] = []
+    for lo, hi in sorted(zip(bounds[::2], bounds[1::2])):
+        if out and lo <= out[-1]:
+            out[-1] = max(out[-1], hi)
+        else:
+            out += [lo, hi]
+    return out
+
+
+def _bracketed_counts(df: DataFrame, cols: Sequence[str], by: list[str], found: dict, slots: int) -> DataFrame:
+    """(by..., feature, part, value, c): the rows of each group and column, counted by value inside
+    of its segments and as one row a gap outside of them (``value`` is the least of the gap). Odd
+    parts are segments. Partial aggregation leaves the segments' values and the gaps to shuffle."""
+    if by:
+        schema = T.StructType([T.StructField(b, df.schema[b].dataType) for b in by] +
+                              [T.StructField(f"_b{i}", T.ArrayType(T.DoubleType())) for i in range(len(cols))])
+        rows = [(*g, *[(s + [None] * 2 * slots)[:2 * slots] for s in segs]) for g, segs in found.items()]
+        # at most BRACKET_GROUPS rows
+        x = join_null_safe(df, F.broadcast(df.sparkSession.createDataFrame(rows, schema)), by)
+    else:
+        x = df.select(*cols)
+
+    def part(i: int, v: Column) -> Column:
+        segs = next(iter(found.values()))[i] if not by else None
+        ends = [F.col(f"_b{i}")[j] for j in range(2 * slots)] if by else [F.lit(s) for s in segs if s is not None]
+        # a NULL end is never passed, so a missing segment holds nothing
+        return sum((F.when(v >= e if j % 2 == 0 else v > e, 1).otherwise(0) for j, e in enumerate(ends)), F.lit(0))
+    values = [F.col(c).cast("double") for c in cols]
+    kv = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i, v).alias("part"), v.alias("v")) for i, v in enumerate(values)]))
+    long = x.select(*by, kv.alias("kv")).select(*by, "kv.*").where(F.col("v").isNotNull())
+    kept = F.when(F.col("part") % 2 == 1, F.col("v"))
+    counts = long.groupBy(*by, "i", "part", kept.alias("kept")).agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("c"))
+    return counts.select(*by, F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("feature"), "part", "value", "c")
+
+
+def _picked_quantiles(counts: DataFrame, probs: Sequence[float], by: list[str], n_buckets: int | None, largest: int | None) -> DataFrame:
+    """The two order statistics around each target position, from counts by value, and their
+    interpolation: (by..., feature, p, value, missed). ``missed`` tells that one of them lies in a gap."""
+    cum = running_totals(counts, "value", [*by, "feature"], {"c": "c"}, n_buckets=n_buckets, largest=largest)
     # each distinct value covers positions [cum - c, cum - 1]; emit it for every target
     # position (floor / ceil of (n-1) p) it covers, then combine per (group, p)
     start, end = F.col("cum_c") - F.col("c"), F.col("cum_c") - 1
@@ -203,12 +238,58 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         hit_hi = (hi >= start) & (hi <= end)
         hits.append(F.when(hit_lo | hit_hi, F.struct(
             F.lit(float(q)).alias("p"), F.when(hit_lo, F.col("value")).alias("v_lo"),
-            F.when(hit_hi, F.col("value")).alias("v_hi"), (h - lo).alias("frac"))))
+            F.when(hit_hi, F.col("value")).alias("v_hi"), (h - lo).alias("frac"), (F.col("part") % 2 == 0).alias("gap"))))
     picked = cum.select(*by, "feature", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     g = picked.groupBy(*by, "feature", F.col("h.p").alias("p")).agg(
-        F.max("h.v_lo").alias("v_lo"), F.max("h.v_hi").alias("v_hi"), F.max("h.frac").alias("frac"))
-    return g.select(*by, "feature", "p",
-                    (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
+        F.max("h.v_lo").alias("v_lo"), F.max("h.v_hi").alias("v_hi"), F.max("h.frac").alias("frac"), F.bool_or("h.gap").alias("missed"))
+    # equal neighbours are not interpolated, which keeps infinite values
+    between = F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
+    return g.select(*by, "feature", "p", between.alias("value"), "missed")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL ``percentile``) of
+    every column in ``cols`` per ``by`` group, as a long table (by..., feature, p, value). A group
+    without a value of a column has no row for it.
+
+    One pass sketches all columns of all groups (mergeable summaries, at most some thousand
+    numbers each); two ranks around each quantile bracket it. A second pass counts values by
+    value inside the brackets, and only the rows outside them, so about 0.3 % of the values and
+    quantile are shuffled. Positions in the kept values are exact, since the rows before them are
+    counted. A quantile that its bracket has missed (a sketch worse than promised) shows as one in a
+    gap, and the columns are then counted by value whole. More than ``BRACKET_GROUPS`` groups, whose
+    brackets would be no small table, are always counted so. The result of bracketed groups is a
+    local table of groups x columns x quantiles."""
+    by, cols, probs = list(by), list(cols), [float(p) for p in probs]
+    ranks = [min(1.0, max(0.0, p + d)) for p in probs for d in (-2.0 / SKETCH_ACCURACY, 2.0 / SKETCH_ACCURACY)]
+    aggs = [a for i, c in enumerate(cols) for a in (
+        F.percentile_approx(F.col(c).cast("double"), ranks, SKETCH_ACCURACY).alias(f"_q{i}"), F.count(c).alias(f"_n{i}"))]
+    sketched = df.groupBy(*by).agg(*aggs).limit(BRACKET_GROUPS + 1).collect()
+    plain = df.select(*[c for c in df.columns if c in {*by, *cols}])
+    if len(sketched) > BRACKET_GROUPS:
+        kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]))
+        long = plain.select(*by, kv.alias("kv")).select(*by, "kv.*").where(F.col("value").isNotNull())
+        counts = long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("part", F.lit(1))
+        return _picked_quantiles(counts, probs, by, n_buckets, None).drop("missed")
+    found = {tuple(r[b] for b in by): [_segments(r[f"_q{i}"] or [], r[f"_n{i}"]) for i in range(len(cols))] for r in sketched}
+    most = max((r[f"_n{i}"] for r in sketched for i in range(len(cols))), default=0)
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField(b, df.schema[b].dataType) for b in by] + [
+        T.StructField("feature", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("value", T.DoubleType())])
+    if not found:  # no group, no row
+        return spark.createDataFrame([], schema)
+    # a bracket holds four parts by its ranks and at most two more by the sketch's error
+    kept = min(most, max(SKETCH_ACCURACY, 6 * len(probs) * most // SKETCH_ACCURACY) + 2 * len(probs))
+    for segs, largest in ((found, kept), ({g: [[float("-inf"), None]] * len(cols) for g in found}, most)):
+        slots = max(len(s) for g in segs.values() for s in g) // 2
+        counts = _bracketed_counts(plain, cols, by, segs, slots)
+        if largest > GROUP_ROWS:
+            counts, largest = checkpointed(counts), None  # bounds and sums read it again
+        rows = _picked_quantiles(counts, probs, by, n_buckets, largest).collect()  # groups x columns x quantiles
+        if not any(r["missed"] for r in rows):
+            break
+    return spark.createDataFrame([tuple(r)[:-1] for r in rows], schema)
 
 
 def materialize_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

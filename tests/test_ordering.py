@@ -73,3 +73,52 @@ def test_small_groups_take_one_window(spark, monkeypatch):
     bucketed = with_position(t)
     rows = lambda df: sorted(map(str, df.select("battery_id", "seq", "pos", "n_rows").collect()))
     assert rows(plain) == rows(bucketed) and len(rows(plain)) == t.count()
+
+
+def _frame_of_all_kinds(spark, n=12_000):
+    """Continuous, heavily tied, constant, short and empty columns; a group key with NULL."""
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("g"), (F.hash("id") / 7.0).alias("wide"), (F.hash("id") % 4).alias("tied"),
+        F.lit(2.5).alias("flat"), F.when(F.col("id") < 5, F.col("id")).alias("short"), F.lit(None).cast("double").alias("none"))
+    return rows, ["wide", "tied", "flat", "short", "none"]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("group_rows", [1_000_000, 5])
+def test_bracketed_quantiles_of_all_kinds(spark, by, group_rows, monkeypatch):
+    monkeypatch.setattr(ordering, "GROUP_ROWS", group_rows)
+    df, cols = _frame_of_all_kinds(spark)
+    probs = [0.0, 0.01, 0.5, 0.505, 0.99, 1.0]
+    got = {(r["g"] if by else None, r.feature, r.p): r.value for r in exact_quantiles(df, cols, probs, by).collect()}
+    pdf = df.toPandas()
+    groups = [(g if g == g else None, x) for g, x in pdf.groupby("g", dropna=False)] if by else [(None, pdf)]
+    want = {(g, c, p): x[c].quantile(p) for g, x in groups for c in cols for p in probs if x[c].notna().any()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_bracketed_quantiles_shuffle_few_values(spark):
+    df, _ = _frame_of_all_kinds(spark, 200_000)
+    r = df.agg(F.percentile_approx("wide", [0.499, 0.501], 2_000)).first()[0]
+    counts = ordering._bracketed_counts(df.select("wide"), ["wide"], [], {(): [list(r)]}, 1)
+    assert counts.agg(F.sum("c")).first()[0] == 200_000
+    assert 100 < counts.count() < 0.01 * 200_000
+
+
+def test_a_missed_bracket_is_counted_whole(spark, monkeypatch):
+    """Segments that do not hold the quantile give the same numbers by the second way."""
+    df, _ = _frame_of_all_kinds(spark)
+    right = exact_quantiles(df, ["wide"], [0.5]).first()["value"]
+    monkeypatch.setattr(ordering, "_segments", lambda bounds, n: [1e18, 2e18])
+    assert exact_quantiles(df, ["wide"], [0.5]).first()["value"] == right
+
+
+def test_quantiles_of_many_groups_and_of_none(spark, monkeypatch):
+    df, cols = _frame_of_all_kinds(spark)
+    rows = lambda x: sorted(map(str, x.collect()))
+    few = rows(exact_quantiles(df, cols, [0.5], ["g"]))
+    monkeypatch.setattr(ordering, "BRACKET_GROUPS", 2)
+    assert rows(exact_quantiles(df, cols, [0.5], ["g"])) == few
+    for by in ([], ["g"]):
+        empty = exact_quantiles(df.where("false"), cols, [0.5], by)
+        assert empty.columns == [*by, "feature", "p", "value"] and empty.count() == 0
