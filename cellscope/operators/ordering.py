@@ -180,14 +180,15 @@ def rolling_frame(df: DataFrame, aggs: dict[str, callable], window: int, pos_col
 
 
 SKETCH_ACCURACY = 2_000  # a sketch is off by at most one part in this of a group's rows
-BRACKET_GROUPS = 1_000  # groups whose brackets fit a small broadcast table
+WHOLE = (float("-inf"), float("nan"))  # the segment without ends; nothing is above NaN
+BRACKET_GROUPS = 64  # groups whose sketches fit a task and whose brackets fit a small broadcast table
 
 
-def _segments(bounds: Sequence[float], n: int) -> list[float | None]:
+def _segments(bounds: Sequence[float], n: int) -> list[float]:
     """Disjoint closed segments, flat as low, high, low, high, ..., from sketched bounds in pairs. A
     group of so few rows that a sketch says nothing about them has one segment without ends."""
     if n <= SKETCH_ACCURACY:
-        return [float("-inf"), None]
+        return list(WHOLE)
     out: list[float] = []
     for lo, hi in sorted(zip(bounds[::2], bounds[1::2])):
         if out and lo <= out[-1]:
@@ -201,23 +202,21 @@ def _bracketed_counts(df: DataFrame, cols: Sequence[str], by: list[str], found:
     """(by..., feature, part, value, c): the rows of each group and column, counted by value inside
     of its segments and as one row a gap outside of them (``value`` is the least of the gap). Odd
     parts are segments. Partial aggregation leaves the segments' values and the gaps to shuffle."""
+    padded = {g: [(list(s) + [None] * 2 * slots)[:2 * slots] for s in segs] for g, segs in found.items()}
     if by:
         schema = T.StructType([T.StructField(b, df.schema[b].dataType) for b in by] +
-                              [T.StructField(f"_b{i}", T.ArrayType(T.DoubleType())) for i in range(len(cols))])
-        rows = [(*g, *[(s + [None] * 2 * slots)[:2 * slots] for s in segs]) for g, segs in found.items()]
+                              [T.StructField("_ends", T.ArrayType(T.ArrayType(T.DoubleType())))])
         # at most BRACKET_GROUPS rows
-        x = join_null_safe(df, F.broadcast(df.sparkSession.createDataFrame(rows, schema)), by)
+        x = join_null_safe(df, F.broadcast(df.sparkSession.createDataFrame([(*g, s) for g, s in padded.items()], schema)), by)
+        ends = F.col("_ends")
     else:
-        x = df.select(*cols)
-
-    def part(i: int, v: Column) -> Column:
-        segs = next(iter(found.values()))[i] if not by else None
-        ends = [F.col(f"_b{i}")[j] for j in range(2 * slots)] if by else [F.lit(s) for s in segs if s is not None]
-        # a NULL end is never passed, so a missing segment holds nothing
-        return sum((F.when(v >= e if j % 2 == 0 else v > e, 1).otherwise(0) for j, e in enumerate(ends)), F.lit(0))
-    values = [F.col(c).cast("double") for c in cols]
-    kv = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i, v).alias("part"), v.alias("v")) for i, v in enumerate(values)]))
-    long = x.select(*by, kv.alias("kv")).select(*by, "kv.*").where(F.col("v").isNotNull())
+        texts = [[f"double('{e}')" if e is not None else "cast(null as double)" for e in s] for s in padded[()]]
+        x, ends = df, F.expr("array(" + ", ".join(f"array({', '.join(t)})" for t in texts) + ")")
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    long = x.select(*by, *(["_ends"] if by else []), F.posexplode(values).alias("i", "v")).where(F.col("v").isNotNull())
+    # a NULL end is never met, so a missing segment holds nothing
+    whens = "".join(f" when v {'<=' if j % 2 else '<'} own[{j}] then {j}" for j in range(2 * slots))
+    long = long.select(*by, "i", "v", ends[F.col("i")].alias("own")).withColumn("part", F.expr(f"case{whens} else {2 * slots} end"))
     kept = F.when(F.col("part") % 2 == 1, F.col("v"))
     counts = long.groupBy(*by, "i", "part", kept.alias("kept")).agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("c"))
     return counts.select(*by, F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("feature"), "part", "value", "c")
@@ -281,7 +280,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return spark.createDataFrame([], schema)
     # a bracket holds four parts by its ranks and at most two more by the sketch's error
     kept = min(most, max(SKETCH_ACCURACY, 6 * len(probs) * most // SKETCH_ACCURACY) + 2 * len(probs))
-    for segs, largest in ((found, kept), ({g: [[float("-inf"), None]] * len(cols) for g in found}, most)):
+    for segs, largest in ((found, kept), ({g: [list(WHOLE)] * len(cols) for g in found}, most)):
         slots = max(len(s) for g in segs.values() for s in g) // 2
         counts = _bracketed_counts(plain, cols, by, segs, slots)
         if largest > GROUP_ROWS:
