@@ -48,13 +48,21 @@ def dedup_first(df: DataFrame, order_col: str = "seq") -> DataFrame:
 
 
 def impute_fit(train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact median per feature on train rows: (feature, median)."""
+    """Exact median per feature on train rows: (feature, median). A feature without any value has
+    a NULL median, see ``empty_features``."""
     q = exact_quantiles(train, cols, [0.5])
-    return q.select("feature", F.col("value").alias("median"))
+    every = train.sparkSession.createDataFrame([(c,) for c in cols], "feature string")  # one row a feature
+    return every.join(q, "feature", "left").select("feature", F.col("value").alias("median"))
+
+
+def empty_features(medians: DataFrame) -> list[str]:
+    """Features without any train value: they cannot be imputed, and no fit can use them."""
+    return sorted(r["feature"] for r in medians.where(F.col("median").isNull()).collect())  # at most one row a feature
 
 
 def impute_apply(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill NULLs with the train medians (NaN was turned into NULL at the source)."""
+    """Fill NULLs with the train medians (NaN was turned into NULL at the source). A feature whose
+    median is NULL keeps its NULLs; the preprocessing step leaves such features out."""
     cols = list(cols)
     w = wide_params(medians, "feature", "median", cols, suffix="__median")
     x = attach_row(df, w, "_med")

@@ -44,6 +44,15 @@ def residuals(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     return df.withColumn("residual", F.col(y) - F.col(yhat))
 
 
+def residual_summary(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """Count, mean (the bias), sample std, smallest and largest residual, as one row. Rows without a truth
+    or a prediction are left out. For the histogram and the ordered series of residuals see
+    ``profile.histogram`` and ``profile.trend_series``."""
+    r = F.col("residual")
+    return residuals(df, y, yhat).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"),
+                                      F.min(r).alias("min"), F.max(r).alias("max"))
+
+
 def confusion(df: DataFrame, label: str = "label", prob: str = "prob", threshold: float = 0.5,
               by: Sequence[str] = ()) -> DataFrame:
     """TP, FP, FN, TN at ``prob >= threshold``."""

@@ -29,6 +29,8 @@ ALERT_OVER_VOLTAGE = ("OVER_VOLTAGE", "CRITICAL",
                       "Battery voltage exceeds safe threshold. Risk of cell damage.")
 RUL_IR_THRESHOLD = 0.15
 RUL_CONSERVATIVE_FACTOR = 0.7
+RATE_UNIT = "Ω per cycle"
+RATE_UNIT_FLEET = "Ω per cycle (fleet avg)"
 
 # Recommendation texts of the reference, by health band, RUL band and alerts.
 REC_HEALTHY = ["✅ Battery is in good condition. Continue normal operation with routine monitoring."]
@@ -155,7 +157,8 @@ def rul_fleet(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resistanc
     x = with_fleet(df, fleet)
     remaining = F.greatest(F.lit(0.0), F.lit(threshold) - F.col(ir_col))
     rate = _f("ir_std") / _f("total_rows")
-    out = x.select("*", remaining.alias("ir_remaining"), rate.alias("degradation_rate"),
+    out = x.select("*", F.lit(float(threshold)).alias("ir_threshold"), remaining.alias("ir_remaining"),
+                   rate.alias("degradation_rate"), F.lit(RATE_UNIT_FLEET).alias("degradation_rate_unit"),
                    F.lit("fleet").alias("rate_source"),
                    _cycles(remaining, rate).alias("cycles_remaining"),
                    _cycles(remaining, rate, RUL_CONSERVATIVE_FACTOR).alias("cycles_remaining_conservative"))
@@ -188,8 +191,9 @@ def rul_history(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resista
     remaining = F.greatest(F.lit(0.0), F.lit(threshold) - F.col("current_ir"))
     use_hist = F.col("history_len") > 2
     rate = F.when(use_hist, F.col("_slope")).otherwise(_f("ir_std") / _f("total_rows"))
-    out = x.select(by, "history_len", "current_ir", remaining.alias("ir_remaining"),
-                   rate.alias("degradation_rate"),
+    out = x.select(by, "history_len", "current_ir", F.lit(float(threshold)).alias("ir_threshold"),
+                   remaining.alias("ir_remaining"), rate.alias("degradation_rate"),
+                   F.when(use_hist, RATE_UNIT).otherwise(RATE_UNIT_FLEET).alias("degradation_rate_unit"),
                    F.when(use_hist, "history").otherwise("fleet").alias("rate_source"))
     return out.select("*", _cycles(F.col("ir_remaining"), F.col("degradation_rate")).alias("cycles_remaining"),
                       _cycles(F.col("ir_remaining"), F.col("degradation_rate"),
@@ -200,11 +204,15 @@ def fleet_compare(df: DataFrame, fleet: DataFrame, ir_col: str = "internal_resis
                   eff_col: str = "charging_efficiency", prob_col: str = "prob", keep_fleet: bool = False) -> DataFrame:
     """Position against the fleet: IR min-max position (the reference calls it percentile),
     BETTER/WORSE vs the mean, deviation in sigmas; efficiency as % of the fleet mean,
-    ABOVE/BELOW_AVERAGE; over-temperature risk HIGH when prob*100 > fleet rate."""
+    ABOVE/BELOW_AVERAGE; over-temperature risk HIGH when prob*100 > fleet rate. The fleet's own
+    figures stand beside each comparison."""
     x = with_fleet(df, fleet)
     ir, eff, prob = F.col(ir_col), F.col(eff_col), F.col(prob_col)
     out = x.select(
         "*",
+        _f("ir_mean").alias("fleet_ir_average"), _f("ir_std").alias("fleet_ir_std"),
+        _f("avg_charging_efficiency").alias("fleet_efficiency_average"),
+        _f("over_temp_rate").alias("fleet_over_temp_rate"),
         (safe_div(ir - _f("ir_min"), _f("ir_max") - _f("ir_min")) * 100).alias("ir_position_pct"),
         F.when(ir < _f("ir_mean"), "BETTER").otherwise("WORSE").alias("ir_status"),
         safe_div(ir - _f("ir_mean"), _f("ir_std")).alias("ir_deviation_sigmas"),

@@ -29,14 +29,19 @@ class PrepParams:
     columns: list[str]    # all engineered features (imputed and scaled)
 
     def save(self, path: str) -> None:
+        """One table each for the baseline, medians and moments, and one for the columns in their order."""
+        spark = self.medians.sparkSession
+        spark.createDataFrame(list(enumerate(self.columns)), "position int, feature string") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
         self.baseline.coalesce(1).write.mode("overwrite").parquet(f"{path}/baseline")
         self.medians.coalesce(1).write.mode("overwrite").parquet(f"{path}/medians")
         self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, columns: Sequence[str]) -> "PrepParams":
+    def load(cls, spark: SparkSession, path: str) -> "PrepParams":
+        columns = [r["feature"] for r in spark.read.parquet(f"{path}/columns").orderBy("position").collect()]  # one row a feature
         return cls(spark.read.parquet(f"{path}/baseline"), spark.read.parquet(f"{path}/medians"),
-                   spark.read.parquet(f"{path}/stats"), list(columns))
+                   spark.read.parquet(f"{path}/stats"), columns)
 
 
 def engineer(df: DataFrame, baseline: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
@@ -46,6 +51,16 @@ def engineer(df: DataFrame, baseline: DataFrame, chunk_rows: int = DEFAULT_CHUNK
     return features.engineer_all(df.select(*keep), baseline, chunk_rows=chunk_rows)
 
 
+def _medians(train: DataFrame, cols: Sequence[str], selected: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Medians, and the features that have one. A feature without any train value is left out of the
+    fitted parameters; asking for it fails here, not as NaN in a later fit."""
+    med = materialize_small(clean.impute_fit(train, cols))
+    empty = clean.empty_features(med)
+    if set(empty) & set(selected):
+        raise ValueError(f"features without any train value: {sorted(set(empty) & set(selected))}")
+    return med.where(F.col("median").isNotNull()), [c for c in cols if c not in empty]
+
+
 def prep_fit(split_df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> PrepParams:
     """Fit on the train rows of a chrono-split frame: IR baseline, medians, then mean/std of
     the imputed values (engineering runs on the train slice alone)."""
@@ -54,7 +69,7 @@ def prep_fit(split_df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> PrepP
     # the engineered train slice feeds two passes (medians, then moments): cut its lineage once
     eng = checkpointed(engineer(train, baseline, chunk_rows))
     cols = engineered_columns(eng)
-    med = materialize_small(clean.impute_fit(eng, cols))
+    med, cols = _medians(eng, cols)
     imputed = clean.impute_apply(eng, med, cols)
     stats = materialize_small(clean.scale_fit(imputed, cols))
     return PrepParams(baseline, med, stats, cols)
@@ -71,7 +86,7 @@ def prep_fit_transform(split_df: DataFrame, selected: Sequence[str], keys: Seque
     eng = checkpointed(engineer(split_df, baseline, chunk_rows, passthrough))
     cols = [c for c in engineered_columns(eng) if c not in passthrough]
     train = eng.where(F.col("split") == "train")
-    med = materialize_small(clean.impute_fit(train, cols))
+    med, cols = _medians(train, cols, selected)
     stats = materialize_small(clean.scale_fit(clean.impute_apply(train, med, cols), cols))
     params = PrepParams(baseline, med, stats, cols)
     sc = clean.scale_apply(clean.impute_apply(eng, med, cols), stats, cols)
@@ -84,6 +99,9 @@ def prep_transform(df: DataFrame, params: PrepParams, selected: Sequence[str],
                    chunk_rows: int = DEFAULT_CHUNK_ROWS, passthrough: Sequence[str] = ()) -> DataFrame:
     """Engineer with the train baseline, impute and scale all engineered features with the
     train parameters, then keep ``keys`` + ``selected`` (+ targets present + passthrough)."""
+    lost = sorted(set(selected) - set(params.columns))
+    if lost:
+        raise ValueError(f"features without fitted parameters: {lost}")
     if "split" not in df.columns:  # a batch to score is one frame
         df = df.withColumn("split", F.lit("batch"))
     eng = engineer(df, params.baseline, chunk_rows, passthrough)

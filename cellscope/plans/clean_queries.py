@@ -133,7 +133,7 @@ RAW_SQL = ", ".join(RAW_FEATURES)
           doubles=RAW_FEATURES + ["cycle_degradation"])
 def q_drop_cols(spark, sf_dir):
     # the reference drops its integer ``timestamp``; our order key is kept as metadata
-    return project.drop_cols(telemetry(spark, sf_dir), ["timestamp"])
+    return project.drop_cols(telemetry(spark, sf_dir).withColumn("timestamp", F.col("seq")), ["timestamp"])
 
 
 @register("drop_redundant", "select * exclude (battery_temp) from telemetry",
@@ -143,10 +143,11 @@ def q_drop_redundant(spark, sf_dir):
     return drop_redundant(telemetry(spark, sf_dir))
 
 
-@register("feature_target_split", "select battery_id, seq, " + RAW_SQL + " from telemetry", doubles=RAW_FEATURES)
+@register("feature_target_split", "select battery_id, seq, " + RAW_SQL + ", over_temp_flag as y from telemetry", doubles=RAW_FEATURES)
 def q_feature_target_split(spark, sf_dir):
-    x, _ = project.feature_target_split(telemetry(spark, sf_dir), "internal_resistance")
-    return x
+    """Both sides, put together by their keys again."""
+    x, y = project.feature_target_split(telemetry(spark, sf_dir), "over_temp_flag")
+    return x.join(y.withColumnRenamed("over_temp_flag", "y"), KEYS)
 
 
 @register("default_fill", "select battery_id, seq, " + ", ".join(

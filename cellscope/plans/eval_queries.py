@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellscope.operators import evaluate as ev
+from cellscope.operators import profile as pr
 from cellscope.operators import splits as sp
 from cellscope.operators.ordering import attach_row
 from cellscope.plans.registry import register
@@ -40,6 +41,31 @@ def q_residuals(spark, sf_dir):
     return ev.residuals(scores(spark, sf_dir)).select(*KEYS, "residual")
 
 
+@register("residual_summary", """select count(y - yhat) as n, avg(y - yhat) as mean, stddev_samp(y - yhat) as std,
+  min(y - yhat) as min, max(y - yhat) as max from scores""", views=S, doubles=["mean", "std", "min", "max"], digits=9)
+def q_residual_summary(spark, sf_dir):
+    return ev.residual_summary(scores(spark, sf_dir))
+
+
+@register("residual_histogram", """, r as (select y - yhat as residual from scores)
+, mm as (select min(residual) as lo, max(residual) as hi from r)
+, c as (select cast(least(29, floor((residual - lo) / (hi - lo) * 30)) as integer) as bin, count(*) as n
+  from r cross join mm where residual is not null group by 1)
+select cast(g.bin as integer) as bin, lo + (hi - lo) * g.bin / 30 as bin_lo, lo + (hi - lo) * (g.bin + 1) / 30 as bin_hi,
+  coalesce(n, 0) as count
+from range(30) g(bin) cross join mm left join c on c.bin = g.bin""", views=S, doubles=["bin_lo", "bin_hi"], digits=9)
+def q_residual_histogram(spark, sf_dir):
+    return pr.histogram(ev.residuals(scores(spark, sf_dir)), "residual", 30)
+
+
+@register("residual_series", """select battery_id, row_number() over (partition by battery_id order by seq) - 1 as point,
+  seq, y - yhat as residual from scores""", views=S, doubles=["residual"])
+def q_residual_series(spark, sf_dir):
+    """Residuals of each battery in the order of its readings."""
+    s = pr.trend_series(ev.residuals(scores(spark, sf_dir)), ["residual"], by=("battery_id",))
+    return s.select("battery_id", "point", F.col("seq_from").alias("seq"), "residual")
+
+
 CONF_CTE = f""", cf as (
   select count_if(prob >= {TH}e0 and label = 1) as tp, count_if(prob >= {TH}e0 and label <> 1) as fp,
     count_if(prob < {TH}e0 and label = 1) as fn, count_if(prob < {TH}e0 and label <> 1) as tn from scores)"""

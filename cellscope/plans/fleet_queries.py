@@ -143,8 +143,9 @@ RUL_HIST_SQL = """, p as (
   from p group by battery_id)
 , g as (select stddev_samp(internal_resistance) as ir_std, count(*) as total_rows from telemetry)
 , x as (
-  select battery_id, history_len, current_ir, greatest(0e0, 0.15e0 - current_ir) as ir_remaining,
+  select battery_id, history_len, current_ir, 0.15e0 as ir_threshold, greatest(0e0, 0.15e0 - current_ir) as ir_remaining,
     case when history_len > 2 then slope else ir_std / total_rows end as degradation_rate,
+    case when history_len > 2 then 'Ω per cycle' else 'Ω per cycle (fleet avg)' end as degradation_rate_unit,
     case when history_len > 2 then 'history' else 'fleet' end as rate_source
   from per cross join g)
 select x.*,
@@ -155,17 +156,29 @@ select x.*,
 from x"""
 
 
-@register("rul_history", RUL_HIST_SQL, doubles=["current_ir", "ir_remaining"],
+@register("rul_history", RUL_HIST_SQL, doubles=["current_ir", "ir_threshold", "ir_remaining"],
           special={"degradation_rate": 12})
 def q_rul_history(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     return fl.rul_history(t, fl.fleet_stats(t))
 
 
+RUL_LAST_N = 20
+
+
+@register("rul_history_last_n", RUL_HIST_SQL.replace("from p group by battery_id", f"""from (
+    select p.*, count(*) over (partition by battery_id) as n from p) l where pos >= n - {RUL_LAST_N} group by battery_id"""),
+          doubles=["current_ir", "ir_threshold", "ir_remaining"], special={"degradation_rate": 12})
+def q_rul_history_last_n(spark, sf_dir):
+    """The trend of each battery's last readings only."""
+    t = telemetry(spark, sf_dir)
+    return fl.rul_history(t, fl.fleet_stats(t), last_n=RUL_LAST_N)
+
+
 RUL_FLEET_SQL = FLEET_CTE + """
 , x as (
-  select battery_id, seq, greatest(0e0, 0.15e0 - internal_resistance) as ir_remaining,
-    ir_std / total_rows as degradation_rate
+  select battery_id, seq, 0.15e0 as ir_threshold, greatest(0e0, 0.15e0 - internal_resistance) as ir_remaining,
+    ir_std / total_rows as degradation_rate, 'Ω per cycle (fleet avg)' as degradation_rate_unit
   from telemetry cross join f)
 select x.*,
   case when degradation_rate > 0 then greatest(0, cast(trunc(ir_remaining / degradation_rate) as bigint)) end
@@ -175,18 +188,19 @@ select x.*,
 from x"""
 
 
-@register("rul_fleet", RUL_FLEET_SQL, doubles=["ir_remaining"], special={"degradation_rate": 12})
+@register("rul_fleet", RUL_FLEET_SQL, doubles=["ir_threshold", "ir_remaining"], special={"degradation_rate": 12})
 def q_rul_fleet(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     r = fl.rul_fleet(t, fl.fleet_stats(t, batteries=False))
-    return r.select(*KEYS, "ir_remaining", "degradation_rate", "cycles_remaining",
+    return r.select(*KEYS, "ir_threshold", "ir_remaining", "degradation_rate", "degradation_rate_unit", "cycles_remaining",
                     "cycles_remaining_conservative")
 
 
 COMPARE_SQL = FLEET_CTE + """
 , s as (
   select t.*, (seq * 37 % 1000) * 0.0007e0 + over_temp_flag * 0.3e0 as prob from telemetry t)
-select battery_id, seq,
+select battery_id, seq, ir_mean as fleet_ir_average, ir_std as fleet_ir_std,
+  avg_charging_efficiency as fleet_efficiency_average, over_temp_rate as fleet_over_temp_rate,
   (internal_resistance - ir_min) / (ir_max - ir_min) * 100 as ir_position_pct,
   case when internal_resistance < ir_mean then 'BETTER' else 'WORSE' end as ir_status,
   (internal_resistance - ir_mean) / ir_std as ir_deviation_sigmas,
@@ -199,12 +213,13 @@ from s cross join f"""
 
 
 @register("fleet_compare", COMPARE_SQL,
-          doubles=["ir_position_pct", "ir_deviation_sigmas", "efficiency_pct_of_mean", "over_temp_prob_pct"])
+          doubles=["fleet_ir_average", "fleet_ir_std", "fleet_efficiency_average", "fleet_over_temp_rate", "ir_position_pct",
+                   "ir_deviation_sigmas", "efficiency_pct_of_mean", "over_temp_prob_pct"])
 def q_fleet_compare(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     s = t.withColumn("prob", ((F.col("seq") * 37) % 1000) * F.lit(0.0007) + F.col("over_temp_flag") * F.lit(0.3))
     c = fl.fleet_compare(s, fl.fleet_stats(t, batteries=False))
-    return c.select(*KEYS, "ir_position_pct", "ir_status", "ir_deviation_sigmas", "efficiency_pct_of_mean",
+    return c.select(*KEYS, "fleet_ir_average", "fleet_ir_std", "fleet_efficiency_average", "fleet_over_temp_rate", "ir_position_pct", "ir_status", "ir_deviation_sigmas", "efficiency_pct_of_mean",
                     "efficiency_status", "over_temp_prob_pct", "risk_level")
 
 

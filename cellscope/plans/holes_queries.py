@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from cellscope.functions.exprs import flag_health
+from cellscope.operators import clean
 from cellscope.operators import evaluate as ev
 from cellscope.operators import profile as pr
 from cellscope.operators import soc
@@ -79,6 +80,14 @@ def q_group_dist(spark, sf_dir):
     return named(pr.group_dist(telemetry_holes(spark, sf_dir), "over_temp_flag", COLS), "over_temp_flag")
 
 
+@register("holes_impute_fit", "select 'empty' as feature, cast(null as double) as median\nunion all\n" + "\nunion all\n".join(
+    f"select '{c}' as feature, quantile_cont({c}, 0.5) as median from telemetry_holes" for c in COLS), views=H, doubles=["median"])
+def q_impute_fit(spark, sf_dir):
+    """A feature without any value is reported with a NULL median."""
+    t = telemetry_holes(spark, sf_dir).withColumn("empty", F.lit(None).cast("double"))
+    return clean.impute_fit(t, [*COLS, "empty"])
+
+
 @register("holes_corr_matrix", "\nunion all\n".join(
     f"select '{a}' as feature_a, '{b}' as feature_b, corr({a}, {b}) as r from telemetry_holes" for a, b in PAIRS),
     views=H, doubles=["r"])

@@ -226,5 +226,5 @@ def q_params_io(spark, sf_dir):
     params, _ = prepared(spark, sf_dir)
     path = scratch_path(spark, "prep-params")
     params.save(path)
-    back = prep.PrepParams.load(spark, path, params.columns)
-    return back.medians.join(back.stats, "feature").select("feature", "median", "mean", "std")
+    back = prep.PrepParams.load(spark, path)
+    return back.medians.join(back.stats, "feature").where(F.col("feature").isin(back.columns)).select("feature", "median", "mean", "std")

@@ -132,3 +132,23 @@ def test_learning_curve_prefix(spark):
     df = spark.createDataFrame(rows, "b int, split_pos long, split_rows long")
     got = {r.b: r.n for r in df.where(curve_prefix(0.5)).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {1: 5, 2: 1}
+
+
+def test_prep_leaves_an_empty_feature_out_or_fails(spark, tmp_path):
+    """A feature without any train value: not among the fitted columns; asking for it fails."""
+    from cellscope.operators import prep, splits
+    from cellscope.sources import telemetry
+    from tests.conftest import SF_SMALL
+    t = splits.chrono_split(telemetry(spark, SF_SMALL).where("seq < 300").withColumn("charging_time", F.lit(None).cast("double")))
+    params, x = prep.prep_fit_transform(t, ["SOC", "soc_range_rolling"])
+    assert "charging_time" not in params.columns and "SOC" in params.columns
+    assert x.where("SOC is null or soc_range_rolling is null").count() == 0
+    with pytest.raises(ValueError, match="charging_time"):
+        prep.prep_fit_transform(t, ["SOC", "charging_time"])
+    with pytest.raises(ValueError, match="charging_time"):
+        prep.prep_transform(t, params, ["charging_time"])
+    params.save(str(tmp_path))
+    back = prep.PrepParams.load(spark, str(tmp_path))
+    assert back.columns == params.columns
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(prep.prep_transform(t, back, ["SOC"])) == rows(prep.prep_transform(t, params, ["SOC"]))
