@@ -104,7 +104,16 @@ def q_health_status(spark, sf_dir):
     return h.select(*KEYS, "health_score", "status", F.size("alerts").alias("n_alerts"))
 
 
-ALERTS_SQL = HEALTH_CTE + """
+def quoted(text: str) -> str:
+    """A fixed text of ``operators/fleet.py`` as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def quoted_list(texts: list[str]) -> str:
+    return "[" + ", ".join(quoted(t) for t in texts) + "]"
+
+
+ALERTS_SQL = HEALTH_CTE + f"""
 , a as (
   select battery_id, seq, internal_resistance, (internal_resistance / ir_mean - 1) * 100 as pct,
     case when internal_resistance > ir_mean + 2 * ir_std then 2
@@ -112,19 +121,19 @@ ALERTS_SQL = HEALTH_CTE + """
     over_temp_flag, pred_over_voltage_flag
   from hs)
 select battery_id, seq, cast(0 as bigint) as alert_idx,
-  case when ir_level = 2 then 'HIGH_DEGRADATION' else 'DEGRADATION_WARNING' end as alert_type,
-  case when ir_level = 2 then 'CRITICAL' else 'WARNING' end as severity,
-  case when ir_level = 2 then printf('IR is %.1f%% above fleet average. Severe degradation detected.', pct)
-       else printf('IR is %.1f%% above fleet average. Monitor closely.', pct) end as message,
+  case when ir_level = 2 then {quoted(fl.ALERT_HIGH_DEGRADATION[0])} else {quoted(fl.ALERT_DEGRADATION_WARNING[0])} end as alert_type,
+  case when ir_level = 2 then {quoted(fl.ALERT_HIGH_DEGRADATION[1])} else {quoted(fl.ALERT_DEGRADATION_WARNING[1])} end as severity,
+  case when ir_level = 2 then printf({quoted(fl.ALERT_HIGH_DEGRADATION[2])}, pct)
+       else printf({quoted(fl.ALERT_DEGRADATION_WARNING[2])}, pct) end as message,
   internal_resistance as value_num
 from a where ir_level > 0
 union all
-select battery_id, seq, cast(case when ir_level > 0 then 1 else 0 end as bigint), 'OVER_TEMP', 'CRITICAL',
-  'Battery temperature exceeds safe threshold. Risk of thermal damage.', null
+select battery_id, seq, cast(case when ir_level > 0 then 1 else 0 end as bigint), {quoted(fl.ALERT_OVER_TEMP[0])}, {quoted(fl.ALERT_OVER_TEMP[1])},
+  {quoted(fl.ALERT_OVER_TEMP[2])}, null
 from a where over_temp_flag = 1
 union all
 select battery_id, seq, cast((case when ir_level > 0 then 1 else 0 end) + over_temp_flag as bigint),
-  'OVER_VOLTAGE', 'CRITICAL', 'Battery voltage exceeds safe threshold. Risk of cell damage.', null
+  {quoted(fl.ALERT_OVER_VOLTAGE[0])}, {quoted(fl.ALERT_OVER_VOLTAGE[1])}, {quoted(fl.ALERT_OVER_VOLTAGE[2])}, null
 from a where pred_over_voltage_flag = 1"""
 
 
@@ -231,7 +240,7 @@ def q_fleet_percentile(spark, sf_dir):
     return fl.fleet_percentile(t.select(*KEYS, "internal_resistance")).select(*KEYS, "ir_percentile_rank")
 
 
-RECS_SQL = HEALTH_CTE + """
+RECS_SQL = HEALTH_CTE + f"""
 , x as (
   select battery_id, seq, health_score,
     (internal_resistance > ir_mean + 2 * ir_std) or over_temp_flag = 1 or pred_over_voltage_flag = 1 as any_critical,
@@ -241,19 +250,13 @@ RECS_SQL = HEALTH_CTE + """
   from hs)
 , y as (
   select battery_id, seq, list_concat(
-    case when health_score >= 80 then ['✅ Battery is in good condition. Continue normal operation with routine monitoring.']
-         when health_score >= 60 then ['⚠️ Battery shows signs of degradation. Increase monitoring frequency to weekly.',
-                                      '💡 Consider scheduling maintenance within the next 2-3 weeks.']
-         when health_score >= 40 then ['🔴 Battery is degrading rapidly. Daily monitoring required.',
-                                      '⚡ Reduce charging power if possible to slow degradation.',
-                                      '📞 Contact maintenance team for urgent assessment.']
-         else ['🚨 Battery has reached end-of-life. STOP charging immediately.',
-               '📞 Replace battery as soon as possible.'] end,
+    case when health_score >= 80 then {quoted_list(fl.REC_HEALTHY)} when health_score >= 60 then {quoted_list(fl.REC_DEGRADING)}
+         when health_score >= 40 then {quoted_list(fl.REC_CRITICAL)} else {quoted_list(fl.REC_END_OF_LIFE)} end,
     list_filter([
-      case when cyc < 10 then printf('⏰ RUL estimate: %d cycles. Battery retirement imminent.', cyc)
-           when cyc < 50 then printf('📊 RUL estimate: %d cycles. Plan replacement soon.', cyc)
-           when cyc is not null then printf('📈 RUL estimate: %d cycles. Monitor degradation trend.', cyc) end,
-      case when any_critical then '🚨 CRITICAL ALERTS ACTIVE: Take immediate action.' end], lambda v: v is not null)) as recs
+      case when cyc < 10 then printf({quoted(fl.REC_RUL_IMMINENT)}, cyc)
+           when cyc < 50 then printf({quoted(fl.REC_RUL_SOON)}, cyc)
+           when cyc is not null then printf({quoted(fl.REC_RUL_MONITOR)}, cyc) end,
+      case when any_critical then {quoted(fl.REC_CRITICAL_ALERTS)} end], lambda v: v is not null)) as recs
   from x)
 select battery_id, seq, unnest(range(0, len(recs))) as rec_idx, unnest(recs) as recommendation from y"""
 
