@@ -63,6 +63,19 @@ def q_linear_residuals_check(spark, sf_dir):
     return reg.transform(tr).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(mq.Y) - F.col("prediction")).alias("mean_residual"))
 
 
+@register("logistic_residuals_check", SPLIT_CTE + "\nselect count(*) as n_rows, cast(count(*) as double) as weight_sum, 0e0 as mean_residual from sp where split = 'train'",
+          doubles=["weight_sum", "mean_residual"], digits=4)
+def q_logistic_residuals_check(spark, sf_dir):
+    """Balanced weights sum to the rows, and at the optimum of a logistic fit with a free intercept the
+    weighted residuals of the training rows have mean zero."""
+    _, cls = mq._models(spark, sf_dir)
+    tr, _, _ = mq.parts(spark, sf_dir)
+    p = train.positive_prob(cls.transform(tr))
+    residual = F.col("w_temp") * (F.col("over_temp_flag") - F.col("prob"))
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w_temp").alias("weight_sum"),
+                 (F.sum(residual) / F.sum("w_temp")).alias("mean_residual"))
+
+
 @register("learning_curve_rows", SPLIT_CTE + """
 , tr as (select split_pos, split_rows - 5 * (split_rows // 6) as first_train from sp where split = 'train')
 select f.i / 10e0 as fraction, cast(count(*) as bigint) as train_rows
