@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellscope.operators import splits as sp
+from cellscope.operators.ordering import checkpointed
 from cellscope.plans.registry import register
 from cellscope.sources.telemetry import telemetry
 
@@ -92,8 +93,8 @@ select a.*, (n_pos = 0 or n_neg = 0) as degenerate from a"""
 
 @register("fold_audit", FOLD_AUDIT_SQL)
 def q_fold_audit(spark, sf_dir):
-    s = split_frame(spark, sf_dir)
-    tr = s.where(F.col("split") == "train")
+    # folds and audits read the train rows several times: split and number them once
+    tr = checkpointed(train_rows(spark, sf_dir).select(*KEYS, "over_temp_flag", "split_pos", "split_rows"))
     lab = tr.select(*KEYS, F.col("over_temp_flag").alias("label"))
     strat = sp.fold_audit_stratified(sp.strat_folds(lab, "label"), "label")
     time = sp.fold_audit(sp.ts_folds(tr, keys=["over_temp_flag"]), "over_temp_flag")

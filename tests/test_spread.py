@@ -22,3 +22,20 @@ def test_fill_medians_leave_rows_where_they_are(spark):
     med = ordering.exact_quantiles(df, ["v"], [0.5], by=["g"])
     got = ordering.join_null_safe(df, med, ["g"], "left")
     assert tasks_with_rows(got) == 8 and got.where("value is null").count() == 0
+
+
+def counting(monkeypatch, module):
+    """The columns of every frame that ``module`` checkpoints."""
+    seen = []
+    monkeypatch.setattr(module, "checkpointed", lambda df: seen.append(df.columns) or ordering.checkpointed(df))
+    return seen
+
+
+def test_fold_audit_splits_once(spark, monkeypatch):
+    from cellscope.plans import split_queries as sq
+    rows = spark.range(600).select((F.col("id") % 20).alias("battery_id"), F.col("id").alias("seq"), (F.col("id") % 20 % 2).cast("int").alias("over_temp_flag"))
+    monkeypatch.setattr(sq, "telemetry", lambda *a: rows)
+    seen = counting(monkeypatch, sq)
+    got = {(r.kind, r.fold, r.role): (r.n_pos, r.n_neg) for r in sq.q_fold_audit(spark, "").collect()}
+    assert seen == [["battery_id", "seq", "over_temp_flag", "split_pos", "split_rows"]]
+    assert len(got) == 20 and got["stratified", 0, "test"] == (42, 42) and got["time", 0, "test"] == (30, 30)
