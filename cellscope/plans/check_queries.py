@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellscope.operators import splits, train
+from cellscope.operators.ordering import checkpointed
 from cellscope.plans import model_queries as mq
 from cellscope.plans.registry import register
 from cellscope.plans.split_queries import SPLIT_CTE, STRAT_SQL
@@ -40,7 +41,7 @@ def q_model_io_check(spark, sf_dir):
 def q_oof_folds_check(spark, sf_dir):
     """Out-of-fold predictions cover each training row once, in its own fold."""
     tr, _, _ = mq.parts(spark, sf_dir)
-    f = splits.strat_folds(tr, "over_temp_flag")
+    f = checkpointed(splits.strat_folds(tr, "over_temp_flag"))  # five fits and scorings read it
     got = train.oof_predict(f, mq.CLS_FEATURES, "over_temp_flag", weight_col="w_temp", maxIter=5)
     return got.where("prob between 0 and 1").select("battery_id", "seq", F.col("over_temp_flag").alias("label"), "fold")
 

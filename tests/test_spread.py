@@ -1,5 +1,4 @@
-"""Rows stay spread over tasks where a small table of classes or groups is joined, and folds are
-numbered once."""
+"""Rows stay spread over tasks, folds are numbered once, and wide features are not written."""
 
 from pyspark.sql import functions as F
 
@@ -39,3 +38,16 @@ def test_fold_audit_splits_once(spark, monkeypatch):
     got = {(r.kind, r.fold, r.role): (r.n_pos, r.n_neg) for r in sq.q_fold_audit(spark, "").collect()}
     assert seen == [["battery_id", "seq", "over_temp_flag", "split_pos", "split_rows"]]
     assert len(got) == 20 and got["stratified", 0, "test"] == (42, 42) and got["time", 0, "test"] == (30, 30)
+
+
+def test_out_of_fold_check_numbers_rows_once(spark, monkeypatch):
+    from cellscope.plans import check_queries as cq
+    from cellscope.plans import model_queries as mq
+    feats = [(F.rand(i) + F.col("id") % 2).alias(c) for i, c in enumerate(mq.CLS_FEATURES)]
+    tr = spark.range(200).select((F.col("id") % 5).alias("battery_id"), F.col("id").alias("seq"), (F.col("id") % 2).cast("int").alias("over_temp_flag"),
+                                 F.lit(1.0).alias("w_temp"), *feats)
+    monkeypatch.setattr(mq, "parts", lambda *a: (tr, None, None))
+    seen = counting(monkeypatch, cq)
+    got = cq.q_oof_folds_check(spark, "")
+    assert len(seen) == 1 and "fold" in seen[0]
+    assert {(r["fold"], r["label"]): r["count"] for r in got.groupBy("fold", "label").count().collect()} == {(f, y): 20 for f in range(5) for y in (0, 1)}
