@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cellscope.operators import ordering, splits
+from cellscope.operators import ordering, splits, train
 
 
 def tasks_with_rows(df):
@@ -51,3 +51,15 @@ def test_out_of_fold_check_numbers_rows_once(spark, monkeypatch):
     got = cq.q_oof_folds_check(spark, "")
     assert len(seen) == 1 and "fold" in seen[0]
     assert {(r["fold"], r["label"]): r["count"] for r in got.groupBy("fold", "label").count().collect()} == {(f, y): 20 for f in range(5) for y in (0, 1)}
+
+
+def test_kernel_features_are_not_written(spark, monkeypatch):
+    df = spark.range(0, 300, 1, 2).select("id", F.randn(1).alias("a"), F.randn(2).alias("b"), (F.col("id") % 5).cast("int").alias("fold")) \
+        .withColumn("y", (F.col("a") * F.col("a") + F.col("b") * F.col("b") > 1).cast("int"))
+    seen = counting(monkeypatch, train)
+    train.fit_kernel_svm(df, ["a", "b"], "y", landmarks=10, keys=["id"])
+    got = train.grid_search_svm(df, ["a", "b"], "y", {"c": [0.1, 1.0], "gamma": ["auto"]}, landmarks=10, keys=["id"], k=2).collect()
+    assert len(got) == 4 and not any("kernel" in columns for columns in seen)
+    assert train.kernel_fits(df, 10) > 1
+    monkeypatch.setattr(train, "KERNEL_BYTES", 300 * 10 * 8)
+    assert train.kernel_fits(df, 10) == 1
