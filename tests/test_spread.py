@@ -1,8 +1,9 @@
 """Rows stay spread over tasks, folds are numbered once, and wide features are not written."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cellscope.operators import ordering, splits, train
+from cellscope.operators import boosting, ordering, splits, train
 
 
 def tasks_with_rows(df):
@@ -53,6 +54,29 @@ def test_out_of_fold_check_numbers_rows_once(spark, monkeypatch):
     assert {(r["fold"], r["label"]): r["count"] for r in got.groupBy("fold", "label").count().collect()} == {(f, y): 20 for f in range(5) for y in (0, 1)}
 
 
+def test_models_of_several_blocks_are_dealt_to_all_cores(spark, monkeypatch):
+    """Few blocks and many models: each block meets a part of the models in a task of its own."""
+    df = spark.range(700).select((F.col("id") % 37).cast("double").alias("a"), F.rand(5).alias("b"), (F.col("id") % 3).alias("part"),
+                                 ((F.col("id") % 37 > 20).cast("double") + F.rand(6)).alias("y")).repartition(3)
+    bounds = boosting.bin_bounds(df, ["a", "b"])
+    specs = [boosting.Spec(rounds=r, depth=d, rate=0.4, train=(0, 1), test=(2,)) for r in (3, 30) for d in (1, 2, 4)]
+    parts, kept = [], boosting.kept
+    monkeypatch.setattr(boosting, "kept", lambda *a: parts.append(kept(*a)) or parts[-1])
+    monkeypatch.setattr(boosting, "BLOCK_ROUNDS", 4)
+    found = []
+    for size in (240, 1000):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", size)
+        blocks = boosting.packed(df, ["a", "b"], "y", F.col("part"), bounds)
+        found.append(boosting.fit_boosted(blocks, ["a", "b"], bounds, specs, patience=3))
+        cores, tasks = spark.sparkContext.defaultParallelism, -(-700 // size)
+        assert {p.getNumPartitions() for p in parts} == {min(len(specs), cores // tasks) * tasks} or cores < 2 * tasks
+        parts.clear()
+    for m, same in zip(*found, strict=True):
+        assert len(m.trees) == len(same.trees) and m.best_round == same.best_round
+        assert np.allclose(m.curve, same.curve)
+    assert len({len(m.trees) for m in found[0]}) > 1
+
+
 def test_kernel_features_are_not_written(spark, monkeypatch):
     df = spark.range(0, 300, 1, 2).select("id", F.randn(1).alias("a"), F.randn(2).alias("b"), (F.col("id") % 5).cast("int").alias("fold")) \
         .withColumn("y", (F.col("a") * F.col("a") + F.col("b") * F.col("b") > 1).cast("int"))
