@@ -87,3 +87,23 @@ def test_kernel_features_are_not_written(spark, monkeypatch):
     assert train.kernel_fits(df, 10) > 1
     monkeypatch.setattr(train, "KERNEL_BYTES", 300 * 10 * 8)
     assert train.kernel_fits(df, 10) == 1
+
+
+def test_a_written_frame_is_dealt_to_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FILE_ROWS", 100)
+    df = spark.range(800).select("id", F.when(F.col("id") % 3 > 0, F.col("id") / 7).alias("v")).coalesce(1)
+    got = ordering.written(df)
+    assert tasks_with_rows(got) > 1 and got.dtypes == df.dtypes
+    assert got.exceptAll(df).count() == df.exceptAll(got).count() == 0
+
+
+def test_fitted_values_are_literals(spark):
+    """No row is attached to the frame; features without a value, without deviation or without a row."""
+    df = spark.createDataFrame([(1.0, None, 5.0, None), (3.0, 4.0, 5.0, 2.0)], "a double, b double, c double, d double")
+    med = spark.createDataFrame([("a", 9.0), ("b", 7.0), ("c", None)], "feature string, median double")
+    stats = spark.createDataFrame([("a", 1.0, 2.0), ("b", 0.0, 0.0), ("c", 4.0, None)], "feature string, mean double, std double")
+    imputed = clean.impute_apply(df, med, ["a", "b", "c", "d"])
+    assert [tuple(r) for r in imputed.collect()] == [(1.0, 7.0, 5.0, None), (3.0, 4.0, 5.0, 2.0)]
+    scaled = clean.scale_apply(imputed, stats, ["a", "b", "c", "d"])
+    assert [tuple(r) for r in scaled.collect()] == [(0.0, 7.0, 1.0, None), (1.0, 4.0, 1.0, None)]
+    assert "ubquery" not in scaled._jdf.queryExecution().optimizedPlan().toString()
