@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cellscope.operators import boosting, ordering, splits, train
+from cellscope.operators import boosting, clean, ordering, splits, train
 
 
 def tasks_with_rows(df):
