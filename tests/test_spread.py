@@ -107,3 +107,51 @@ def test_fitted_values_are_literals(spark):
     scaled = clean.scale_apply(imputed, stats, ["a", "b", "c", "d"])
     assert [tuple(r) for r in scaled.collect()] == [(0.0, 7.0, 1.0, None), (1.0, 4.0, 1.0, None)]
     assert "ubquery" not in scaled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_filled_and_dealt_evenly(spark, monkeypatch):
+    """Blocks are filled from many Arrow batches, their rows lie by part, and no task has two blocks more than another."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    df = spark.range(0, 4000, 1, 2).select(F.rand(1).alias("a"), F.rand(2).alias("y"), (F.col("id") % 3).alias("part"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        blocks = boosting.packed(df, ["a"], "y", F.col("part"), boosting.bin_bounds(df, ["a"]))
+        got = blocks.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [r["n"] for r in got] == [100] * 40
+    parts = [np.frombuffer(r["part"], np.uint8) for r in got]
+    assert all((np.diff(p) >= 0).all() for p in parts) and boosting.rows_of(parts[0], (0, 1)) == slice(0, int((parts[0] < 2).sum()))
+    assert boosting.rows_of(np.array([0, 1, 2, 2]), (0, 2)).tolist() == [0, 2, 3]
+    dealt = boosting.kept(blocks, 1, 7)
+    sizes = dealt.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    dealt.unpersist()
+    assert sum(sizes) == 40 and max(sizes) - min(sizes) <= 1
+
+
+def test_workers_drop_the_block_met_longest_ago(monkeypatch):
+    monkeypatch.setattr(boosting, "CACHE_BYTES", 3 * 80)
+    monkeypatch.setattr(boosting, "_held", {})
+    bins = np.zeros((1, 10), np.uint8)
+    for key in (0, 1, 2, 0, 3):
+        boosting._margins(key, bins, np.zeros((1, 10)), [[]])
+    assert list(boosting._held) == [2, 0, 3]
+
+
+def test_trees_read_assembled_rows_once(spark):
+    """A forest gets the same rows from its frame and from vectors, and leaves nothing kept."""
+    df = spark.range(0, 400, 1, 3).select(F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 2).cast("double").alias("y"))
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    m = train.fit_rf(df, ["a", "b"], "y", numTrees=3, maxDepth=3)
+    again = train.fit_rf(train.assemble(df, ["a", "b"]), ["a", "b"], "y", numTrees=3, maxDepth=3)
+    assert m.stages[-1].toDebugString.split("\n")[1:] == again.stages[-1].toDebugString.split("\n")[1:]
+    assert m.transform(df).count() == 400 and len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+
+
+def test_split_drops_repeats_once(spark, monkeypatch):
+    """A known bound on a battery's rows saves the count over rows without repeats."""
+    df = spark.range(90).select((F.col("id") % 3).alias("battery_id"), F.col("id").alias("seq"))
+    want = sorted(splits.chrono_split(df).collect())
+    monkeypatch.setattr(ordering, "largest_group", lambda *a: 1 / 0)
+    assert sorted(splits.chrono_split(df, largest=30).collect()) == want
