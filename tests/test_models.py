@@ -56,6 +56,25 @@ def test_registered_boosting_runs_the_rounds_of_the_reference(spark, monkeypatch
             raise AssertionError(name)
 
 
+def test_registered_searches_run_the_grids_of_the_reference(spark, monkeypatch):
+    from cellscope.operators import train
+    from cellscope.plans import model_queries as mq
+
+    class Seen(Exception):
+        pass
+
+    def stop(data, features, label, grid, **k):
+        raise Seen(grid)
+    for name, query, points in (("grid_search_reg", mq.q_grid_search_reg, 24),):
+        monkeypatch.setattr(train, name, stop)
+        try:
+            query(spark, SF_SMALL)
+        except Seen as e:
+            assert len(train.grid_points(e.args[0])) == points
+        else:
+            raise AssertionError(name)
+
+
 def test_trend_series_is_whole_without_points(spark):
     import __spark_entry__ as E
     import duckdb
