@@ -103,6 +103,60 @@ def test_search_equals_separate_fits(spark):
     assert 1 <= len(model.trees) <= 6
 
 
+def weighted(spark, n=900):
+    df, names = fixture(spark, n)
+    return df.withColumn("w", F.when(F.col("flag") == 1, 2.5).otherwise(0.7)).withColumn("c", F.round("c")), names
+
+
+@pytest.mark.parametrize("size", [100, 5000])
+def test_classifier_equals_that_of_mllib(spark, monkeypatch, size):
+    """The same trees by one task and by several, a weighted label, saved and read again."""
+    from pyspark.ml.classification import GBTClassifier
+    monkeypatch.setattr(B, "BLOCK_ROWS", size)
+    df, names = weighted(spark)
+    m = train.fit_gbt_cls(df, names, "flag", weight_col="w", maxIter=12, maxDepth=4, stepSize=0.2)
+    gbt = GBTClassifier(labelCol="flag", weightCol="w", seed=42, maxIter=12, maxDepth=4, stepSize=0.2)
+    want = train.fit_trees(df, names, gbt, ["flag", "w"])
+    assert type(m.stages[-1]) is type(want.stages[-1]) and m.stages[-1].treeWeights == want.stages[-1].treeWeights
+    score = lambda x: np.array([r[0] for r in train.positive_prob(x.transform(df.coalesce(1))).orderBy("a", "b", "c", "d").select("prob").collect()])
+    assert np.abs(score(m) - score(want)).max() < 1e-9
+    share = lambda x: x.stages[-1].featureImportances.toArray()
+    assert np.allclose(share(m)[1:3], share(want)[1:3]) and np.allclose(share(m).sum(), 1)  # one split by a is as good as by d
+    assert [r.prediction for r in m.transform(df).collect()] == [r.prediction for r in want.transform(df).collect()]
+
+
+def test_thresholds_equal_those_of_mllib(spark):
+    """Few values, many values, one value, zeros; more bins than rows."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    df, names = weighted(spark, 400)
+    df = df.withColumn("d", F.lit(3.0)).withColumn("b", F.when(F.col("b") > 0, F.col("b")).otherwise(0.0))
+    got, least = B.sampled_bounds(df, names, "w")
+    assert least == 0.7 and got[3] == [] and len(got[0]) <= 31 and got[2] == sorted(got[2])
+    for i, c in enumerate(names[:3]):
+        tree = DecisionTreeRegressor(labelCol="y", weightCol="w", maxDepth=9, featuresCol="features")
+        text = train.fit_trees(df, [c], tree, ["y", "w"]).stages[-1].toDebugString
+        used = {float(line.split("<= ")[1].split(")")[0]) for line in text.split("\n") if "<= " in line}
+        assert used <= set(got[i]) and len(used) > 1
+    assert B.sampled_bounds(df.where("a > 1e9"), names, "w") == ([[]] * 4, 0.0)
+
+
+def test_classifier_search_equals_the_validator(spark, monkeypatch):
+    df, names = weighted(spark, 500)
+    grid = {"maxIter": [2, 5], "maxDepth": [2, 3], "stepSize": [0.1, 0.5]}
+    got = train.grid_search_cls(df, names, "flag", grid, "part", "w", k=3).collect()
+    monkeypatch.setattr(train, "byte_trees", lambda p: False)
+    want = train.grid_search_cls(df, names, "flag", grid, "part", "w", k=3).collect()
+    assert [r.params for r in got] == [r.params for r in want] and len(got) == 8
+    assert np.allclose([r.mean_f1 for r in got], [r.mean_f1 for r in want])
+
+
+def test_missing_labels_and_features_are_errors(spark):
+    df, names = weighted(spark, 60)
+    for c in ("flag", "b"):
+        with pytest.raises(Exception, match="missing"):
+            train.fit_gbt_cls(df.withColumn(c, F.when(F.col("a") < 1, F.col(c))), names, "flag", maxIter=1)
+
+
 def test_stops_and_fits_no_round_more(spark):
     df, names = fixture(spark, 300)
     noise = df.withColumn("y", F.rand(3))

@@ -65,7 +65,7 @@ def test_registered_searches_run_the_grids_of_the_reference(spark, monkeypatch):
 
     def stop(data, features, label, grid, **k):
         raise Seen(grid)
-    for name, query, points in (("grid_search_reg", mq.q_grid_search_reg, 24),):
+    for name, query, points in (("grid_search_reg", mq.q_grid_search_reg, 24), ("grid_search_cls", mq.q_grid_search_cls, 18)):
         monkeypatch.setattr(train, name, stop)
         try:
             query(spark, SF_SMALL)
