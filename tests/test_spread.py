@@ -77,6 +77,21 @@ def test_models_of_several_blocks_are_dealt_to_all_cores(spark, monkeypatch):
     assert len({len(m.trees) for m in found[0]}) > 1
 
 
+def test_a_search_over_one_block_is_few_jobs(spark):
+    """Rows that fit one block: models are fitted whole in tasks, not by a job for each level."""
+    df = spark.range(400).select((F.col("id") % 37).cast("double").alias("a"), F.rand(5).alias("y"), (F.col("id") % 3).alias("part")).repartition(2)
+    bounds = boosting.bin_bounds(df, ["a"])
+    blocks = boosting.packed(df, ["a"], "y", F.col("part"), bounds)
+    specs = [boosting.Spec(rounds=40, depth=d, train=(0, 1), test=(2,)) for d in (1, 2, 3)]
+    sc = spark.sparkContext
+    sc.setJobGroup("whole", "whole fits")
+    try:
+        models = boosting.fit_boosted(blocks, ["a"], bounds, specs)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(m.trees) for m in models] == [40] * 3 and len(sc.statusTracker().getJobIdsForGroup("whole")) < 12
+
+
 def test_kernel_features_are_not_written(spark, monkeypatch):
     df = spark.range(0, 300, 1, 2).select("id", F.randn(1).alias("a"), F.randn(2).alias("b"), (F.col("id") % 5).cast("int").alias("fold")) \
         .withColumn("y", (F.col("a") * F.col("a") + F.col("b") * F.col("b") > 1).cast("int"))
