@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cellscope.operators import kernel, train
+from cellscope.operators import hinge, kernel, train
 from cellscope.operators.pools import at_once
 from cellscope.sources import files
 
@@ -115,3 +115,44 @@ def test_fits_at_once_give_the_same_numbers(spark):
     grid = {"numTrees": [3], "maxDepth": [2, 3]}
     search = [sorted(train.grid_search_reg(x, COLS, "y", grid, threads=t).collect()) for t in (1, 4)]
     assert search[0] == search[1] and len(search[0]) == 10
+
+
+def test_machines_equal_those_of_mllib(spark, monkeypatch):
+    """Several blocks and tasks, two maps, machines of some parts of the rows and of all, weights."""
+    from pyspark.ml.classification import LinearSVC
+    monkeypatch.setattr(hinge, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(hinge, "CHUNK_ROWS", 32)
+    df = rings(spark, 500).withColumn("w", 0.5 + F.rand(3)).withColumn("part", (F.floor(F.col("id") / 3) % 3).cast("int"))
+    maps = [kernel.fit_kernel_map(df, COLS, g, landmarks=20, keys=["id"], out="kernel") for g in ("auto", 0.3)]
+    machines = [hinge.Machine(0, 0.01, (0, 1, 2)), hinge.Machine(1, 0.001, (0, 2)), hinge.Machine(0, 0.1, (1, 2)), hinge.Machine(1, 0.0, (0, 2))]
+    rows = hinge.packed(df, COLS, "y", F.col("part"), "w")
+    got = hinge.fit_machines(rows, maps, machines, max_iter=12)
+    tests = [0, 1, 0, 1]
+    hits = hinge.sides(rows, maps, got, machines, tests)
+    for (b, c), m, found, test in zip(got, machines, hits, tests, strict=True):
+        x = maps[m.map].transform(df)
+        want = LinearSVC(featuresCol="kernel", labelCol="y", weightCol="w", regParam=m.reg, maxIter=12).fit(x.where(F.col("part").isin(*m.train)))
+        scale = np.abs(want.coefficients.toArray()).max()
+        assert np.abs(want.coefficients.toArray() - b).max() < 1e-6 * scale and abs(want.intercept - c) < 1e-6 * scale
+        side = want.transform(x.where(F.col("part") == test)).toPandas()
+        said, true = side.prediction == 1, side.y == 1
+        assert [(said & true).sum(), said.sum(), true.sum()] == found.tolist()
+    with pytest.raises(ValueError):
+        hinge.fit_machines(rows, maps, [hinge.Machine(0, 0.1, (7,))])
+
+
+def test_machine_makes_no_kernel_features(spark, monkeypatch):
+    """Fit, search and scores go without the wide features, and equal the stages of the fitted pipeline."""
+    df = rings(spark, 300)
+
+    def wide(*a):
+        raise AssertionError("kernel features were made")
+    monkeypatch.setattr(kernel.KernelMap, "_transform", wide)
+    m = train.fit_kernel_svm(df, COLS, "y", landmarks=20, keys=["id"])
+    train.grid_search_svm(df, COLS, "y", {"c": [1.0], "gamma": ["auto"]}, landmarks=20, keys=["id"], k=5).collect()
+    got = {r.id: r.prob for r in train.svm_predict_proba(df, m).collect()}
+    monkeypatch.undo()
+    want = {r.id: r.prob for r in train.positive_prob(m.transform(df)).collect()}
+    assert len(got) == 300 and all(abs(got[i] - p) < 1e-9 for i, p in want.items())
+    with pytest.raises(Exception, match="label"):
+        train.fit_kernel_svm(df.withColumn("y", F.when(F.col("id") > 5, F.col("y"))), COLS, "y", landmarks=20, keys=["id"])
